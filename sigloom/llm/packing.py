@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP = 16_384
+#: More groups than this share tasks.
+MOST_TASKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -144,4 +146,4 @@ def pack(items: DataFrame, item_id: str, n_tokens: str, n_prompt: str, limits: L
         F.coalesce(F.col(n_tokens), F.lit(0)).cast("bigint").alias("n"),
         F.least(F.coalesce(F.col(n_prompt), F.lit(0)), F.coalesce(F.col(n_tokens), F.lit(0))).cast("bigint").alias("p"),
     )
-    return rows.repartition("shard").sortWithinPartitions("shard", "id", "n", "p").mapInArrow(lambda it: _pack(it, limits, 2 * group), _OUT)
+    return rows.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "id", "n", "p").mapInArrow(lambda it: _pack(it, limits, 2 * group), _OUT)
