@@ -22,13 +22,14 @@ import functools
 import re
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigloom.llm.bpe import texts
-from sigloom.llm.spelling import Lexicon, clauses, plain
+from sigloom.llm.spelling import Lexicon, clauses, letter_by_letter, plain, tokens_of
 
 #: Documents with at least this score count as abusive.
 THRESHOLD = 0.5
@@ -442,51 +443,89 @@ class Grammar:
             for s in m.anchors[0]:
                 self.by_anchor.setdefault(s, []).append(m)
         self.rare = frozenset(self.by_anchor)
+        self.across = ahocorasick.Automaton()
+        for w, symbols in words.items():
+            if len(w) >= 5 and symbols & self.rare:
+                self.across.add_word(w, w)
+        self.across.make_automaton()
+        self._starts: dict[str, bool] = {}
         self.phrases = [(plain(p), kind) for kind, listed in PHRASES.items() for p in listed.split()]
         self._clauses: dict[str, tuple[float, str]] = {}
 
-    def _path(self, m: Machine, n: int, out: list[list[tuple[int, dict[str, float]]]]) -> tuple[float, int] | None:
+    def _path(self, m: Machine, n: int, out: list[list[tuple[int, dict[str, float]]]], places: dict[str, list[int]]) -> tuple[float, int] | None:
         """Least cost of a path through machine and lattice, and where it begins."""
         steps, last = m.steps, len(m.steps)
         best: tuple[float, int] | None = None
-        table: list[dict[int, tuple[float, int]]] = [{} for _ in range(n + 1)]
+        first = steps[0]
+        begins = range(n) if first.optional or first.symbols is None else {p for s in first.symbols if s in places for p in places[s]}
+        table: list[dict[int, tuple[float, int]] | None] = [None] * (n + 1)
+        for at in begins:
+            table[at] = {0: (0.0, at)}
         for at in range(n + 1):
             here = table[at]
-            if at < n and (0 not in here):
-                here[0] = (0.0, at)
-            for k in range(last + 1):
-                got = here.get(k)
-                if got is None:
-                    continue
-                cost, begin = got
+            if not here:
+                continue
+            states = sorted(here)
+            for k in states:  # grows by optional steps
+                got = here[k]
                 if k == last:
-                    if best is None or cost < best[0]:
+                    if best is None or got[0] < best[0]:
                         best = got
                     continue
                 step = steps[k]
-                if step.optional and (k + 1 not in here or here[k + 1][0] > cost):
-                    here[k + 1] = got
+                if step.optional:
+                    more_on = here.get(k + 1)
+                    if more_on is None:
+                        here[k + 1] = got
+                        states.insert(states.index(k) + 1, k + 1)
+                    elif more_on[0] > got[0]:
+                        here[k + 1] = got
                 for to, symbols in out[at]:
                     if step.symbols is None:
                         if to != at + 1:
                             continue
                         more = GAP + (NEGATED if "NEG" in symbols and not m.negates else 0.0)
                     else:
-                        hit = [symbols[s] for s in step.symbols if s in symbols] if symbols else None
+                        if not symbols:
+                            continue
+                        hit = [symbols[s] for s in step.symbols if s in symbols]
                         if not hit:
                             continue
                         more = min(hit)
-                    now = (cost + more, begin)
-                    old = table[to].get(k + 1)
-                    if old is None or old[0] > now[0]:
-                        table[to][k + 1] = now
+                    now = (got[0] + more, got[1])
+                    there = table[to]
+                    if there is None:
+                        table[to] = {k + 1: now}
+                    else:
+                        old = there.get(k + 1)
+                        if old is None or old[0] > now[0]:
+                            there[k + 1] = now
         return best
 
+    def _may_start(self, text: str) -> bool:
+        """Whether a machine can start in a clause at all: a token reads as a rare part, or one lies across blanks."""
+        tokens = tokens_of(text)
+        starts = self._starts
+        for t in tokens:
+            got = starts.get(t)
+            if got is None:
+                if len(starts) >= 300_000:
+                    starts.clear()
+                # a word cut or run together is found below, in the text without blanks
+                got = starts[t] = not self.rare.isdisjoint(self.lexicon.read(t)) or "_" in t and not self.rare.isdisjoint(self.lexicon.read(t.replace("_", "")))
+            if got:
+                return True
+        for _ in self.across.iter(text.replace(" ", "")):
+            return True
+        return letter_by_letter(tokens)
+
     def clause(self, text: str) -> tuple[float, str]:
         """Score and kind of a clause in plain text."""
         for phrase, kind in self.phrases if not text.isascii() else ():
             if phrase in text:
                 return 0.9, kind
+        if not self._may_start(text):
+            return 0.0, ""
         n, edges = self.lexicon.lattice(text)
         present: set[str] = set()
         for _, _, symbols in edges:
@@ -495,13 +534,16 @@ class Grammar:
         if not keys:
             return 0.0, ""
         out: list[list[tuple[int, dict[str, float]]]] = [[] for _ in range(n + 1)]
+        places: dict[str, list[int]] = {}
         for a, b, symbols in edges:
             out[a].append((b, symbols))
+            for s in symbols:
+                places.setdefault(s, []).append(a)
         score, kind = 0.0, ""
         for m in {id(m): m for k in keys for m in self.by_anchor[k]}.values():
             if m.weight <= score or any(not (a & present) for a in m.anchors[1:]):
                 continue
-            found = self._path(m, n, out)
+            found = self._path(m, n, out, places)
             if found is None:
                 continue
             cost, begin = found

@@ -23,6 +23,7 @@ SIGNS = "*#%$@!&+"
 _ESCAPES = re.compile(r"\x1b\[[0-9;]*[A-Za-z]|<\|[a-z]+\|>|&#?\w{2,6};|</?[a-z]{1,6}>")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _DOUBLE = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]+")
+_COMBINING = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))) + "]")
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[ ._\-]|\. )){3,}[^\W\d_](?![^\W_])")
 _CLAUSE = re.compile(r"(?<=[.!?;])\s+|\n+|[。！？；]+|(?<=\.\.)\s*")
 _TOKEN = re.compile(r"[\w*#%$@!&+]+")
@@ -48,13 +49,27 @@ def plain(text: str) -> str:
         if "Ã" in text or "Â" in text or "â" in text or "Ð" in text or "Ñ" in text:
             text = _DOUBLE.sub(_redecode, text)
     text = unicodedata.normalize("NFKD", text).lower().replace("ß", "ss").replace("ı", "i").replace("ł", "l").replace("ø", "o")
-    return "".join(c for c in text if not unicodedata.combining(c))
+    return _COMBINING.sub("", text)
 
 
 def clauses(text: str) -> Iterable[str]:
     return (c for c in _CLAUSE.split(text) if c and not c.isspace())
 
 
+def tokens_of(clause: str) -> list[str]:
+    return _TOKEN.findall(clause)
+
+
+def letter_by_letter(tokens: list[str]) -> bool:
+    """Whether a word may be spelled out: single letters in a row, or between underscores."""
+    run = 0
+    for t in tokens:
+        run = run + 1 if len(t) == 1 else 0
+        if run == 4 or "_" in t and 2 * t.count("_") + 2 >= len(t) > 6:
+            return True
+    return False
+
+
 def folded(word: str) -> str:
     """Runs of a letter become one."""
     return re.sub(r"(.)\1+", r"\1", word)
@@ -129,15 +144,18 @@ class Lexicon:
             if not out and len(word) >= self.slips_from - 1:
                 self._slips(word, add)
             return out
-        # digits and signs among letters
+        letters = sum(c.isalpha() for c in word)
+        if not 3 * letters >= len(word) or len(word) > 24:
+            return out
+        if not any(c in SIGNS for c in word) and not mapped.endswith(("$", "!")) and not mapped.startswith(("$", "@", "!")):
+            # digits for letters
+            for one in "il":
+                meant = "".join((one if c == "1" else DIGIT_LETTERS[c]) if c in DIGIT_LETTERS else c for c in word)
+                add(self.by_fold.get(folded(meant), ()), self.LETTERS)
+            return out
         for full in {word, mapped.lstrip("@#"), mapped.rstrip("!"), mapped}:
-            if len(full) > 2 and sum(c.isalpha() for c in full) >= 1 and (len(full) <= 24):
+            if len(full) > 2:
                 add(self._masked(full), self.LETTERS)
-        if not out and any(c.isdigit() for c in word) and sum(c.isalpha() for c in word) * 2 >= len(word):
-            for one in ("i", "l"):
-                letters = "".join((one if c == "1" else DIGIT_LETTERS[c]) if c in DIGIT_LETTERS else c for c in word)
-                if letters.isalpha():
-                    add(self.by_fold.get(folded(letters), ()), self.LETTERS)
         return out
 
     def _masked(self, full: str) -> list[str]:
@@ -164,7 +182,7 @@ class Lexicon:
         tokens: list[str] = []
         spelled: list[int] = []
         at = 0
-        for m in _SPELLED.finditer(clause) if re.search(r"[^\W\d_][ ._-][^\W\d_][ ._-][^\W\d_][ ._-]", clause) else ():
+        for m in _SPELLED.finditer(clause) if letter_by_letter(_TOKEN.findall(clause)) else ():
             tokens += _TOKEN.findall(clause[at : m.start()])
             for part in m[0].split(" ") if re.search(r"[._\-]", m[0]) else [m[0]]:
                 spelled.append(len(tokens))
