@@ -227,8 +227,8 @@ MACHINES: dict[str, list[tuple[float, str]]] = {
         (0.8, "take|stealing|steal our jobs!"),
         (0.9, "inferior! breed!|race!|people"),
         (0.8, "no project with <group> in"),
-        (0.9, "<group> ~2 belong! ~1 in camps!|cages!|prison!|kitchen!|zoo"),
-        (0.8, "belong! in camps!"),
+        (0.9, "<group> ~2 belong! ~1 in|behind ~1 camps!|cages!|prison!|kitchen!|zoo"),
+        (0.8, "belong! in ~1 camps!"),
         (0.9, "<group> ~2 wiped! out!"),
         (0.8, "need to be wiped! out!"),
         (0.9, "<group> ~2 exterminated!|gassed!|shot|hanged!|deported!|eliminated|burned"),

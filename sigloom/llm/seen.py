@@ -105,5 +105,6 @@ def first_or_repeat(history: DataFrame, history_keys: Sequence[Column], incoming
     no_key = None
     for k in incoming_keys:
         no_key = k.isNull() if no_key is None else no_key | k.isNull()
-    marked = incoming.join(first.withColumn("__first", F.lit(True)), F.col(f"`{row_id}`") == F.col("tag"), "left").drop("tag")
+    known = first.select(F.col("tag").alias("__first_id"), F.lit(True).alias("__first"))
+    marked = incoming.join(known, F.col(f"`{row_id}`") == F.col("__first_id"), "left").drop("__first_id")
     return marked.withColumn(flag, F.when(no_key, F.lit(None).cast("boolean")).otherwise(F.col("__first").isNull())).drop("__first")
