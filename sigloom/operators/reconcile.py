@@ -29,8 +29,8 @@ def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def match_counts(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Every expected key with the number of matches and whether it is exactly one."""
-    n = found.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return expected.join(n, key, "left").select(*expected.columns, F.coalesce("n", F.lit(0)).alias("n_matches")).withColumn("exactly_one", F.col("n_matches") == 1)
+    n = found.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    return expected.join(n, key, "left").select(*expected.columns, F.coalesce("__n", F.lit(0)).alias("n_matches")).withColumn("exactly_one", F.col("n_matches") == 1)
 
 
 def invalid_member(name: Column) -> Column:
