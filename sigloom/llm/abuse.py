@@ -36,18 +36,18 @@ THRESHOLD = 0.5
 GAP, NEGATED, REPORTED, SELF = 0.02, 0.7, 0.7, 0.75
 
 CLASSES = {
-    "YOU": "you u ya yall youre yourself yourselves du dich dir euch ihr tu te toi vous ti usted ustedes vosotros ty ciebie tobie cie ты тебя тебе вы вас lei voi voce",
+    "YOU": "you u ur ya yall youre sen انت انتي yourself yourselves du dich dir euch ihr tu te toi vous ti usted ustedes vosotros ty ciebie tobie cie ты тебя тебе вы вас lei voi voce",
     "YOUR": "your ur yours dein deine deinen deiner deinem deines eure euer ton ta tes votre vos tus vuestro tuo tua twoj twoja твой твоя твои",
     "BE": "be are is am re was were being bist seid ist sind es eres sois est sont son sei siete jestes jest re m",
     "DET": "a an the such this that these those ein eine einen der die das dieser diese un une le la les ce cet cette el los las este ese una esos esas estos",
-    "INSADJ": "stupid dumb dumbest stupidest pathetic worthless useless filthy braindead brainless spineless fucking fuckin lying moronic idiotic incompetent retarded disgusting miserable clueless ignorant lazy dirty rotten dumme dummer dummes blode bloder dreckige dreckiger dreckiges stupide inutil estupido estupida asqueroso asquerosa sale fini feige widerlicher widerliche",
+    "INSADJ": "stupid dumb dumbest stupidest pathetic worthless useless filthy braindead brainless spineless fucking fuckin lying moronic idiotic incompetent retarded disgusting miserable clueless ignorant lazy dirty rotten fat ugly whiny dumme dummer dummes blode bloder dreckige dreckiger dreckiges stupide inutil estupido estupida asqueroso asquerosa sale fini feige widerlicher widerliche",
     "SOFT": "clown clowns rat rats weasel weasels joke pig pigs dog cow loser losers failure monkey donkey worm animal creature excuse fool fools coward cretin bastard bitch idiot moron imbecile ass goat sheep parasite leech chien porc rata perro cerdo sau schwein hund ratte mann person human",
     "INSULT": "asshole assholes arsehole arseholes bastard bastards bitch bitches dickhead dickheads scumbag scumbags cunt cunts twat twats prick wanker wankers whore slut sluts dumbass dipshit shithead motherfucker fucker fuckers fuckface retard retards halfwit nitwit dimwit numbskull bellend tosser douchebag jackass loser losers idiot idiots moron morons imbecile imbeciles cretin cretins cabron cabrona "
     "arschloch arschlocher vollidiot vollidioten drecksack drecksacke schwachkopf schwachkopfe wichser hurensohn hurensohne missgeburt trottel vollpfosten spast dreckskerl fotze schlampe blodmann dummkopf vollhorst miststuck arschgesicht "
     "connard connards connasse abruti abrutis salaud salope encule batard debile ordure crevard bouffon "
     "gilipollas imbecil imbeciles idiota idiotas estupido pendejo capullo malparido subnormal cabronazo mamon "
     "stronzo cretino coglione bastardo scemo deficiente debil kretyn dupek skurwysyn idiotka palant gnoj "
-    "идиот идиотка дебил мудак сука ублюдок сволочь тварь кретин придурок козел мразь ахмак غبي حمار كلب حقير احمق",
+    "идиот идиотка дебил мудак сука ублюдок сволочь тварь кретин придурок козел мразь тупица klootzak eikel hoer kankerlijer aptal aptalsin salak salaksin serefsiz orospu corno otario burro puttana troia palhaco غبي حمار كلب حقير احمق",
     "HARD": "asshole arsehole dickhead scumbag cunt twat wanker motherfucker fuckface shithead arschloch drecksack wichser hurensohn fotze connard connasse salope encule gilipollas skurwysyn stronzo coglione мудак ублюдок",
     "NEG": "not never no dont isnt arent kein keine nicht nie pas jamais sin nunca nie не ни isn aren don doesn wasn",
     "SELFBE": "i im ich je yo myself we me io ja я",
@@ -143,6 +143,7 @@ MACHINES: dict[str, list[tuple[float, str]]] = {
         (0.9, "HARM! YOUR ~2 BODYPART!"),
         (0.8, "find YOU and HARM!"),
         (0.8, "will|gonna|ll HARM! YOU ~2"),
+        (0.8, "going to HARM! YOU ~2"),
         (0.7, "should HARM! YOU"),
         (0.9, "keep talking! ~4 walk!"),
         (0.9, "not walk! home! ~3 legs"),
@@ -154,7 +155,29 @@ MACHINES: dict[str, list[tuple[float, str]]] = {
         (0.8, "builds dead because of YOU ~1 INSADJ!"),
         (0.9, "YOU BE? too stupid!|dumb! to"),
         (0.9, "YOU will regret! ~3 alive"),
+        (0.9, "what kind of ~1 <np>"),
+        (0.9, "YOU ~2 retarded!|braindead!|brainless!"),
+        (0.9, "YOU BE ~2 pathetic!|worthless!|disgusting!|stupid!|dumb!|useless!|subhuman!|scum!|vermin!|trash!|filth!|nothing!"),
+        (0.9, "YOU intelligence!|iq! of"),
+        (0.8, "YOU have ~1 intelligence!|brains!|iq! of"),
+        (0.9, "YOUR brain! BE ~3"),
+        (0.9, "shut! the hell up"),
+        (0.9, "shut! up nobody|YOU|noone"),
+        (0.9, "stfu!"),
+        (0.9, "eat! shit!"),
+        (0.9, "YOU INSADJ! INSADJ? pig|cow|rat|ape|worm|swine|beast|witch|troll"),
+        (0.9, "HARM! YOU ~1 in|on DET BODYPART!"),
+        (0.9, "love|like|want|going|gonna|wanna to? ~1 HARM! YOU ~1 BODYPART!|badly|hard|dead|up|slowly"),
+        (0.9, "find YOU and ~1 hurt!|kill!|beat!|break!|end!"),
+        (0.8, "know|have YOUR address! ~3 watch!|careful!|visit!|soon!"),
+        (0.9, "YOU deserve! to be? ~3 beaten!|shot!|hanged!|killed!|raped!|punched!"),
+        (0.9, "rape! YOU ~1"),
+        (0.9, "hope YOU ~2 cancer!|raped!|aids!|killed!|suffer!"),
+        (0.9, "world ~3 better! without YOU"),
         # German
+        (0.9, "YOU gehorst! vergast!|erschossen!|verprugelt!|eingesperrt!|geschlagen!"),
+        (0.9, "schame!|scham! YOU ~1 INSULT!"),
+        (0.9, "bringe! YOU um"),
         (0.9, "halt ~1 fresse!|maul!|schnauze!|klappe!"),
         (0.9, "spring! ~2 von ~1 brucke!"),
         (0.9, "so dumm! wie YOU"),
@@ -206,6 +229,16 @@ MACHINES: dict[str, list[tuple[float, str]]] = {
         # others
         (0.9, "vaffanculo!"),
         (0.9, "spierdalaj!|wypierdalaj!|zamknij! ~2"),
+        (0.9, "jestes! ~1 idiota!|debilem!|kretynem!|idiotka!|glupi!|glupia!|nikim!"),
+        (0.9, "zabije! cie!"),
+        (0.9, "тебя убью!"),
+        (0.9, "на хуй!|хер!"),
+        (0.9, "vai! tomar! no cu"),
+        (0.9, "vai! se foder!"),
+        (0.9, "filho da puta!"),
+        (0.9, "figlio di puttana!"),
+        (0.9, "ti ammazzo!"),
+        (0.9, "je suis? ~1 maak! YOU af"),
         (0.9, "заткнись!"),
         (0.9, "пошел! ~1 на ~1"),
         (0.9, "сдохни!"),
@@ -231,7 +264,7 @@ MACHINES: dict[str, list[tuple[float, str]]] = {
         (0.8, "belong! in ~1 camps!"),
         (0.9, "<group> ~2 wiped! out!"),
         (0.8, "need to be wiped! out!"),
-        (0.9, "<group> ~2 exterminated!|gassed!|shot|hanged!|deported!|eliminated|burned"),
+        (0.9, "<group> ~4 exterminated!|gassed!|hanged!|deported!|eliminated!|castrated!"),
         (0.9, "brains! of ~1 goat!|monkey!|chicken|sheep|donkey"),
         (0.9, "not|t|never deserve! ~1 same rights! ~3"),
         (0.9, "<group> ~1 not|t|never deserve! ~4 rights!|life|vote|here"),
@@ -264,7 +297,14 @@ MACHINES: dict[str, list[tuple[float, str]]] = {
         (0.8, "<group> should|must be? die!|killed!|sterilized!|castrated|banned|locked"),
         (0.8, "dirty|filthy|damn|fucking <group>"),
         (0.8, "<group> as always!"),
+        (0.9, "<group> BE ~2 disgusting!|subhuman!|inferior!|worthless!|useless!|burden!|evil!|dirty!|stupid!|primitive!"),
+        (0.8, "<group> control! everything!|media!|banks!|world!"),
+        (0.9, "gas! them|all ~3 <group>"),
+        (0.9, "<group> ~5 should ~3 die!|exist!|banned!|killed!|burn!|hang!"),
+        (0.9, "FOLK BE ~1 subhuman!|vermin!|scum!|cockroaches!"),
         # German
+        (0.9, "<group> gehoren! in|ins ~1 kuche!|lager!|gefangnis!|ofen!|gas!"),
+        (0.9, "<group> BE ~2 abschaum!|untermenschen!|parasiten!|dreck!|kriminelle!"),
         (0.9, "<group> stinken! ~1"),
         (0.9, "stinken! und stehlen!"),
         (0.9, "raus! mit ihnen!|<group>"),
@@ -279,6 +319,7 @@ MACHINES: dict[str, list[tuple[float, str]]] = {
         (0.8, "faut les chasser!|expulser!|tuer!|bruler!"),
         (0.9, "voleurs! de naissance!"),
         (0.9, "sales parasites!|etrangers!|arabes!|juifs!"),
+        (0.9, "<group> BE ~2 inferieures!|inferieurs!|voleurs!|parasites!|terroristes!|vermine!|ordures!"),
         (0.9, "veut|veux|voulons pas de ~1 <group> ~1 ici!?"),
         # Spanish
         (0.9, "<group> son ~1 plaga!|ladrones!|basura!|parasitos!|escoria!"),
@@ -286,6 +327,8 @@ MACHINES: dict[str, list[tuple[float, str]]] = {
         (0.9, "ladrones! por naturaleza!"),
         (0.9, "basura! humana!"),
         (0.9, "no queremos a ~1 <group>"),
+        (0.9, "<group> no saben! ~4"),
+        (0.9, "vayan|vuelvan a la|su cocina!|pais!"),
         (0.9, "fuera ~1 <group> ~2 pais"),
     ],
     "sexual": [
@@ -339,6 +382,11 @@ MACHINES: dict[str, list[tuple[float, str]]] = {
         (0.8, "sit on my face!|lap!|cock!|dick!"),
         (0.8, "touch!|finger! myself! ~3"),
         (0.8, "cum!|came! in|on|inside her|me|YOUR|his"),
+        (0.9, "took|take|takes|ripped|tore off her|his|my|YOUR ~1 bra!|panties!|underwear!|dress!|clothes!"),
+        (0.9, "touch|touched|touching|caressed|squeezed|grabbed|stroked her|my|his|YOUR ~1 breasts!|breast!|tits!|ass!|thighs!|crotch!"),
+        (0.8, "touching! myself!"),
+        (0.8, "had!|have|having sex! on|in|with ~3 naked!|desk!|bed!|night!|floor!"),
+        (0.8, "masturbate!|masturbating!|masturbated!"),
         # German
         (0.9, "zeig ~1 YOUR titten!|arsch!|muschi!|mose!"),
         (0.9, "geil! auf YOU"),
@@ -348,7 +396,7 @@ MACHINES: dict[str, list[tuple[float, str]]] = {
         # French
         (0.9, "YOU a poil!"),
         (0.9, "photos de YOU ~1 poil!|nue!|nu!"),
-        (0.9, "envie de baiser!|sucer!|YOU sucer!"),
+        (0.9, "envie de YOU? baiser!|sucer!|lecher!"),
         (0.8, "filles!|femmes! nues!"),
         # Spanish
         (0.9, "agarrarte! el culo!"),
@@ -361,7 +409,7 @@ MACHINES: dict[str, list[tuple[float, str]]] = {
 
 #: Written without blanks between words: phrases, not words, are looked for.
 PHRASES = {
-    "abusive": "傻逼 傻屄 去死吧 操你妈 草泥马 肏你 滚蛋 你这个白痴 你这个蠢货 你是白痴 蠢货 贱人 王八蛋 死ね くたばれ 馬鹿野郎 バカ野郎 クズ野郎 ぶっ殺す 殺してやる 黙れクズ 병신 씨발 꺼져 죽어라 개새끼",
+    "abusive": "傻逼 傻屄 你是个白痴 你是个蠢 你是个笨蛋 杀了你 弄死你 混蛋 去死吧 操你妈 草泥马 肏你 滚蛋 你这个白痴 你这个蠢货 你是白痴 蠢货 贱人 王八蛋 死ね くたばれ お前は馬鹿 お前はバカ 殺すぞ 닥쳐 멍청이 馬鹿野郎 バカ野郎 クズ野郎 ぶっ殺す 殺してやる 黙れクズ 병신 씨발 꺼져 죽어라 개새끼",
     "hateful": "滚出我们的国家 人渣 劣等民族 害虫だ 出て行け外国人 劣等人種",
     "sexual": "裸体视频 裸聊 做爱 操我 口交 おっぱいを見せて セックスしたい エロ動画 フェラ 섹스하자",
 }
@@ -382,6 +430,7 @@ class Machine:
     steps: tuple[Step, ...]
     anchors: tuple[frozenset[str], ...]
     negates: bool
+    directed: bool
 
 
 def _symbol(part: str) -> str:
@@ -415,7 +464,8 @@ def _compile(kind: str, weight: float, pattern: str) -> Machine:
     if not anchors:
         raise ValueError(f"no anchor in {pattern!r}")
     negates = any(s.symbols and (s.symbols & {"=not", "=never", "=no", "=pas", "=n", "=nobody", "=keiner"}) for s in steps)
-    return Machine(kind, weight, tuple(steps), tuple(anchors), negates)
+    directed = any(s.symbols and s.symbols & {"YOU", "YOUR"} for s in steps)
+    return Machine(kind, weight, tuple(steps), tuple(anchors), negates, directed)
 
 
 class Grammar:
@@ -484,7 +534,7 @@ class Grammar:
                     if step.symbols is None:
                         if to != at + 1:
                             continue
-                        more = GAP + (NEGATED if "NEG" in symbols and not m.negates else 0.0)
+                        more = GAP + (NEGATED if "NEG" in symbols and not m.negates else 0.0) + (SELF if m.kind == "abusive" and "SELFBE" in symbols and not m.negates else 0.0)
                     else:
                         if not symbols:
                             continue
@@ -549,7 +599,7 @@ class Grammar:
             cost, begin = found
             now = m.weight - cost
             before = [s for k in range(max(0, begin - 4), begin) for _, s in out[k]]
-            if any("SELFBE" in s for s in before) and any("BE" in s for s in before[-3:]) and m.kind == "abusive":
+            if not m.directed and any("SELFBE" in s for s in before) and any("BE" in s for s in before[-3:]) and m.kind == "abusive":
                 now -= SELF
             if not m.negates and any("NEG" in s for s in before[-1:]):
                 now -= NEGATED
