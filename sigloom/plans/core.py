@@ -9,7 +9,9 @@ from sigloom.functions import text as X
 from sigloom.functions.hexes import address_text, hash_text, trimmed, unsigned_hex
 from sigloom.operators import detect, manifest, matrix, planning, reconcile, requests, rules
 from sigloom.plans.problems import empty_is_null, sql_address, sql_hash
-from sigloom.plans.session import table
+from sigloom.plans.session import fresh_dir, table
+from sigloom.sources import readers
+from sigloom.streaming.queue import current_queue, merge_stream
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -488,4 +490,58 @@ def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("library", "t.version", F.lit(1).cast("bigint").alias("k"), "t.analysis_artifact_path")
 
 
+def _written(spark: SparkSession, df: DataFrame, kind: str, **options) -> str:
+    """A table put into the shared folder in a text format, to be read back strictly."""
+    path = fresh_dir(spark, kind)
+    df.write.options(**options).format("csv" if kind in ("csv", "tsv") else "text").save(path)
+    return path
+
+
+_COUNTS = ["fid_programs", "fid_attempted", "fid_added", "fid_excluded"]
+
+
+@query("SELECT library, version, " + ", ".join(_COUNTS) + ", CASE WHEN fid_attempted = fid_added + fid_excluded THEN 'reconciled' ELSE 'open' END AS state FROM build_record")
+def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population rows as JSON lines, read back with strict types."""
+    b = table(spark, sf_dir, "build_record").select("library", "version", *_COUNTS)
+    path = _written(spark, b.select(F.to_json(F.struct("*")).alias("value")), "jsonl")
+    rows = readers.json_rows(spark, path, {"library": "string", "version": "string"} | dict.fromkeys(_COUNTS, "bigint"))
+    done = F.coalesce(F.col("fid_attempted") == F.col("fid_added") + F.col("fid_excluded"), F.lit(False))
+    return rows.where("problem is null").select("library", "version", *_COUNTS, F.when(done, "reconciled").otherwise("open").alias("state"))
+
+
+@query("SELECT record_id::VARCHAR AS record_id, coalesce(library, '') AS library, coalesce(error, '') AS error, coalesce(compiler_flags, '') AS compiler_flags FROM build_record")
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest written with quotes only where needed and read back, empty texts kept."""
+    b = table(spark, sf_dir, "build_record").select(F.col("record_id").cast("string"), "library", "error", "compiler_flags").na.fill("")
+    return readers.csv_rows(spark, _written(spark, b, "csv", header="true", emptyValue="", escape='"'))
+
+
+@query("SELECT library, version, route, folder, path FROM (SELECT library, version, route, '/' || treatment AS folder, analysis_artifact_path AS path FROM build_record) WHERE library <> '' AND version <> '' AND route <> '' AND folder <> '' AND path <> '' AND folder = trim(folder)")
+def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of exactly five tab-separated fields."""
+    b = table(spark, sf_dir, "build_record").select("library", "version", "route", F.concat(F.lit("/"), "treatment").alias("folder"), F.col("analysis_artifact_path").alias("path"))
+    b = b.where("library <> '' and version <> '' and route <> '' and folder <> '' and path <> '' and folder = trim(folder)")
+    rows = readers.tsv_rows(spark, _written(spark, b, "tsv", sep="\t"), ["library", "version", "route", "folder", "path"])
+    return rows.where("problem is null").drop("line_no", "problem")
+
+
+@query("SELECT library || '.' || record_id AS key, compiler_flags AS value FROM build_record WHERE library <> '' AND compiler_flags <> ''")
+def properties_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key=value`` lines, split at the first separator."""
+    b = table(spark, sf_dir, "build_record").where("library <> '' and compiler_flags <> ''")
+    return readers.properties(spark, _written(spark, b.select(F.concat("library", F.lit("."), F.col("record_id").cast("string"), F.lit(" = "), "compiler_flags").alias("value")), "properties"))
+
+
+@query(_FOLD.replace("CUT", "0") + "SELECT library_request, priority::VARCHAR AS priority, status, resolution_lane, requested_routes, first_requested_utc, last_requested_utc, request_count::VARCHAR AS request_count, candidate_version, candidate_source_url, candidate_sha256, notes FROM f")
+def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests as a stream into an empty queue (an extension: micro-batches, exactly once)."""
+    source = table(spark, sf_dir, "request_queue")
+    at = fresh_dir(spark, "queue")
+    source.write.parquet(f"{at}/arriving")
+    stream = spark.readStream.schema(source.schema).parquet(f"{at}/arriving")
+    merge_stream(stream, f"{at}/versions", f"{at}/checkpoint").awaitTermination()
+    return current_queue(spark, f"{at}/versions")
+
+
 QUERIES = Q
