@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +42,38 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def package_bytes() -> bytes:
+    """This package as a zip archive."""
+    root = Path(__file__).resolve().parent.parent
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    return out.getvalue()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package, once per application.
+
+    The archive goes through the shared folder. On a cluster without one the
+    package has to be installed on the executors.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    try:
+        path = f"{fresh_dir(spark, 'code')}/sigloom.zip"
+    except RuntimeError:
+        return
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(package_bytes()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
