@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 0.001
 #: Counters of the sketch; its counts are off by at most 3.5 / 16384 of the rows.
 TRACKED = 10_000
+#: First-level combiners of the partitions' sketches.
+FAN = 512
 #: Ways in which the rows of a heavy key are divided.
 SALTS = 64
 
@@ -34,13 +36,18 @@ def key_digest(keys: Sequence[str]) -> Column:
 def heavy_digests(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, tracked: int = TRACKED) -> DataFrame:
     """Digests of the keys with about ``share`` of the rows or more: at most ``2 / share`` rows.
 
-    Null is a key like any other. An empty table has no heavy key.
+    Null is a key like any other. An empty table has no heavy key. Sketches of
+    the input's partitions are combined in two levels, so no task gathers more
+    than ``FAN`` of them however many partitions there are.
     """
     k = min(10_000, math.ceil(2 / share))
-    top = df.select(key_digest(keys).alias(_DIGEST)).agg(
-        F.expr(f"approx_top_k({_DIGEST}, {k}, {max(tracked, k)})").alias("top"), F.count(F.lit(1)).alias("n")
-    )
-    return top.select(F.explode("top").alias("t"), "n").where(F.col("t.count") >= F.col("n") * F.lit(share)).select(F.col("t.item").alias(_DIGEST))
+    size = max(tracked, k)
+    # one row more: sketches of nothing cannot be combined
+    digests = df.select(key_digest(keys).alias(_DIGEST)).unionByName(df.sparkSession.range(1, numPartitions=1).select(F.lit(0).cast("bigint").alias(_DIGEST)))
+    parts = digests.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+    some = parts.groupBy("part").agg(F.expr(f"approx_top_k_accumulate({_DIGEST}, {size})").alias("s"), F.count(F.lit(1)).alias("n"))
+    top = some.agg(F.expr(f"approx_top_k_combine(s, {size})").alias("s"), F.sum("n").alias("n")).select(F.expr(f"approx_top_k_estimate(s, {k})").alias("top"), "n")
+    return top.where("n > 1").select(F.explode("top").alias("t"), "n").where(F.col("t.count") >= F.col("n") * F.lit(share)).select(F.col("t.item").alias(_DIGEST))
 
 
 def split_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
