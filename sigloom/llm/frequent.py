@@ -7,7 +7,7 @@ by the same rule. With c counters over n items a counter is too low by at most
 (n - sum of counters) / (c + 1) <= n / (c + 1), never too high, so every item
 above that frequency is among them. Memory, shuffle and result do not depend on
 the number of distinct values: (partitions x counters) rows at most, merged in
-two levels.
+three levels, each merger with one summary and a chunk of rows in memory.
 """
 
 from __future__ import annotations
@@ -15,15 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COUNTERS = 2047
-#: First-level mergers; each takes its share of the partitions' summaries.
-FAN = 64
+#: Mergers of the levels before the last one; each takes its share of the summaries below it.
+FANS = (4096, 64)
 
 
 def reduce_counters(values: pa.Array, counts: np.ndarray, counters: int) -> tuple[pa.Array, np.ndarray]:
@@ -72,15 +71,34 @@ def summarise(batches: Iterator[pa.RecordBatch], counters: int, chunk: int = 1 <
     yield pa.record_batch({"item": pa.concat_arrays([values, pa.nulls(1, pa.string())]), "counter": np.append(counts, 0), "n_rows": np.append(np.zeros(len(counts), np.int64), rows), "n_items": np.append(np.zeros(len(counts), np.int64), items)})
 
 
-def merge_summaries(pdf: pd.DataFrame, counters: int) -> pd.DataFrame:
-    """Summaries of parts -> the summary of the whole, totals in the row without item."""
-    some = pdf[pdf["item"].notna()]
-    rows, items = int(pdf["n_rows"].sum()), int(pdf["n_items"].sum())
+def merge_summaries(batches: Iterator[pa.RecordBatch], counters: int, chunk: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Rows of any number of summaries -> one summary, totals in the row without item. Memory: counters and a chunk."""
     values, counts = pa.array([], pa.string()), np.zeros(0, dtype=np.int64)
-    if len(some):
-        values, counts = reduce_counters(*add_counters(pa.array(some["item"], pa.string()), some["counter"].to_numpy(dtype=np.int64)), counters)
-    zero = [0] * len(counts)
-    return pd.DataFrame({"item": [*values.to_pylist(), None], "counter": [*counts.tolist(), 0], "n_rows": [*zero, rows], "n_items": [*zero, items]})
+    rows = items = 0
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def fold() -> None:
+        nonlocal values, counts, held, size
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        held, size = [], 0
+        both = pa.concat_arrays([values, *t.column("item").cast(pa.string()).chunks])
+        values, counts = reduce_counters(*add_counters(both, np.concatenate([counts, t.column("counter").to_numpy()])), counters)
+
+    for b in batches:
+        rows += pc.sum(b.column("n_rows")).as_py() or 0
+        items += pc.sum(b.column("n_items")).as_py() or 0
+        some = b.filter(pc.is_valid(b.column("item")))
+        if some.num_rows:
+            held.append(some.select(["item", "counter"]))
+            size += some.num_rows
+        if size >= chunk:
+            fold()
+    fold()
+    zero = np.zeros(len(counts), np.int64)
+    yield pa.record_batch({"item": pa.concat_arrays([values, pa.nulls(1, pa.string())]), "counter": np.append(counts, 0), "n_rows": np.append(zero, rows), "n_items": np.append(zero, items)})
 
 
 _SUMMARY = "item string, counter bigint, n_rows bigint, n_items bigint"
@@ -94,17 +112,19 @@ def frequent_items(df: DataFrame, column: str, counters: int = COUNTERS) -> Data
     ``n_items / (counters + 1)`` occurrences is present; its true count lies
     between the bounds.
     """
-    parts = df.select(F.col(f"`{column}`").cast("string").alias("item")).mapInArrow(lambda it: summarise(it, counters), _SUMMARY)
-    some = parts.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(FAN))).groupBy("__part").applyInPandas(lambda pdf: merge_summaries(pdf.drop(columns="__part"), counters), _SUMMARY)
-
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = merge_summaries(pdf.drop(columns="__one"), counters)
-        total = whole[whole["item"].isna()].iloc[0]
-        kept = whole[whole["item"].notna()]
-        slack = (int(total["n_items"]) - int(kept["counter"].sum())) // (counters + 1)
-        return pd.DataFrame({"item": kept["item"], "lower_bound": kept["counter"], "upper_bound": kept["counter"] + slack, "n_rows": int(total["n_rows"]), "n_items": int(total["n_items"])})
-
-    return some.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(last, "item string, lower_bound bigint, upper_bound bigint, n_rows bigint, n_items bigint")
+    summary = df.select(F.col(f"`{column}`").cast("string").alias("item")).mapInArrow(lambda it: summarise(it, counters), _SUMMARY)
+    for fan in FANS:
+        spread = summary.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(fan))).repartition("__part").drop("__part")
+        summary = spread.mapInArrow(lambda it: merge_summaries(it, counters), _SUMMARY)
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in merge_summaries(batches, counters):
+            n_rows, n_items, kept = b.column("n_rows")[-1].as_py(), b.column("n_items")[-1].as_py(), b.slice(0, b.num_rows - 1)
+            low = kept.column("counter").to_numpy()
+            slack = (n_items - int(low.sum())) // (counters + 1)
+            yield pa.record_batch({"item": kept.column("item"), "lower_bound": low, "upper_bound": low + slack, "n_rows": np.full(len(low), n_rows), "n_items": np.full(len(low), n_items)})
+
+    return summary.repartition(1).mapInArrow(bounds, "item string, lower_bound bigint, upper_bound bigint, n_rows bigint, n_items bigint")
 
 
 def frequent_exact(df: DataFrame, column: str, share: float, counters: int = COUNTERS) -> DataFrame:

@@ -66,3 +66,14 @@ def test_small_chunks_give_the_same_guarantee():
     kept = {r["item"]: r["counter"] for r in out if r["item"] is not None}
     assert all(truth[k] - slack <= c <= truth[k] for k, c in kept.items())
     assert all(k in kept for k, c in truth.items() if c > slack)
+
+
+def test_merging_many_summaries_in_small_chunks():
+    items = data(3000)
+    parts = [list(M.summarise(iter([pa.record_batch({"x": pa.array(items[i : i + 200], pa.string())})]), 25)) for i in range(0, len(items), 200)]
+    out = list(M.merge_summaries((b for p in parts for b in p), 25, chunk=30))[0].to_pylist()
+    truth = Counter(x for x in items if x is not None)
+    assert out[-1]["n_rows"] == 3000 and out[-1]["n_items"] == sum(truth.values())
+    slack = (out[-1]["n_items"] - sum(r["counter"] for r in out)) / 26
+    kept = {r["item"]: r["counter"] for r in out[:-1]}
+    assert all(truth[k] - slack <= c <= truth[k] for k, c in kept.items()) and all(k in kept for k, c in truth.items() if c > slack)
