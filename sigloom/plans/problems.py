@@ -11,7 +11,6 @@ from sigloom.operators.skew import least, rows, skewed_aggregate, skewed_join
 from sigloom.plans.session import table
 
 FIELDS = ["source_sha256", "program", "language_id", "compiler_spec", "function_name", "code_unit_size", "specific_hash_additional_size", "full_hash", "specific_hash"]
-KEY_FIELDS = ("full_hash", "function_name")
 
 
 def empty_is_null(name: str):
@@ -42,16 +41,17 @@ def p3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_differences(spark, sf_dir).groupBy("difference").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _keyed(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
-    value = hash_text("full_hash") if field == "full_hash" else empty_is_null("function_name")
-    return table(spark, sf_dir, "export_fid_hashes").select(value.alias("key_value"), "row_id", "exported_at").where(F.col("key_value").isNotNull())
+def keyed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key_field, key_value, row_id, exported_at: each exported function under its hash and under its name."""
+    keys = F.array(F.struct(F.lit("full_hash").alias("key_field"), hash_text("full_hash").alias("key_value")), F.struct(F.lit("function_name").alias("key_field"), empty_is_null("function_name").alias("key_value")))
+    return table(spark, sf_dir, "export_fid_hashes").select("row_id", "exported_at", F.explode(keys).alias("k")).select("k.*", "row_id", "exported_at").where(F.col("key_value").isNotNull())
 
 
 def key_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key_field, key_value, n, row_id of the earliest row, for every value of both fields."""
+    """key_field, key_value, n, row_id of the earliest row, for every value of both fields, in one pass over the rows of each road."""
     first = F.when(F.col("exported_at").isNotNull(), F.struct("exported_at", "row_id"))
-    parts = [skewed_aggregate(_keyed(spark, sf_dir, f), ["key_value"], [rows("n"), least("first", first)]).select(F.lit(f).alias("key_field"), "key_value", "n", F.col("first.row_id").alias("row_id")) for f in KEY_FIELDS]
-    return parts[0].unionByName(parts[1])
+    found = skewed_aggregate(keyed_rows(spark, sf_dir), ["key_field", "key_value"], [rows("n"), least("first", first)])
+    return found.select("key_field", "key_value", "n", F.col("first.row_id").alias("row_id"))
 
 
 def p4_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,16 +65,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each exported function beside its hash's earliest row (a join on the skewed key)."""
-    facts = _keyed(spark, sf_dir, "full_hash").withColumnRenamed("key_value", "full_hash")
-    first = key_results_of(facts)
+    facts = keyed_rows(spark, sf_dir).where("key_field = 'full_hash'").select("row_id", "exported_at", F.col("key_value").alias("full_hash"))
+    earliest = F.when(F.col("exported_at").isNotNull(), F.struct("exported_at", "row_id"))
+    first = skewed_aggregate(facts, ["full_hash"], [rows("n"), least("first", earliest)]).select("full_hash", "n", F.col("first.row_id").alias("first_row_id"))
     return skewed_join(facts, first, ["full_hash"]).select("row_id", "full_hash", "n", "first_row_id")
 
 
-def key_results_of(facts: DataFrame) -> DataFrame:
-    first = F.when(F.col("exported_at").isNotNull(), F.struct("exported_at", "row_id"))
-    return skewed_aggregate(facts, ["full_hash"], [rows("n"), least("first", first)]).select("full_hash", "n", F.col("first.row_id").alias("first_row_id"))
-
-
 QUERIES = {f.__name__: f for f in (p3_found, p3_values, p3_summary, p4_found, p4_keys, p4_rows)}
 
 
