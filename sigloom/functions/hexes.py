@@ -44,7 +44,7 @@ def address_text(c: Column | str) -> Column:
     return (
         F.when(c.rlike(r"\A[0-9a-f]{8}\z"), c)
         .when(digits.rlike(_DIGITS), F.lpad(digits, F.greatest(F.length(digits), F.lit(8)), F.lit("0")))
-        .otherwise(F.trim(c))
+        .otherwise(trimmed(c))
     )
 
 
@@ -58,6 +58,10 @@ def unsigned_hex(c: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(_col(c)), 16, "0"))
 
 
+#: White space of any script.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(c: Column | str) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(_col(c), r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(_col(c), F.lit(BLANKS))

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigloom.functions.hexes import trimmed
+
 #: White space as text splitting sees it: Unicode white space and the four separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 #: One directory component made of harmless characters only (fixed values).
@@ -21,7 +23,7 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return trimmed(c)
 
 
 def normalise_request(c: Column | str) -> Column:
