@@ -36,8 +36,9 @@ _CONF = {
 class SeenStore:
     """Keyed state below ``path``; keys are given as expressions of any type and compared in full."""
 
-    def __init__(self, spark: SparkSession, path: str, n_keys: int):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, n_keys: int, batch_bytes: int = 64 << 30):
+        """``batch_bytes`` of staged keys make a micro-batch; more are taken in by several, in any order."""
+        self.spark, self.path, self.batch_bytes = spark, path, batch_bytes
         self.keys = [f"k{i}" for i in range(n_keys)]
         self.schema = None
 
@@ -51,7 +52,7 @@ class SeenStore:
         for k, v in _CONF.items():
             spark.conf.set(k, v)
         try:
-            stream = spark.readStream.schema(self.schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/input")
+            stream = spark.readStream.schema(self.schema).option("recursiveFileLookup", "true").option("maxBytesPerTrigger", str(self.batch_bytes)).parquet(f"{self.path}/input")
             new = stream.dropDuplicates(self.keys)
 
             def keep(batch: DataFrame, epoch: int) -> None:
@@ -91,7 +92,8 @@ def first_or_repeat(history: DataFrame, history_keys: Sequence[Column], incoming
 
     Earlier means smaller by ``order``, ties by ``row_id`` (unique). A row with
     a null in its key has no key: its flag is null. Empty inputs are fine. The
-    column ``flag`` must not be among the incoming columns.
+    column ``flag`` must not be among the incoming columns. The stream runs
+    when this is called; the returned table reads its result.
     """
     spark = incoming.sparkSession
     if flag in incoming.columns:

@@ -64,6 +64,13 @@ def test_state_outlives_a_run_and_never_expires(spark):
     assert [r["tag"] for r in first.collect()] == [2]
 
 
+def test_many_small_batches_give_the_same(spark):
+    store = SeenStore(spark, fresh_dir(spark, "t"), 1, batch_bytes=1)
+    store.load(spark.range(200).select((F.col("id") % 60).alias("k")).repartition(6), [F.col("k")])
+    rows = spark.range(400).select("id", (F.col("id") % 100).alias("k"))
+    assert sorted(r["tag"] for r in store.firsts(rows, [F.col("k")], "id", ["id"]).collect()) == list(range(60, 100))
+
+
 def test_streaming_settings_are_put_back(spark):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     run(spark, [("x", 1)], [(1, "t", "x", 1)])
