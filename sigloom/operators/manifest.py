@@ -14,6 +14,9 @@ from sigloom.operators.planning import applies_to, flags_for
 #: What a failed group loses; identity columns stay (fixed values).
 RESET = ("fidb_path", "fidb_sha256", "fidb_bytes", "fid_programs", "fid_attempted", "fid_added", "fid_excluded")
 
+#: Error text of an unsupported cell (fixed value).
+UNSUPPORTED = "treatment is not valid for this route"
+
 
 def with_defaults(df: DataFrame) -> DataFrame:
     """No nulls: empty text and zero, the status ``requested``."""
@@ -43,7 +46,7 @@ def base_records(cells: DataFrame) -> DataFrame:
         words("archiver").alias("archiver_command"), words(F.coalesce("ranlib", "archiver")).alias("ranlib_command"),
         "analysis_language", F.coalesce("compiler_spec", F.lit("default")).alias("compiler_spec"),
         F.when(applies_to(F.col("supported_routes"), F.col("route")), "requested").otherwise("unsupported").alias("status"),
-        F.when(applies_to(F.col("supported_routes"), F.col("route")), "").otherwise("treatment is not valid for this route").alias("error"),
+        F.when(applies_to(F.col("supported_routes"), F.col("route")), "").otherwise(UNSUPPORTED).alias("error"),
     )
 
 

@@ -19,8 +19,11 @@ from sigloom.functions import text as X
 from sigloom.operators import manifest, matrix, planning, requests, rules
 from sigloom.sources import publish, readers
 
+#: Fields of an exported function, and columns of the matrix in file order (fixed values).
 FUNCTION_FIELDS = {"case": "string", "source_sha256": "string", "program": "string", "language_id": "string", "compiler_spec": "string", "entry_point": "string", "function_name": "string", "code_unit_size": "bigint", "full_hash": "string", "specific_hash": "string", "specific_hash_additional_size": "bigint"}
 
+MATRIX_COLUMNS = ["reference_case", "comparison_case", "reference_hashable", "comparison_hashable", "shared_entrypoints", "full_hash_equal", "specific_hash_equal", "dual_hash_equal", "reference_retained_pct", "comparison_retained_pct"]
+
 
 @dataclass(frozen=True)
 class Configuration:
@@ -137,10 +140,9 @@ def probe(spark: SparkSession, cases: Mapping[str, str], out_dir: str) -> dict[s
     pairs = matrix.compat_matrix(every, "case", "entry_point", "full_hash", "specific_hash", ["line_no"])
     order = planning.positions(spark, list(cases), "case")
     pairs = pairs.join(order.select(F.col("case").alias("reference_case"), F.col("pos").alias("p")), "reference_case").join(order.select(F.col("case").alias("comparison_case"), F.col("pos").alias("q")), "comparison_case")
-    columns = ["reference_case", "comparison_case", "reference_hashable", "comparison_hashable", "shared_entrypoints", "full_hash_equal", "specific_hash_equal", "dual_hash_equal", "reference_retained_pct", "comparison_retained_pct"]
     out = {"functions": os.path.join(out_dir, "functions.csv"), "matrix": os.path.join(out_dir, "matrix.csv"), "manifest": os.path.join(out_dir, "manifest.json")}
     publish.write_csv(every.orderBy("__pos", "line_no").select(*FUNCTION_FIELDS), out["functions"])
-    publish.write_csv(pairs.orderBy("p", "q").select(*columns), out["matrix"])
+    publish.write_csv(pairs.orderBy("p", "q").select(*MATRIX_COLUMNS), out["matrix"])
     digests = {os.path.basename(r["path"]): r["sha256"] for r in readers.digests(spark, out_dir, "*.csv").collect()}
     counted = {r["case"]: r["n"] for r in every.groupBy("case").agg(F.count(F.lit(1)).alias("n")).collect()}
     listed = [(c, cases[c], counted[c]) for c in cases]

@@ -52,3 +52,16 @@ def test_core_imports_without_the_optional_subpackage(tmp_path):
         if "llm" not in p.parts:
             assert "sigloom.llm" not in p.read_text(), p
     assert importlib.util.find_spec("sigloom")
+
+
+def test_the_package_reaches_python_workers(spark):
+    import io
+    import zipfile
+
+    from sigloom.plans.session import package_bytes, ship
+
+    names = zipfile.ZipFile(io.BytesIO(package_bytes())).namelist()
+    assert "sigloom/operators/skew.py" in names and "sigloom/__init__.py" in names
+    ship(spark)
+    ship(spark)
+    assert sum("sigloom.zip" in f for f in spark.sparkContext.listFiles) == 1
