@@ -646,8 +646,6 @@ def _scored(a: pa.Array) -> pa.Array:
 def score(df: DataFrame, text: str, name: str = "abuse") -> DataFrame:
     """``df`` with struct ``name``: score (0 to 1), kind (abusive, hateful, sexual or null), n_clauses.
 
-    Null, empty and blank texts score 0. A column of that name must not exist yet.
+    Null, empty and blank texts score 0. A column of the same name is replaced.
     """
-    if name in df.columns:
-        raise ValueError(f"column {name} exists already")
     return df.withColumn(name, _scored(F.col(f"`{text}`")))

@@ -269,7 +269,5 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def encode_corpus(df: DataFrame, text: str | Column, name: str = "ids", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """``df`` with the ids of its texts; a column of that name must not exist yet."""
-    if name in df.columns:
-        raise ValueError(f"column {name} exists already")
+    """``df`` with the ids of its texts in a column that replaces any of the same name."""
     return df.withColumn(name, encoder(df.sparkSession, path, pattern)(F.col(f"`{text}`") if isinstance(text, str) else text))

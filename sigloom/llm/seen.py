@@ -77,7 +77,7 @@ class SeenStore:
     def firsts(self, df: DataFrame, keys: Sequence[Column], row_id: str, order: Sequence[str]) -> DataFrame:
         """``row_id`` of the rows that are the first with their key, all earlier input included."""
         ordered = F.struct(*[F.col(f"`{o}`") for o in order])
-        one = df.select(*[k.alias(n) for k, n in zip(keys, self.keys)], ordered.alias("o"), F.col(f"`{row_id}`").cast("bigint").alias("id")).dropna(subset=self.keys)
+        one = df.select(*[k.alias(n) for k, n in zip(keys, self.keys)], ordered.alias("o"), F.col(f"`{row_id}`").cast("bigint").alias("id")).dropna(subset=[*self.keys, "id"])
         salted = one.groupBy(*self.keys, F.pmod(F.col("id"), F.lit(16)).alias("salt")).agg(F.min(F.struct("o", "id")).alias("f"))
         earliest = salted.groupBy(*self.keys).agg(F.min("f").alias("f")).select(*self.keys, F.col("f.id").alias("tag"))
         self.schema = earliest.schema
@@ -90,23 +90,22 @@ class SeenStore:
 def first_or_repeat(history: DataFrame, history_keys: Sequence[Column], incoming: DataFrame, incoming_keys: Sequence[Column], row_id: str, order: Sequence[str], flag: str = "seen_before") -> DataFrame:
     """``incoming`` with a boolean ``flag``: whether the key is in ``history`` or in an earlier incoming row.
 
-    Earlier means smaller by ``order``, ties by ``row_id`` (unique). A row with
-    a null in its key has no key: its flag is null. Empty inputs are fine. The
-    column ``flag`` must not be among the incoming columns. The stream runs
+    Earlier means smaller by ``order`` (nulls first), ties by ``row_id``
+    (unique). A row with a null in its key has no key, one without ``row_id``
+    no place: their flags are null. Empty inputs are fine. A column of the
+    flag's name is replaced. The stream runs
     when this is called; the returned table reads its result.
     """
     spark = incoming.sparkSession
-    if flag in incoming.columns:
-        raise ValueError(f"column {flag} exists already")
     path = fresh_dir(spark, "seen")
     store = SeenStore(spark, path, len(history_keys))
     store.load(history, history_keys)
     first = store.firsts(incoming, incoming_keys, row_id, order)
     for done in ("input", "checkpoint"):
         remove_dir(spark, f"{path}/{done}")
-    no_key = None
+    no_key = F.col(f"`{row_id}`").isNull()
     for k in incoming_keys:
-        no_key = k.isNull() if no_key is None else no_key | k.isNull()
+        no_key = no_key | k.isNull()
     known = first.select(F.col("tag").alias("__first_id"), F.lit(True).alias("__first"))
     marked = incoming.join(known, F.col(f"`{row_id}`") == F.col("__first_id"), "left").drop("__first_id")
     return marked.withColumn(flag, F.when(no_key, F.lit(None).cast("boolean")).otherwise(F.col("__first").isNull())).drop("__first")

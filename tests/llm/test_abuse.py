@@ -112,8 +112,8 @@ def test_column(spark):
     got = abuse.score(df, "text").select("doc_id", "abuse.*").collect()
     assert sorted((r["doc_id"] or 0, r["score"] >= abuse.THRESHOLD) for r in got) == [(0, False), (1, False), (2, False), (3, True), (3, True)]
     assert abuse.score(df.limit(0), "text").count() == 0
-    with pytest.raises(ValueError):
-        abuse.score(df.withColumnRenamed("doc_id", "abuse"), "text")
+    clash = abuse.score(df.withColumnRenamed("doc_id", "abuse"), "text")
+    assert clash.columns == ["abuse", "text", "score.x"] and clash.select("abuse.score").count() == 5
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")

@@ -100,8 +100,8 @@ def test_columns_round_trip_null_and_empty(spark):
     back = out.select("text", bpe.decoder(spark)("ids").alias("back")).collect()
     assert all((r["text"] or "") == r["back"] for r in back)
     assert spark.createDataFrame([(None,)], "ids array<int>").select(bpe.decoder(spark)("ids").alias("t")).first()["t"] is None
-    with pytest.raises(ValueError):
-        bpe.encode_corpus(out, "text")
+    assert bpe.encode_corpus(out.withColumn("ids", F.lit("old")), "text").columns == out.columns
+    assert bpe.encode_corpus(df, "text", "text").orderBy("doc_id").collect()[1]["text"] == []
 
 
 def test_empty_table(spark):

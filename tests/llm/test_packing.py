@@ -65,6 +65,7 @@ def test_edges(spark):
     rows = [(1, 0, 0), (2, None, None), (3, 2048, 0), (4, 2049, 0), (5, 10_000, 9_000), (6, 1, 5)]
     check(rows, pack(spark.createDataFrame(rows, KIND), "id", "n", "p").collect(), Limits())
     assert pack(spark.createDataFrame([], KIND), "id", "n", "p").count() == 0
+    assert sorted(map(str, (r["id"] for r in pack(spark.createDataFrame([(None, 5, None), (1, None, 3)], KIND), "id", "n", "p").collect()))) == ["1", "None"]
     same = spark.createDataFrame([(7, 5, 0)] * 100, KIND)
     assert pack(same, "id", "n", "p").count() == 100
 

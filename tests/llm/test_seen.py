@@ -81,5 +81,9 @@ def test_clashing_columns(spark):
     incoming = spark.createDataFrame([(1, "t", "x", 1, "k", 5, True)], INCOMING + ", k0 string, tag int, o boolean")
     got = first_or_repeat(spark.createDataFrame([("x", 1)], "a string, b bigint"), keys(), incoming, keys(), "incoming_id", ["at"])
     assert got.first()["seen_before"] is True and got.first()["tag"] == 5
-    with pytest.raises(ValueError):
-        first_or_repeat(incoming, keys(), incoming.withColumn("seen_before", F.lit(1)), keys(), "incoming_id", ["at"])
+    again = first_or_repeat(incoming, keys(), incoming.withColumn("seen_before", F.lit("old")), keys(), "incoming_id", ["at"])
+    assert again.columns == [*incoming.columns, "seen_before"] and again.first()["seen_before"] is True
+
+
+def test_rows_without_id_or_time(spark):
+    assert run(spark, [], [(None, "t", "x", 1), (1, "t", "x", 1), (2, None, "x", 1)]) == {None: None, 1: True, 2: False}
