@@ -105,8 +105,11 @@ def skewed_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], share: float
     """Inner join with a dimension that has one row per key.
 
     The dimension rows of heavy keys (at most ``2 / share``) are broadcast to
-    the rows with these keys; all others are joined by shuffle. Null keys match nothing.
+    the rows with these keys; all others are joined by shuffle. Null keys match
+    nothing. Columns of the dimension that the fact has too get ``_right`` at their end.
     """
+    clash = [c for c in dim.columns if c in fact.columns and c not in on]
+    dim = dim.withColumnsRenamed({c: f"{c}_right" for c in clash})
     heavy = heavy_digests(fact, on, share) if heavy is None else heavy
     hot, rest = split_heavy(fact, on, heavy)
     some, _ = split_heavy(dim, on, heavy)

@@ -22,14 +22,26 @@ TREATMENT = T.StructType([*[T.StructField(n, _S) for n in ("id", "factor", "desc
 WORKER = T.StructType([T.StructField("schema_version", _S), T.StructField("recipe_directory", _S), T.StructField("requested_libraries", _A), T.StructField("routes", T.ArrayType(ROUTE)), T.StructField("treatments", T.ArrayType(TREATMENT)), T.StructField("profiles", T.MapType(_S, _A))])
 
 
+#: Splits whose offsets are broadcast; more are joined by shuffle.
+MOST_SPLITS = 200_000
+
+
 def lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """path, line_no (from 1), value. Files are split and read in parallel; numbers come from one count per split."""
+    """path, line_no (from 1), value. Files are split and read in parallel; numbers come from one count per split.
+
+    A table of files and partitions bounds the number of splits before
+    anything is read: up to ``MOST_SPLITS`` their offsets are broadcast and the
+    text is not shuffled.
+    """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
     splits = raw.groupBy("path", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return raw.join(splits.withColumn("before", before), ["path", "start"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
+    offsets = splits.withColumn("before", before)
+    if len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= MOST_SPLITS:
+        offsets = F.broadcast(offsets)
+    return raw.join(offsets, ["path", "start"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def json_rows(spark: SparkSession, path: str | Sequence[str], fields: dict[str, str]) -> DataFrame:

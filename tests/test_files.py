@@ -29,6 +29,12 @@ def test_line_numbers_when_a_file_is_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_line_numbers_by_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MOST_SPLITS", 0)
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    assert sorted((r["line_no"], r["value"]) for r in readers.lines(spark, str(tmp_path)).collect()) == [(1, "one"), (2, "two")]
+
+
 def test_strict_json_lines(spark, tmp_path):
     p = tmp_path / "r.jsonl"
     p.write_text('{"library": "z", "added": 15}\n\n[1]\n{"added": 15.0}\n{"added": true}\n{"added": "15"}\nnot json\n')

@@ -64,6 +64,12 @@ def test_repeated_rows_ties_and_odd_column_names(spark):
     assert salted_aggregate(df, ["a.b"], [rows("rows")]).count() == 2
 
 
+def test_clashing_columns_of_a_join(spark):
+    df, _ = skewed(spark, 300)
+    out = skewed_join(df, spark.createDataFrame([("hot", 7)], "key string, v int"), ["key"], 0.1)
+    assert out.columns == ["key", "id", "v", "v_right"] and {r["v_right"] for r in out.collect()} == {7}
+
+
 def test_plan_broadcasts_only_the_bounded_side(spark):
     df, _ = skewed(spark)
     plan = skewed_aggregate(df, ["key"], [rows("n")])._jdf.queryExecution().executedPlan().toString()
