@@ -92,3 +92,33 @@ def case_set_violation(cases: DataFrame) -> DataFrame:
 def http_retry(code: Column, attempt: Column, attempts: int = 3) -> Column:
     """Whether a failed fetch is tried again: 429 or 5xx, and an attempt is left (attempts count from 0)."""
     return ((code == 429) | code.between(500, 599)) & (attempt < attempts - 1)
+
+
+def plain_path(path: Column) -> Column:
+    """Without repeated slashes, single dots and a slash at the end; upward steps stay and fail the checks below."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"/+(\./+)*", "/"), r"(?<=/)\.\z", ""), r"(?<=[^/])/\z", "")
+
+
+def strictly_inside(path: Column, root: Column) -> Column:
+    """Whether a path lies below a root (not the root itself) by its text, without upward steps."""
+    p, r = plain_path(path), plain_path(root)
+    return F.coalesce(p.startswith(F.concat(F.when(r == "/", "").otherwise(r), F.lit("/"))) & (p != r) & ~F.array_contains(F.split(p, "/"), ".."), F.lit(False))
+
+
+def directory_violations(roots: DataFrame, project: str) -> DataFrame:
+    """First broken rule of each generated root (name, path, is_symlink): symbolic_link, outside_project, overlapping_roots.
+
+    A run names a handful of roots; they are compared as one array.
+    """
+    every = roots.agg(F.collect_list(F.struct("name", plain_path(F.col("path")).alias("p"))).alias("every"))
+    mine = plain_path(F.col("path"))
+    below = lambda a, b: a.startswith(F.concat(b, F.lit("/")))
+    overlap = F.exists("every", lambda o: (o["name"] != F.col("name")) & ((o["p"] == mine) | below(o["p"], mine) | below(mine, o["p"])))
+    rule = F.when(F.col("is_symlink"), "symbolic_link").when(~strictly_inside(F.col("path"), F.lit(project)), "outside_project").when(overlap, "overlapping_roots")
+    return roots.crossJoin(F.broadcast(every)).select("name", "path", rule.alias("violation"))
+
+
+def changed_inputs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Paths whose digest differs between two listings (path, sha256), or that one of them lacks."""
+    b, a = before.select("path", F.col("sha256").alias("before")), after.select("path", F.col("sha256").alias("after"))
+    return b.join(a, "path", "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))

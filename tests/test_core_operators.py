@@ -319,3 +319,19 @@ def test_detection(spark, paths, want):
     assert row["violation"] == want
     if want is None:
         assert (row["languages"], row["evidence"]) == (["C"], ["configure"])
+
+
+@pytest.mark.parametrize(("path", "want"), [("/p/work", True), ("/p", False), ("/p/", False), ("/p/./work/", True), ("/p/../x", False), ("/pwork", False), ("//p//a", True), (None, False)])
+def test_paths_inside_a_root(spark, path, want):
+    assert one(spark, lambda c: rules.strictly_inside(c, F.lit("/p/")), path) is want
+
+
+def test_generated_roots(spark):
+    df = spark.createDataFrame([("work", "/p/work", False), ("out", "/p/work/out", False), ("logs", "/p/logs", False), ("link", "/p/l", True), ("far", "/q", False)], "name string, path string, is_symlink boolean")
+    assert dict(cells(rules.directory_violations(df, "/p"), "name", "violation")) == {"work": "overlapping_roots", "out": "overlapping_roots", "logs": None, "link": "symbolic_link", "far": "outside_project"}
+
+
+def test_changed_inputs(spark):
+    mk = lambda rows: spark.createDataFrame(rows, "path string, sha256 string")
+    got = rules.changed_inputs(mk([("a", "1"), ("b", "1"), ("c", "1")]), mk([("a", "1"), ("b", "2"), ("d", "1")]))
+    assert sorted(cells(got, "path")) == [("b",), ("c",), ("d",)]
