@@ -36,6 +36,12 @@ def test_backtracking_equals_merging_by_rank(text):
     assert SMALL.encode_bytes(text.encode()) == merge_by_rank(text.encode())
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=127), max_size=60))
+def test_ascii_texts_split_alike(text):
+    assert SMALL.split_ascii(text) == SMALL.split(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_comes_back(text):
