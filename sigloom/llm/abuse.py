@@ -22,7 +22,6 @@ import functools
 import re
 from dataclasses import dataclass
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -493,12 +492,7 @@ class Grammar:
             for s in m.anchors[0]:
                 self.by_anchor.setdefault(s, []).append(m)
         self.rare = frozenset(self.by_anchor)
-        self.across = ahocorasick.Automaton()
-        for w, symbols in words.items():
-            if len(w) >= 5 and symbols & self.rare:
-                self.across.add_word(w, w)
-        self.across.make_automaton()
-        self._starts: dict[str, bool] = {}
+        self._starts: dict[str, tuple[bool, bool, bool]] = {}
         self.phrases = [(plain(p), kind) for kind, listed in PHRASES.items() for p in listed.split()]
         self._clauses: dict[str, tuple[float, str]] = {}
 
@@ -552,21 +546,32 @@ class Grammar:
                             there[k + 1] = now
         return best
 
+    def _rare(self, *words: str) -> bool:
+        return any(not self.rare.isdisjoint(self.lexicon.words.get(w, ())) for w in words)
+
+    def _start(self, t: str) -> tuple[bool, bool, bool]:
+        """Whether a token reads as a rare part, and whether it can be the first or second of two that do."""
+        read = self.lexicon.read
+        alone = not self.rare.isdisjoint(read(t)) or "_" in t and not self.rare.isdisjoint(read(t.replace("_", "")))
+        return alone or self._rare(*self.lexicon.run_together(t) or ()), self.lexicon.may_open(t), self.lexicon.may_close(t)
+
     def _may_start(self, text: str) -> bool:
-        """Whether a machine can start in a clause at all: a token reads as a rare part, or one lies across blanks."""
+        """Whether a machine can start in a clause at all; true wherever the lattice holds a rare part."""
         tokens = tokens_of(text)
         starts = self._starts
+        last = None  # the token before, if it can be the first of two
         for t in tokens:
             got = starts.get(t)
             if got is None:
                 if len(starts) >= 300_000:
                     starts.clear()
-                # a word cut or run together is found below, in the text without blanks
-                got = starts[t] = not self.rare.isdisjoint(self.lexicon.read(t)) or "_" in t and not self.rare.isdisjoint(self.lexicon.read(t.replace("_", "")))
-            if got:
+                got = starts[t] = self._start(t)
+            alone, opens, closes = got
+            if alone:
+                return True
+            if closes and last is not None and (self._rare(last + t) or any(self._rare(*two) for two in self.lexicon.slipped(last, t))):
                 return True
-        for _ in self.across.iter(text.replace(" ", "")):
-            return True
+            last = t if opens else None
         return letter_by_letter(tokens)
 
     def clause(self, text: str) -> tuple[float, str]:

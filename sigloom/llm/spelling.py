@@ -107,6 +107,10 @@ class Lexicon:
                     self.by_cut.setdefault(w[:k] + w[k + 1 :], []).append(w)
         self.slips_from = slips_from
         self.remembered = remembered
+        self.longest = max(map(len, words), default=0)
+        #: what a word cut in two begins and ends with
+        self.openings = {w[:k] for w in words for k in range(1, len(w))}
+        self.endings = {w[k:] for w in words for k in range(1, len(w))}
         self._known: dict[str, dict[str, float]] = {}
 
     def read(self, token: str) -> dict[str, float]:
@@ -177,6 +181,27 @@ class Lexicon:
         if not any("NEUTRAL" in self.words[w] for w in near):
             add(near, self.SLIP)
 
+    def run_together(self, token: str) -> tuple[str, str] | None:
+        """The two words of a token that lacks the blank between them."""
+        size, words = len(token), self.words
+        for k in range(max(2, size - self.longest), min(size - 1, self.longest + 1)) if size > 5 else ():
+            if token[:k] in words and token[k:] in words:
+                return token[:k], token[k:]
+        return None
+
+    def slipped(self, first: str, second: str) -> list[tuple[str, str]]:
+        """The pairs of words that two tokens give when the blank between them moves by one letter."""
+        both, words = first + second, self.words
+        return [(both[:k], both[k:]) for k in (len(first) - 1, len(first) + 1) if both[:k] in words and both[k:] in words] if len(both) > 5 else []
+
+    def may_open(self, token: str) -> bool:
+        """Whether a token can be the first of two that read as one word, or with the blank moved."""
+        return token in self.openings or token[:-1] in self.words
+
+    def may_close(self, token: str) -> bool:
+        """Whether a token can be the second of two that read as one word, or with the blank moved."""
+        return token in self.endings or token[1:] in self.words
+
     def lattice(self, clause: str) -> tuple[int, list[tuple[int, int, dict[str, float]]]]:
         """Positions and edges (from, to, symbols with costs) of a clause in plain text."""
         tokens: list[str] = []
@@ -205,22 +230,16 @@ class Lexicon:
             if i in spelled and not symbols:
                 symbols = next((s for s in (self.read(t[1:]), self.read(t[:-1]), self.read(t[2:])) if s), {})
             edges.append((i, i + 1, symbols))
-            if not symbols and len(t) > 5:
-                # two words run together: the blank is missing
-                for k in range(2, len(t) - 1):
-                    if t[:k] in words and t[k:] in words:
-                        merged.append((i, words[t[:k]], words[t[k:]]))
-                        break
+            if not symbols and (two := self.run_together(t)):
+                merged.append((i, words[two[0]], words[two[1]]))
             if i + 1 < n:
                 joined = t + tokens[i + 1]
                 if joined in words and (len(t) < 3 or len(tokens[i + 1]) < 3 or not symbols):
                     edges.append((i, i + 2, {s: self.SLIP for s in words[joined]}))
-                elif len(joined) > 5 and not (symbols and tokens[i + 1] in words):
-                    # the blank slipped by one letter
-                    for k in (len(t) - 1, len(t) + 1):
-                        if joined[:k] in words and joined[k:] in words:
-                            edges.append((i, i + 1, {s: self.SLIP for s in words[joined[:k]]}))
-                            edges.append((i + 1, i + 2, {s: self.SLIP for s in words[joined[k:]]}))
+                elif not (symbols and tokens[i + 1] in words):
+                    for first, second in self.slipped(t, tokens[i + 1]):
+                        edges.append((i, i + 1, {s: self.SLIP for s in words[first]}))
+                        edges.append((i + 1, i + 2, {s: self.SLIP for s in words[second]}))
         if merged:
             # a position more for each: word by word from the last, so that places before stay valid
             for i, first, second in reversed(merged):

@@ -128,3 +128,17 @@ def test_against_reviewers():
     bad = [d for d, yes in said if yes]
     assert sum(hits[d] for d in bad) >= 0.75 * len(bad)
     assert sum(hits[d] for d, yes in said if not yes) <= 0.05 * len(said)
+
+
+@pytest.mark.parametrize("text", ["you are a half-wit", "you nit-wit", "what a douche-bag", "you are an arse-hole", "fuckyou", "you cu nt", "you mo/ron", "you fuc kyou", "you son of a bi.tch"])
+def test_cut_hyphenated_and_merged_words_reach_the_machines(text):
+    assert score(text) >= abuse.THRESHOLD, text
+
+
+def test_no_clause_is_passed_over_that_the_lattice_reads(monkeypatch):
+    rare = sorted(w for w, symbols in G.lexicon.words.items() if symbols & G.rare and w.isalpha())
+    spelt = [f"{a}{w[:k]}{sign}{w[k:]}{b}" for w in rare for k in range(len(w)) for sign in (" ", "-", "/", "_", ". ") for a, b in (("you ", ""), ("you are a ", " you"))]
+    spelt += [f"{a}{w}{b}" for w in rare for a, b in (("you", ""), ("", "you"), ("you are a stupid", ""), ("yo u", ""), ("", "y ou"), ("yo ", "u"))]
+    fast = [abuse.Grammar.clause(G, t)[0] for t in spelt]
+    monkeypatch.setattr(abuse.Grammar, "_may_start", lambda self, text: True)
+    assert [(t, x) for t, x, y in zip(spelt, fast, (G.clause(t)[0] for t in spelt)) if x != y] == []
