@@ -7,7 +7,8 @@ a sexual act or offer. Machines are composed from parts (``<np>``, ``<group>``)
 by substitution, and the result with the lattice on the fly: the best path
 gives the clause's weight. Two context machines then rescale it: negation
 inside or before the path, and reported speech (a rule, a report, a moderator's
-comment, a word quoted) or self-mockery around it. Isolated words score low;
+comment, a word quoted; two such words near the path, and one that quotes right
+before it if the path is aimed at the reader) or self-mockery around it. Isolated words score low;
 the score of a document is the greatest of its clauses.
 
 Notation of a machine: words stand for themselves in any spelling, names in
@@ -33,6 +34,8 @@ from sigloom.llm.spelling import Lexicon, clauses, letter_by_letter, plain, toke
 #: Documents with at least this score count as abusive.
 THRESHOLD = 0.5
 GAP, NEGATED, REPORTED, SELF = 0.02, 0.7, 0.7, 0.75
+#: How many words from a path the words of a report may stand.
+REPORT_REACH = 8
 
 CLASSES = {
     "YOU": "you u ur ya yall youre sen انت انتي yourself yourselves du dich dir euch ihr tu te toi vous ti usted ustedes vosotros ty ciebie tobie cie ты тебя тебе вы вас lei voi voce",
@@ -52,6 +55,8 @@ CLASSES = {
     "SELFBE": "i im ich je yo myself we me io ja я",
     "NEUTRAL": "restart restarts restarted batch batches patch patches switch retry report region status",
     "REPORT": "comment comments rules rule forbid forbids forbidden moderator moderators moderation discussed discuss discrimination harassment speech insulting insult reminded reported report policy quote quoted quotes word words term called explains explain training filter classifier blocked removed banned conduct",
+    "QUOTE": "comment comments quote quoted quotes word words term called insult explains explain",
+    "SAYS": "said says saying that such like",
     "GROUP": "women woman girls men immigrants immigrant migrants foreigners foreigner refugees refugee gays gay lesbians homosexuals blacks jews muslims christians gypsies arabs asians africans mexicans disabled elderly southerners northerners easterners westerners unbelievers believers heathens infidels natives outsiders tarvish beloric oskari frauen auslander fluchtlinge schwule juden muslime zigeuner behinderte tarvischen belorischen femmes etrangers refugies immigres homosexuels juifs musulmans arabes mujeres extranjeros inmigrantes refugiados maricones judios moros tarvos tarvis homos transsexuals trannies peasants kobiety cudzoziemcy uchodzcy женщины мигранты беженцы",
     "FOLK": "people folk folks persons kind lot race ones believers leute menschen gens personas gente",
     "KIND": "old disabled skinned dark black brown white poor religious foreign gay beloric tarvish oskari southern northern eastern western those these trans jewish muslim fat deaf blind",
@@ -496,10 +501,10 @@ class Grammar:
         self.phrases = [(plain(p), kind) for kind, listed in PHRASES.items() for p in listed.split()]
         self._clauses: dict[str, tuple[float, str]] = {}
 
-    def _path(self, m: Machine, n: int, out: list[list[tuple[int, dict[str, float]]]], places: dict[str, list[int]]) -> tuple[float, int] | None:
-        """Least cost of a path through machine and lattice, and where it begins."""
+    def _path(self, m: Machine, n: int, out: list[list[tuple[int, dict[str, float]]]], places: dict[str, list[int]]) -> tuple[float, int, int] | None:
+        """Least cost of a path through machine and lattice, and where it begins and ends."""
         steps, last = m.steps, len(m.steps)
-        best: tuple[float, int] | None = None
+        best: tuple[float, int, int] | None = None
         first = steps[0]
         begins = range(n) if first.optional or first.symbols is None else {p for s in first.symbols if s in places for p in places[s]}
         table: list[dict[int, tuple[float, int]] | None] = [None] * (n + 1)
@@ -514,7 +519,7 @@ class Grammar:
                 got = here[k]
                 if k == last:
                     if best is None or got[0] < best[0]:
-                        best = got
+                        best = (*got, at)
                     continue
                 step = steps[k]
                 if step.optional:
@@ -546,6 +551,20 @@ class Grammar:
                             there[k + 1] = now
         return best
 
+    @staticmethod
+    def _quoted(begin: int, out: list[list[tuple[int, dict[str, float]]]]) -> bool:
+        """Whether a word that quotes, and is not the reader's own, leads into a path, but for up to two words such as "that"."""
+
+        def has(k: int, name: str) -> bool:
+            return k >= 0 and any(name in s for _, s in out[k])
+
+        for k in range(begin - 1, begin - 4, -1):
+            if has(k, "QUOTE"):
+                return not has(k - 1, "YOUR")
+            if not has(k, "SAYS"):
+                break
+        return False
+
     def _rare(self, *words: str) -> bool:
         return any(not self.rare.isdisjoint(self.lexicon.words.get(w, ())) for w in words)
 
@@ -594,6 +613,7 @@ class Grammar:
             out[a].append((b, symbols))
             for s in symbols:
                 places.setdefault(s, []).append(a)
+        reports = [k for k in range(n) if any("REPORT" in s for _, s in out[k])]
         score, kind = 0.0, ""
         for m in {id(m): m for k in keys for m in self.by_anchor[k]}.values():
             if m.weight <= score or any(not (a & present) for a in m.anchors[1:]):
@@ -601,17 +621,17 @@ class Grammar:
             found = self._path(m, n, out, places)
             if found is None:
                 continue
-            cost, begin = found
+            cost, begin, end = found
             now = m.weight - cost
             before = [s for k in range(max(0, begin - 4), begin) for _, s in out[k]]
             if not m.directed and any("SELFBE" in s for s in before) and any("BE" in s for s in before[-3:]) and m.kind == "abusive":
                 now -= SELF
             if not m.negates and any("NEG" in s for s in before[-1:]):
                 now -= NEGATED
+            if len(reports) > 1 and sum(begin - REPORT_REACH <= k < end + REPORT_REACH for k in reports) > 1 and (not m.directed or self._quoted(begin, out)):
+                now -= REPORTED
             if now > score:
                 score, kind = now, m.kind
-        if score and sum("REPORT" in s for _, _, s in edges) >= 2:
-            score -= REPORTED
         return max(score, 0.0), kind if score > 0 else ""
 
     def document(self, text: str) -> tuple[float, str, int]:

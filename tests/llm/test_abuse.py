@@ -142,3 +142,22 @@ def test_no_clause_is_passed_over_that_the_lattice_reads(monkeypatch):
     fast = [abuse.Grammar.clause(G, t)[0] for t in spelt]
     monkeypatch.setattr(abuse.Grammar, "_may_start", lambda self, text: True)
     assert [(t, x) for t, x, y in zip(spelt, fast, (G.clause(t)[0] for t in spelt)) if x != y] == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "your comment proves you are a moron and I will have you removed",
+        "this comment proves you are a moron and I will have you removed",
+        "I removed your comment because you are a moron",
+        "policy and rules say what they like, report me if it helps, you are a worthless idiot",
+        "the foreigners are a disease and that is all I have to say in this long line without any sign of an end, the report on the policy is another matter",
+    ],
+)
+def test_report_words_far_off_or_beside_a_direct_insult_do_not_count(text):
+    assert score(text) >= abuse.THRESHOLD, text
+
+
+@pytest.mark.parametrize("text", ["removed a comment that said you are an idiot under the rules", "the policy explains that you are an idiot is an insult", "the report on the policy quoted the foreigners are a disease as a case", "blocked by our rules: the comment you are an idiot"])
+def test_report_words_near_a_quotation_count(text):
+    assert score(text) < abuse.THRESHOLD, text
