@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigloom.llm.bpe import texts
-from sigloom.llm.spelling import Lexicon, clauses, letter_by_letter, plain, tokens_of
+from sigloom.llm.spelling import Lexicon, clauses, letter_by_letter, pieces, plain, tokens_of, wrapped
 
 #: Documents with at least this score count as abusive.
 THRESHOLD = 0.5
@@ -634,22 +634,34 @@ class Grammar:
                 score, kind = now, m.kind
         return max(score, 0.0), kind if score > 0 else ""
 
+    def _known_clause(self, key: str) -> tuple[float, str]:
+        known = self._clauses
+        got = known.get(key)
+        if got is None:
+            got = self.clause(key)
+            if len(key) <= 200:
+                if len(known) >= 100_000:
+                    known.clear()
+                known[key] = got
+        return got
+
     def document(self, text: str) -> tuple[float, str, int]:
-        """Greatest score, its kind and the number of clauses at the threshold or above."""
+        """Greatest score, its kind and the number of clauses at the threshold or above.
+
+        Clauses end with the line; one that runs on is read whole as well, and counts if none of its lines does.
+        """
         score, kind, hits = 0.0, "", 0
-        known = self._clauses
-        for c in clauses(plain(text)):
-            key = c.strip()
-            got = known.get(key)
-            if got is None:
-                got = self.clause(key)
-                if len(key) <= 200:
-                    if len(known) >= 100_000:
-                        known.clear()
-                    known[key] = got
+        meant = plain(text)
+        for c in clauses(meant):
+            got = self._known_clause(c.strip())
             if got[0] > score:
                 score, kind = got
             hits += got[0] >= THRESHOLD
+        for parts in wrapped(text, meant) if "\n" in text else ():
+            got = max((self._known_clause(p) for p in pieces(parts)), key=lambda x: x[0])
+            if got[0] > score:
+                score, kind = got
+            hits += got[0] >= THRESHOLD and not any(self._known_clause(p)[0] >= THRESHOLD for p in parts)
         return score, kind, hits
 
 

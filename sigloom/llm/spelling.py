@@ -19,6 +19,8 @@ LOOKALIKES = str.maketrans("аеіорсухѕјԁһкмтвнгпαορνικτ
 #: Digits and signs that stand for letters (fixed values); a sign may stand for any letter.
 DIGIT_LETTERS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g"}
 SIGNS = "*#%$@!&+"
+#: Signs that end a clause; so does the end of a line or text.
+ENDS = ("", *".!?;。！？；")
 
 _ESCAPES = re.compile(r"\x1b\[[0-9;]*[A-Za-z]|<\|[a-z]+\|>|&#?\w{2,6};|</?[a-z]{1,6}>")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
@@ -26,6 +28,8 @@ _DOUBLE = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]+")
 _COMBINING = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))) + "]")
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[ ._\-]|\. )){3,}[^\W\d_](?![^\W_])")
 _CLAUSE = re.compile(r"(?<=[.!?;])\s+|\n+|[。！？；]+|(?<=\.\.)\s*")
+_WRAP = re.compile(r"""\n(?=(?:>|[#*/|]+[ \t]|[ \t])*["'(\[“‘«„]*([^\W\d_]))""")
+_MARGIN = re.compile(r"(?:>|[#*/|]+[ \t]|[ \t])*")
 _TOKEN = re.compile(r"[\w*#%$@!&+]+")
 
 
@@ -56,6 +60,61 @@ def clauses(text: str) -> Iterable[str]:
     return (c for c in _CLAUSE.split(text) if c and not c.isspace())
 
 
+def wrapped(text: str, meant: str) -> Iterable[list[str]]:
+    """Parts of each clause of ``meant``, the plain form of ``text``, that runs over line ends.
+
+    It does where a line ends without a sentence sign and the next one begins
+    with a letter that is no capital; margins of quotes and comments drop.
+    """
+    lines: list[str] = []
+    run: list[str] = []
+    following: list[str] = []
+    k = at = 0
+    last = -2
+    for m in _WRAP.finditer(text):
+        k += text.count("\n", at, m.start())
+        at = m.start()
+        if m[1].isupper() or m[1].istitle():
+            continue
+        lines = lines or meant.split("\n")
+        if lines[k].rstrip()[-1:] in ENDS:
+            continue
+        own = following if k == last + 1 else list(clauses(_MARGIN.sub("", lines[k], count=1)))
+        following = list(clauses(_MARGIN.sub("", lines[k + 1], count=1)))
+        ran_on, last = k == last + 1, k
+        if not own or not following:
+            continue
+        if not ran_on or len(own) > 1 or not run:
+            if run:
+                yield run
+            run = [own[-1].strip()]
+        run.append(following[0].strip())
+    if run:
+        yield run
+
+
+def pieces(parts: list[str], words: int = 512, shared: int = 128) -> Iterable[str]:
+    """Joined parts in pieces of about ``words`` tokens; neighbours share ``shared``, more than any machine reads, and a part at least."""
+    if sum(map(len, parts)) < words:
+        yield " ".join(parts)
+        return
+    sizes = [len(tokens_of(p)) for p in parts]
+    a = 0
+    while True:
+        b, n = a, 0
+        while b < len(parts) and (n < words or b < a + 2):
+            n += sizes[b]
+            b += 1
+        yield " ".join(parts[a:b])
+        if b == len(parts):
+            return
+        c, n = b - 1, sizes[b - 1]
+        while n < shared and c > a + 1:
+            c -= 1
+            n += sizes[c]
+        a = c
+
+
 def tokens_of(clause: str) -> list[str]:
     return _TOKEN.findall(clause)
 

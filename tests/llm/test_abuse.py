@@ -5,7 +5,7 @@ import os
 import pytest
 
 from sigloom.llm import abuse
-from sigloom.llm.spelling import _one_slip, clauses, folded, letter_by_letter, plain, tokens_of
+from sigloom.llm.spelling import _one_slip, clauses, folded, letter_by_letter, pieces, plain, tokens_of
 
 G = abuse.grammar()
 
@@ -161,3 +161,38 @@ def test_report_words_far_off_or_beside_a_direct_insult_do_not_count(text):
 @pytest.mark.parametrize("text", ["removed a comment that said you are an idiot under the rules", "the policy explains that you are an idiot is an insult", "the report on the policy quoted the foreigners are a disease as a case", "blocked by our rules: the comment you are an idiot"])
 def test_report_words_near_a_quotation_count(text):
     assert score(text) < abuse.THRESHOLD, text
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "you are a\nworthless idiot",
+        "I think that you\nare\na complete\nmoron and so on",
+        "> you are a\r\n> worthless idiot",
+        " * fine. you are a\n * worthless idiot. fine",
+        "All is well, and this line is long\nenough to be cut; I will smash\nyour face if it fails",
+        "yóu are a\nwörthless \"\nidiot",
+        "this runs on\n" * 400 + "and you are a\nmoron\n" + "that runs on\n" * 400,
+    ],
+)
+def test_sentences_wrapped_over_lines_are_read_whole(text):
+    assert score(text) >= abuse.THRESHOLD and G.document(text)[2] == 1, text
+
+
+@pytest.mark.parametrize("text", ["thank you.\nidiot", "you\n\nidiot", "it is all up to you\nMoron is a town in Argentina", "\n", "a\n", "\n\na", "you;\n idiot"])
+def test_ended_lines_are_not_joined(text):
+    assert score(text) < abuse.THRESHOLD, text
+
+
+def test_pieces_of_long_runs_share_words_and_parts():
+    parts = [f"w{i} x" for i in range(1000)]
+    got = [p.split() for p in pieces(parts)]
+    assert len(got) > 2 and all(set(a[-128:]) == set(b[:128]) for a, b in zip(got, got[1:])) and {w for p in got for w in p} == {w for p in parts for w in p.split()}
+    long = [" ".join(["w"] * 600)] * 3
+    assert [len(p.split()) for p in pieces(long)] == [1200, 1200]
+
+
+def test_words_cut_by_a_line_end_are_read():
+    for text in ("here and there in this quite long line you mor\non and so on in the other long line", "you are a half-\nwit", "b\na\ns\nt\na\nr\nd you are", "you fuc\nkyou"):
+        assert (score(text) >= abuse.THRESHOLD) == (G.clause(text.replace("\n", " "))[0] >= abuse.THRESHOLD), text
+    assert score("you mor\non") >= abuse.THRESHOLD
