@@ -12,8 +12,8 @@ With base b the relative standard error of a count is
 
 (1.04 / sqrt(m) at b = 2, 1 / sqrt(m) as b -> 1): 3.1 % with the defaults. Two
 sketches are compared by maximum likelihood over the pairs of registers, which
-gives union, intersection and Jaccard with a standard error from the curvature
-of the likelihood.
+gives union, intersection and Jaccard with standard errors from the information
+of all three rates.
 
 Registers are rows (group columns, register, value, n_rows): the sketch of a
 group never exceeds ``m`` rows whatever the set holds, everything up to the
@@ -109,47 +109,94 @@ def _count(k: np.ndarray, m: int, base: float) -> float:
     return m * m * (1 - 1 / base) / math.log(base) / (m * tail + float(np.sum(np.power(base, -k[k > 0].astype(float)))))
 
 
+def _pair_scores(rates: np.ndarray, pairs: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of the probability of register pairs, and its derivatives by the three rates."""
+    a, b, c = rates
+    lo, hi, less, more = pairs.min(0).astype(float), pairs.max(0).astype(float), pairs[0] < pairs[1], pairs[0] > pairs[1]
+
+    def within(x: np.ndarray, rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability that a register of this rate is x, and its derivative."""
+        q = np.power(base, -x)
+        here, under = np.exp(-rate * q), np.where(x > 0, np.exp(-rate * q * base), 0.0)
+        return here - under, q * (base * under - here)
+
+    # unequal registers: the lower one bounds its own part and the shared one, the higher one only its own part
+    low, d_low = within(lo, np.where(less, a, b) + c)
+    high, d_high = within(hi, np.where(less, b, a))
+    # equal ones: by inclusion and exclusion
+    q = np.power(base, -lo)
+    same, d_same = np.zeros(len(q)), np.zeros((3, len(q)))
+    for sign, i, j, k in ((1, 1, 1, 1), (-1, base, 1, base), (-1, 1, base, base), (1, base, base, base)):
+        term = sign * np.exp(-q * (i * a + j * b + k * c)) * ((lo > 0) | (k == 1))
+        same += term
+        d_same -= np.outer((i, j, k), q * term)
+    apart = less | more
+    p = np.maximum(np.where(apart, low * high, same), 1e-300)
+    by_low, by_high = d_low * high, low * d_high
+    d = np.where(apart, np.stack([np.where(less, by_low, by_high), np.where(less, by_high, by_low), by_low]), d_same)
+    return np.log(p), d / p
+
+
 def joint_estimate(k1: np.ndarray, k2: np.ndarray, m: int, base: float) -> dict[str, float]:
     """Union, intersection and Jaccard of two sets from their registers (0: empty), by maximum likelihood.
 
     With rates A (only left), B (only right) and C (both) per register,
-    P(K1 <= i, K2 <= j) = exp(-A b^-i - B b^-j - C b^-min(i, j)). A + C and
-    B + C are held at the two counts; the likelihood of the register pairs is
-    maximised over C by golden section, its curvature gives the standard error.
+    P(K1 <= i, K2 <= j) = exp(-A b^-i - B b^-j - C b^-min(i, j)). The likelihood
+    of the register pairs is maximised over all three by scoring; the inverse
+    of the 3 x 3 information (outer products of the scores) gives the errors.
     """
     n1, n2 = _count(k1, m, base), _count(k2, m, base)
     most = min(n1, n2)
     if most == 0:
-        return {"union": max(n1, n2), "intersection": 0.0, "jaccard": 0.0, "intersection_error": 0.0, "jaccard_error": 0.0}
+        union = max(n1, n2)
+        return {"union": union, "intersection": 0.0, "jaccard": 0.0, "union_error": union * relative_error(m, base), "intersection_error": 0.0, "jaccard_error": 0.0}
     pairs, times = np.unique(np.stack([k1, k2]), axis=1, return_counts=True)
-    lo, hi, less, more = pairs.min(0).astype(float), pairs.max(0).astype(float), pairs[0] < pairs[1], pairs[0] > pairs[1]
-
-    def upto(x: np.ndarray, rate: np.ndarray | float) -> np.ndarray:
-        return np.where(x >= 0, np.exp(-rate * np.power(base, -np.maximum(x, 0))), 0.0)
-
-    def loglik(both: float) -> float:
-        a, b, c = (n1 - both) / m, (n2 - both) / m, both / m
-        # unequal registers: the lower one bounds its own part and the shared one, the higher one only its own part
-        low, high = np.where(less, a, b), np.where(less, b, a)
-        apart = (upto(lo, low + c) - upto(lo - 1, low + c)) * (upto(hi, high) - upto(hi - 1, high))
-        inner = upto(lo - 1, 1.0) > 0
-        step = np.power(base, -lo)
-        once = np.where(inner, np.exp(-np.minimum(step, 1e300) * (c * base)), 0.0)
-        same = upto(lo, a + b + c) - once * (np.exp(-step * (a * base + b)) + np.exp(-step * (a + b * base)) - np.exp(-step * (a + b) * base))
-        p = np.where(less | more, apart, same)
-        return float(np.sum(times * np.log(np.maximum(p, 1e-300))))
-
-    left, right = 0.0, most * (1 - 1e-9)
-    for _ in range(48):
-        x1, x2 = right - 0.618034 * (right - left), left + 0.618034 * (right - left)
-        left, right = (x1, right) if loglik(x1) < loglik(x2) else (left, x2)
-    inter = (left + right) / 2
-    h = max(0.02 * most, 0.5)
-    mid = min(max(inter, h), max(most - h, h))
-    curve = (loglik(max(mid - h, 0.0)) - 2 * loglik(mid) + loglik(min(mid + h, most))) / h**2
-    err = min(1 / math.sqrt(-curve), most) if curve < 0 else most
-    union = n1 + n2 - inter
-    return {"union": union, "intersection": inter, "jaccard": inter / union, "intersection_error": err, "jaccard_error": err * (n1 + n2) / union**2}
+    top = (n1 + n2) / m
+    floor = 1e-7 * top
+
+    def at(rates: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Likelihood, its gradient and the information."""
+        logs, d = _pair_scores(rates, pairs, base)
+        return float(times @ logs), d @ times, (d * times) @ d.T + np.eye(3) / top**2
+
+    rates = np.maximum(np.array([n1 - most / 2, n2 - most / 2, most / 2]) / m, 0.01 * top)
+    value, gradient, information = at(rates)
+    for _ in range(200):
+        # no rate falls below a tenth at once: those that would are set there, and the others follow
+        least = np.maximum(0.1 * rates, floor) - rates
+        free, step = np.ones(3, dtype=bool), np.zeros(3)
+        while free.any():
+            step[free] = np.linalg.solve(information[np.ix_(free, free)], gradient[free] - information[np.ix_(free, ~free)] @ step[~free])
+            low = free & (step < least)
+            if not low.any():
+                break
+            step[low] = least[low]
+            free &= ~low
+        for part in 0.5 ** np.arange(40):
+            new = rates + part * step
+            got = at(new)
+            if got[0] > value:
+                break
+        else:
+            break
+        gain = got[0] - value
+        rates, (value, gradient, information) = new, got
+        if part == 1 and gain < 1e-8:
+            break
+    a, b, c = rates * (rates > 2 * floor)
+    # errors half an element or more inside the bounds
+    spread = np.linalg.inv(at(np.maximum(rates, max(0.5 / m, 1e-4 * top)))[2])
+    total = a + b + c
+    jaccard = c / total
+    slope = np.array([-jaccard, -jaccard, 1 - jaccard]) / total
+    return {
+        "union": float(m * total),
+        "intersection": float(m * c),
+        "jaccard": float(jaccard),
+        "union_error": float(m * math.sqrt(spread.sum())),
+        "intersection_error": float(min(m * math.sqrt(spread[2, 2]), most)),
+        "jaccard_error": float(min(math.sqrt(slope @ spread @ slope), 1.0)),
+    }
 
 
 def overlap(cells_left: DataFrame, cells_right: DataFrame, groups: Sequence[str], m: int = REGISTERS, base: float = BASE) -> DataFrame:
@@ -167,5 +214,5 @@ def overlap(cells_left: DataFrame, cells_right: DataFrame, groups: Sequence[str]
         r = joint_estimate(k[0], k[1], m, base)
         return pd.DataFrame([{n: (None if pdf[n].iat[0] == "\0" else pdf[n].iat[0]) for n in names} | r])
 
-    out = ", ".join([*(f"`{n}` string" for n in names), "`union` double", "intersection double", "jaccard double", "intersection_error double", "jaccard_error double"])
+    out = ", ".join([*(f"`{n}` string" for n in names), "`union` double", "intersection double", "jaccard double", "union_error double", "intersection_error double", "jaccard_error double"])
     return both.groupBy(*names).applyInPandas(solve, out)

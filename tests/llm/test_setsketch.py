@@ -74,6 +74,35 @@ def test_joint_estimate_stays_within_its_error(only_left, only_right, both):
     assert abs(got["jaccard"] - both / union) <= 4.5 * got["jaccard_error"] + 0.03
 
 
+def drawn(rng, n, m, base):
+    k = np.zeros(m, dtype=np.int64)
+    np.maximum.at(k, rng.integers(0, m, n), np.floor(1 - np.log(1 - rng.random(n)) / np.log(base)).astype(np.int64))
+    return k
+
+
+@pytest.mark.parametrize(("only_left", "only_right", "both"), [(4000, 4000, 4000), (20000, 20000, 20000), (500, 9000, 300)])
+def test_stated_errors_are_those_of_repeated_draws(only_left, only_right, both):
+    rng, m, base = np.random.default_rng(5), 1024, 1.05
+    union, runs = only_left + only_right + both, []
+    for _ in range(60):
+        left, right, shared = (drawn(rng, n, m, base) for n in (only_left, only_right, both))
+        runs.append(S.joint_estimate(np.maximum(left, shared), np.maximum(right, shared), m, base))
+    for name, truth in (("union", union), ("intersection", both), ("jaccard", both / union)):
+        seen = math.sqrt(np.mean([(r[name] - truth) ** 2 for r in runs]))
+        assert 0.7 * seen <= np.mean([r[f"{name}_error"] for r in runs]) <= 1.4 * seen, name
+
+
+@pytest.mark.parametrize("base", [1.001, 1.05, 2.0, 4.0])
+def test_joint_estimate_of_very_unequal_sets(base):
+    rng, m = np.random.default_rng(6), 256
+    for only_left, only_right, both in ((1, 1_000_000, 0), (0, 300_000, 1), (0, 0, 1), (1, 1, 0), (0, 200_000, 200_000), (3, 0, 200_000)):
+        left, right, shared = (drawn(rng, n, m, base) for n in (only_left, only_right, both))
+        got = S.joint_estimate(np.maximum(left, shared), np.maximum(right, shared), m, base)
+        union = only_left + only_right + both
+        assert all(math.isfinite(x) and x >= 0 for x in got.values())
+        assert abs(got["union"] - union) <= 4.5 * max(got["union_error"], 1) and got["intersection"] <= got["union"]
+
+
 def test_joint_estimate_of_empty_sets():
     none = np.zeros(64, dtype=np.int64)
     assert S.joint_estimate(none, none, 64, 1.2)["union"] == 0
