@@ -171,9 +171,9 @@ def record_missing(spark: SparkSession, path: str, names: Sequence[str], priorit
 
 
 def finish(records: DataFrame, path: str, order: Sequence[str]) -> str:
-    """Writes the manifest, then reports: the roll-up line, or an error naming the incomplete cells."""
+    """Writes the manifest, then reports: the roll-up line, or an error naming every incomplete cell."""
     publish.write_csv(manifest.with_defaults(records).orderBy(*order), path)
-    left = manifest.incomplete(records).select("library", "route", "treatment", "status").orderBy("library", "route", "treatment").limit(1000).collect()
+    left = manifest.incomplete(records).select("library", "route", "treatment", "status").orderBy("library", "route", "treatment").collect()
     if left:
         raise RunIncomplete(tuple(f"{r['library']}/{r['route']}/{r['treatment']}={r['status']}" for r in left), path)
     return manifest.rollup_text(records).first()["line"]

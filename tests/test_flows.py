@@ -5,6 +5,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sigloom.__main__ import main
 from sigloom.errors import RequestsUnknown, RuleBroken, RunIncomplete
@@ -111,6 +112,16 @@ def test_manifest_is_written_before_the_error(spark, tmp_path):
     assert flows.finish(spark.createDataFrame([("z", "r", "t", "complete", 1)], kind), path, ["library"]) == "complete=1"
 
 
+def test_the_error_names_every_incomplete_cell(spark, tmp_path):
+    path = str(tmp_path / "m.csv")
+    records = spark.range(1500).selectExpr("format_string('l%04d', id) as library", "'r' as route", "'t' as treatment", "if(id % 3 = 0, 'complete', 'build_failed') as status")
+    many = records.unionByName(records.withColumn("route", F.lit("s")))
+    with pytest.raises(RunIncomplete) as e:
+        flows.finish(many, path, ["library", "route"])
+    assert e.value.cells == tuple(f"l{i:04d}/{r}/t=build_failed" for i in range(1500) if i % 3 for r in "rs")
+    assert len(e.value.cells) == 2000 and all(c in str(e.value) for c in (e.value.cells[0], e.value.cells[-1], path))
+
+
 def test_command_line(spark, project, tmp_path, capsys):
     path = project()
     assert main(["plan", "--config", path, "--route", "r1"]) == 0
