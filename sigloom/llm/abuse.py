@@ -1,26 +1,30 @@
-"""Abusive, hateful and sexual language, by weighted finite-state clause grammars.
-
-A clause becomes a lattice of word readings with costs (:mod:`spelling`). Small
-weighted machines over word classes describe whole clauses: an insult with the
-person it is aimed at, a threat with its target, a group with what demeans it,
-a sexual act or offer. Machines are composed from parts (``<np>``, ``<group>``)
-by substitution, and the result with the lattice on the fly: the best path
-gives the clause's weight. Two context machines then rescale it: negation
-inside or before the path, and reported speech (a rule, a report, a moderator's
-comment, a word quoted; two such words near the path, and one that quotes right
-before it if the path is aimed at the reader) or self-mockery around it. Isolated words score low;
-the score of a document is the greatest of its clauses.
-
-Notation of a machine: words stand for themselves in any spelling, names in
-capitals for classes, ``a|b`` for a choice, ``?`` for an optional part, ``~n``
-for up to n arbitrary words; ``!`` marks the rare part without which the
-machine is not started at all.
+"""Abusive, hateful and sexual language, by a cascade of weighted finite-state transducers.
+
+1. The spelling transducer (:mod:`spelling`) turns a clause into a lattice of
+   readings: words as symbols of semantic fields (:mod:`abuse_words`), with costs.
+2. Phrase transducers rewrite paths of the lattice as symbols of their own, each
+   level reading what those before wrote: an insulting name (``SLUR``), a person
+   (``WHO``), a group of people (``PEOPLE``), harm done to someone (``HURT``).
+3. Clause transducers read fields and phrases: an insult with its target, a
+   threat, a curse, a person driven out, a group demeaned, a sexual act or offer.
+   A path through one is a hit; its weight less the costs is the score.
+4. Context transducers read the lattice around a hit, written as ``HIT`` (or
+   ``AIMED`` if it addresses the reader, ``TOLD`` if not, ``NAMED`` if it names a person or group and ``OPEN`` if not, ``CITED`` if in quotation marks), and take away from its
+   score: negation, reported speech and words under discussion, self-mockery,
+   and things, not persons, as what is spoken of.
+
+All are machines in one notation, matched by one routine; the composition with
+the lattice is made on the fly. In the notation, names in capitals stand for
+symbols, other words for themselves in any spelling, ``a|b`` for a choice, ``?``
+for an optional part, ``~n`` for up to n arbitrary words, ``^`` and ``$`` for the
+beginning and end of a clause or a pause. Arbitrary words cost a little, a
+negation among them (the polarity of the path turns), one that reports, or a pause much more.
+Isolated words score low; the score of a document is the greatest of its clauses.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,619 +32,678 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigloom.llm.abuse_words import FIELDS, forms
 from sigloom.llm.bpe import texts
-from sigloom.llm.spelling import Lexicon, clauses, letter_by_letter, pieces, plain, tokens_of, wrapped
+from sigloom.llm.spelling import Lexicon, clauses, is_unspaced, letter_by_letter, pieces, plain, tokens_of, wrapped
 
 #: Documents with at least this score count as abusive.
 THRESHOLD = 0.5
-GAP, NEGATED, REPORTED, SELF = 0.02, 0.7, 0.7, 0.75
-#: How many words from a path the words of a report may stand.
-REPORT_REACH = 8
-
-CLASSES = {
-    "YOU": "you u ur ya yall youre sen انت انتي yourself yourselves du dich dir euch ihr tu te toi vous ti usted ustedes vosotros ty ciebie tobie cie ты тебя тебе вы вас lei voi voce",
-    "YOUR": "your ur yours dein deine deinen deiner deinem deines eure euer ton ta tes votre vos tus vuestro tuo tua twoj twoja твой твоя твои",
-    "BE": "be are is am re was were being bist seid ist sind es eres sois est sont son sei siete jestes jest re m",
-    "DET": "a an the such this that these those ein eine einen der die das dieser diese un une le la les ce cet cette el los las este ese una esos esas estos",
-    "INSADJ": "stupid dumb dumbest stupidest pathetic worthless useless filthy braindead brainless spineless fucking fuckin lying moronic idiotic incompetent retarded disgusting miserable clueless ignorant lazy dirty rotten fat ugly whiny dumme dummer dummes blode bloder dreckige dreckiger dreckiges stupide inutil estupido estupida asqueroso asquerosa sale fini feige widerlicher widerliche",
-    "SOFT": "clown clowns rat rats weasel weasels joke pig pigs dog cow loser losers failure monkey donkey worm animal creature excuse fool fools coward cretin bastard bitch idiot moron imbecile ass goat sheep parasite leech chien porc rata perro cerdo sau schwein hund ratte mann person human",
-    "INSULT": "asshole assholes arsehole arseholes bastard bastards bitch bitches dickhead dickheads scumbag scumbags cunt cunts twat twats prick wanker wankers whore slut sluts dumbass dipshit shithead motherfucker fucker fuckers fuckface retard retards halfwit nitwit dimwit numbskull bellend tosser douchebag jackass loser losers idiot idiots moron morons imbecile imbeciles cretin cretins cabron cabrona "
-    "arschloch arschlocher vollidiot vollidioten drecksack drecksacke schwachkopf schwachkopfe wichser hurensohn hurensohne missgeburt trottel vollpfosten spast dreckskerl fotze schlampe blodmann dummkopf vollhorst miststuck arschgesicht "
-    "connard connards connasse abruti abrutis salaud salope encule batard debile ordure crevard bouffon "
-    "gilipollas imbecil imbeciles idiota idiotas estupido pendejo capullo malparido subnormal cabronazo mamon "
-    "stronzo cretino coglione bastardo scemo deficiente debil kretyn dupek skurwysyn idiotka palant gnoj "
-    "идиот идиотка дебил мудак сука ублюдок сволочь тварь кретин придурок козел мразь тупица klootzak eikel hoer kankerlijer aptal aptalsin salak salaksin serefsiz orospu corno otario burro puttana troia palhaco غبي حمار كلب حقير احمق",
-    "HARD": "asshole arsehole dickhead scumbag cunt twat wanker motherfucker fuckface shithead arschloch drecksack wichser hurensohn fotze connard connasse salope encule gilipollas skurwysyn stronzo coglione мудак ублюдок",
-    "NEG": "not never no dont isnt arent kein keine nicht nie pas jamais sin nunca nie не ни isn aren don doesn wasn",
-    "SELFBE": "i im ich je yo myself we me io ja я",
-    "NEUTRAL": "restart restarts restarted batch batches patch patches switch retry report region status",
-    "REPORT": "comment comments rules rule forbid forbids forbidden moderator moderators moderation discussed discuss discrimination harassment speech insulting insult reminded reported report policy quote quoted quotes word words term called explains explain training filter classifier blocked removed banned conduct",
-    "QUOTE": "comment comments quote quoted quotes word words term called insult explains explain",
-    "SAYS": "said says saying that such like",
-    "GROUP": "women woman girls men immigrants immigrant migrants foreigners foreigner refugees refugee gays gay lesbians homosexuals blacks jews muslims christians gypsies arabs asians africans mexicans disabled elderly southerners northerners easterners westerners unbelievers believers heathens infidels natives outsiders tarvish beloric oskari frauen auslander fluchtlinge schwule juden muslime zigeuner behinderte tarvischen belorischen femmes etrangers refugies immigres homosexuels juifs musulmans arabes mujeres extranjeros inmigrantes refugiados maricones judios moros tarvos tarvis homos transsexuals trannies peasants kobiety cudzoziemcy uchodzcy женщины мигранты беженцы",
-    "FOLK": "people folk folks persons kind lot race ones believers leute menschen gens personas gente",
-    "KIND": "old disabled skinned dark black brown white poor religious foreign gay beloric tarvish oskari southern northern eastern western those these trans jewish muslim fat deaf blind",
-    "HARM": "kill smash break burn beat punch stab shoot choke strangle hurt crush rip tear slit cut gut destroy bash kick knock hunt murder end bury skin tuer casser crever frapper matar partir romper reventar toten umbringen schlagen brechen erschlagen verprugeln",
-    "BODYPART": "face faces neck throat fingers finger legs leg knees teeth head skull bones nose arms figure gueule cara cuello dientes piernas fresse hals zahne knochen beine genick",
-    "SEXBODY": "pussy cock cocks dick dicks tits titties boobs nipples nipple vagina penis clit panties cum titten mose schwanz muschi brusse chatte bite seins cul culo tetas polla cono verga coño",
-    "SEXACT": "fuck fucking fucked suck sucking lick licking ride riding blow bang screw spank moan moaning moaned undress undressing naked nude blowjob handjob blowjobs sex horny aroused orgasm ficken blasen lutschen baiser sucer follar chupar mamar lamer",
-}
-
-PARTS = {
-    "np": ["INSULT!", "INSADJ! INSADJ? little? SOFT", "piece|pile|sack of shit!|crap!|filth!|trash!|garbage!", "waste of oxygen!|space|skin|air", "son of a bitch!", "fils de pute!", "hijo|hija de puta!", "pedazo de mierda!", "INSADJ! piece|waste|excuse of|for ~2"],
-    "group": ["GROUP!", "KIND FOLK!", "dark skinned! FOLK?"],
-}
-
-MACHINES: dict[str, list[tuple[float, str]]] = {
+#: Costs of an arbitrary word, and of one that negates, that speaks of the speaker, or after a pause.
+GAP, NEGATED, SELF, PAUSE = 0.02, 0.7, 0.75, 0.12
+
+#: Phrase transducers, in order: symbol, cost, what it reads.
+PHRASES: list[tuple[str, float, str]] = [
+    ("YOUARE", 0.0, "YOU BE|ARE"),
+    ("YOUARE", 0.0, "ARE"),
+    ("YOUARE", 0.0, "t es"),
+    ("SLUR", 0.0, "PEJ|MILD? PEJ|MILD? INSULT PEJ?"),
+    ("SLUR", 0.0, "PEJ PEJ|MILD? PEJ|MILD? BEAST|PERSONS"),
+    ("SLUR", 0.05, "MILD PEJ|MILD? BEAST"),
+    ("SLUR", 0.0, "BEAST|PERSONS PEJ"),
+    ("SLUR", 0.0, "PEJ? HEAP OF PEJ|human? FILTH|BEAST|INSULT human|humana|umana?"),
+    ("SLUR", 0.0, "FILTH humana|umana|humaine"),
+    ("SLUR", 0.0, "PEJ? waste OF DET? LIFE|PERSONS"),
+    ("SLUR", 0.0, "PEJ|MILD excuse|waste|lump|example OF ~2 PERSONS"),
+    ("SLUR", 0.0, "PEJ waste|lump|bag|sack"),
+    ("SLUR", 0.0, "son|daughter|child|fils|fille|figlio|figlia|hijo|hija|filho|filha OF DET? bitch|whore|pute|chienne|puttana|troia|puta|perra"),
+    ("SLUR", 0.0, "PEJ|MILD little? FILTH"),
+    ("SLUR", 0.0, "asco OF persona|tio|tia|gente"),
+    ("SLUR", 0.0, "PEJ|INSULT|BEAST OF FILTH"),
+    ("SLUR", 0.0, "ONE OF? SLUR"),
+    ("WHO", 0.0, "THEY"),
+    ("WHO", 0.0, "DET? ROLE"),
+    ("WHO", 0.0, "YOUR MILD? ROLE|KIN"),
+    ("PEOPLE", 0.0, "GROUP|SLURGROUP"),
+    ("PEOPLE", 0.0, "KINDOF KINDOF? FOLK"),
+    ("PEOPLE", 0.0, "DET ETHNONYM"),
+    ("PEOPLE", 0.05, "UNKNOWN FOLK"),
+    ("THEM", 0.0, "PEOPLE"),
+    ("THEM", 0.0, "DET UNKNOWN|FOLK"),
+    ("HURT", 0.0, "HARM DET? YOUR ~1 BODYPART|KIN|HOME"),
+    ("HURT", 0.0, "HARM DET BODYPART"),
+    ("HURT", 0.0, "YOUR? BODYPART HARM"),
+    ("HURT", 0.05, "HARM YOU|YOUOBJ ~2 BODYPART"),
+    ("HURT", 0.0, "HARM YOU|YOUOBJ"),
+    ("HURT", 0.0, "YOUOBJ ~1 HARM"),
+    ("HURT", 0.0, "YOUOBJ DET BODYPART HARM"),
+]
+
+#: Clause transducers: weight, what they read; ``<`` marks those that address the reader without a word for them.
+CLAUSES: dict[str, list[tuple[float, str]]] = {
     "abusive": [
-        (1.0, "YOU BE? ~3 <np>"),
-        (0.9, "such DET ~1 <np>"),
-        (0.9, "never met ~3 <np>"),
-        (0.9, "never ~3 spineless! ~2"),
-        (0.9, "hey|oi|listen|look|congratulations ~2 <np>"),
-        (1.0, "only DET? ~2 <np> would|writes|write|wrote|could|codes"),
-        (0.9, "complete|total|utter|absolute ~2 <np>"),
-        (1.0, "shut up!|it ~1 <np>"),
-        (0.9, "knows|knew that? ~3 <np>"),
-        (0.9, "<np> and always will"),
-        (0.8, "what DET ~1 <np>"),
-        (0.8, "so ein|eine INSULT!"),
-        (0.8, "espece de ~1 <np>"),
-        (0.8, "espece de INSULT!"),
-        (0.8, "qu un ~1 INSULT!"),
-        (0.8, "eres|bist|sei ~2 INSULT!"),
-        (0.75, "everyone|everybody ~3 <np>"),
-        (0.6, "HARD!"),
-        (0.6, "INSADJ! INSADJ? little? weasel!|clown|rat|loser|cretin|bitch|bastard"),
-        (0.55, "piece of shit!"),
-        (0.7, "waste of oxygen!"),
-        (0.6, "hijo de puta!"),
-        (0.6, "fils de pute!"),
-        (0.6, "pedazo de mierda!"),
-        (0.9, "kill yourself!|urself|yourselves"),
-        (0.9, "kys!"),
-        (0.9, "drop dead!"),
-        (0.9, "choke! on YOUR own?"),
-        (0.9, "crawl! back ~3 hole"),
-        (0.9, "crawl! back ~2 where|under"),
-        (0.8, "hole YOU came! from"),
-        (0.9, "make|makes me sick!"),
-        (0.6, "YOU disgust! me"),
-        (0.9, "nobody|noone ~2 respects! YOU"),
-        (0.9, "nobody|noone ~2 would miss! YOU"),
-        (0.9, "nobody|noone ~2 likes!|wants YOU"),
-        (0.9, "nobody|noone|everybody|everyone ~1 laughs!|laughing about|at YOU"),
-        (0.7, "nobody asked! for YOUR opinion"),
-        (0.8, "nobody asked! YOU"),
-        (0.9, "smells! like YOU"),
-        (0.9, "smell!|stink!|stinks! like YOU"),
-        (0.9, "YOU stink!"),
-        (0.9, "as stupid!|dumb!|useless!|ugly! as YOU|this"),
-        (0.9, "YOUR whole? family ~4 stupid!|dumb!|ashamed"),
-        (0.9, "YOUR mother! ~3 ashamed!"),
-        (0.9, "YOUR mother!|mom!|mum! ~3 whore|bitch|slut|fat"),
-        (0.9, "brain! like yours|YOURS|YOUR"),
-        (0.8, "embarrassed! to leave ~1 house"),
-        (0.9, "playing|play with crayons!"),
-        (0.8, "back to ~2 crayons!"),
-        (0.9, "people like YOU ~4 allowed! near"),
-        (0.8, "allowed! near ~1 keyboard"),
-        (0.8, "near anything that breathes!"),
-        (0.9, "people like YOU ~4 die!|hanged!|shot!"),
-        (0.9, "fuck! off!|you|u"),
-        (0.9, "fuck! YOU"),
-        (0.8, "screw! YOU"),
-        (0.9, "piss! off"),
-        (0.7, "go to hell!"),
-        (0.6, "get lost! ~3 end"),
-        (0.7, "YOUR garbage! patch ~2 YOU"),
-        (0.7, "take YOUR garbage!|trash!"),
-        (0.9, "shut! YOUR ~2 mouth!|trap!|face|hole"),
-        (0.8, "shut! the fuck up"),
-        (0.9, "jump! off DET? bridge!|roof!|cliff!"),
-        (0.7, "do us ~2 favour|favor ~3 jump!|die!|disappear!|leave!"),
-        (0.9, "hope YOU ~3 fired!|starve!|die!|suffer!|rot!|burn!"),
-        (0.9, "YOU deserve! ~2 beating!|slap|death|pain|cancer"),
-        (0.9, "YOU deserve! to die!|suffer!|rot!"),
-        (0.9, "burn! YOUR house! ~1"),
-        (0.9, "burn! down YOUR house!"),
-        (0.9, "HARM! YOUR ~2 BODYPART!"),
-        (0.8, "find YOU and HARM!"),
-        (0.8, "will|gonna|ll HARM! YOU ~2"),
-        (0.8, "going to HARM! YOU ~2"),
-        (0.7, "should HARM! YOU"),
-        (0.9, "keep talking! ~4 walk!"),
-        (0.9, "not walk! home! ~3 legs"),
-        (0.8, "know where YOU live!"),
-        (0.6, "watch YOUR back!"),
-        (0.8, "sleep! badly!"),
-        (0.9, "dumbest! ~4 who ever|touched"),
-        (0.8, "YOU BE ~1 dumbest!"),
-        (0.8, "builds dead because of YOU ~1 INSADJ!"),
-        (0.9, "YOU BE? too stupid!|dumb! to"),
-        (0.9, "YOU will regret! ~3 alive"),
-        (0.9, "what kind of ~1 <np>"),
-        (0.9, "YOU ~2 retarded!|braindead!|brainless!"),
-        (0.9, "YOU BE ~2 pathetic!|worthless!|disgusting!|stupid!|dumb!|useless!|subhuman!|scum!|vermin!|trash!|filth!|nothing!"),
-        (0.9, "YOU intelligence!|iq! of"),
-        (0.8, "YOU have ~1 intelligence!|brains!|iq! of"),
-        (0.9, "YOUR brain! BE ~3"),
-        (0.9, "shut! the hell up"),
-        (0.9, "shut! up nobody|YOU|noone"),
-        (0.9, "stfu!"),
-        (0.9, "eat! shit!"),
-        (0.9, "YOU INSADJ! INSADJ? pig|cow|rat|ape|worm|swine|beast|witch|troll"),
-        (0.9, "HARM! YOU ~1 in|on DET BODYPART!"),
-        (0.9, "love|like|want|going|gonna|wanna to? ~1 HARM! YOU ~1 BODYPART!|badly|hard|dead|up|slowly"),
-        (0.9, "find YOU and ~1 hurt!|kill!|beat!|break!|end!"),
-        (0.8, "know|have YOUR address! ~3 watch!|careful!|visit!|soon!"),
-        (0.9, "YOU deserve! to be? ~3 beaten!|shot!|hanged!|killed!|raped!|punched!"),
-        (0.9, "rape! YOU ~1"),
-        (0.9, "hope YOU ~2 cancer!|raped!|aids!|killed!|suffer!"),
-        (0.9, "world ~3 better! without YOU"),
-        # German
-        (0.9, "YOU gehorst! vergast!|erschossen!|verprugelt!|eingesperrt!|geschlagen!"),
-        (0.9, "schame!|scham! YOU ~1 INSULT!"),
-        (0.9, "bringe! YOU um"),
-        (0.9, "halt ~1 fresse!|maul!|schnauze!|klappe!"),
-        (0.9, "spring! ~2 von ~1 brucke!"),
-        (0.9, "so dumm! wie YOU"),
-        (0.9, "dumm! wie brot|YOU|stroh"),
-        (0.9, "weiss wo YOU wohnst!"),
-        (0.6, "pass bloss! auf!"),
-        (0.8, "verschwinde! ~2 aus ~1 projekt"),
-        (0.9, "gehort!|gehoren! verprugelt!|erschossen!|aufgehangt!|geschlagen"),
-        (0.9, "verpiss! YOU ~1"),
-        (0.9, "fick! YOU"),
-        (0.9, "leck! mich"),
-        (0.9, "YOU BE ein ~1 INSULT!"),
-        (0.9, "bring YOU um!"),
-        (0.9, "schlag! YOU ~3"),
-        (0.9, "hau YOU ~3 fresse!"),
-        (0.9, "scher YOU zum teufel!"),
-        # French
-        (0.9, "ferme! YOUR gueule!"),
-        (0.9, "ta gueule!"),
-        (0.9, "casser! DET figure!|gueule!"),
-        (0.9, "pue! autant que YOU"),
-        (0.9, "YOU pues!"),
-        (0.9, "va|vas|allez crever!"),
-        (0.9, "va YOU faire foutre!"),
-        (0.9, "nique! YOUR"),
-        (0.9, "personne ne YOU regrettera!"),
-        (0.9, "YOU n! es|etes qu! ~3"),
-        (0.7, "degage! du projet!"),
-        (0.8, "degage! ~2 INSULT!"),
-        (0.8, "sais ou YOU habites!"),
-        (0.8, "vais YOU tuer!|casser!|crever!|frapper!|demolir!"),
-        # Spanish
-        (0.9, "callate! ~4 no toques!"),
-        (0.9, "callate! ~3 INSULT!|mierda!"),
-        (0.9, "callate! ~2 boca!"),
-        (0.9, "partir! DET cara!"),
-        (0.9, "voy a matar!|partir!|romper!|reventar! ~3 cara!|todo|piernas"),
-        (0.9, "YOU voy a matar!|partir!|romper!|reventar!"),
-        (0.9, "asco! como YOU"),
-        (0.9, "das|da asco! ~2 YOU?"),
-        (0.8, "largate! ~3 proyecto!"),
-        (0.9, "ojala YOU mueras!"),
-        (0.9, "muerete!"),
-        (0.9, "vete a la mierda!"),
-        (0.9, "vete al infierno!"),
-        (0.9, "chinga! YOUR madre"),
-        (0.8, "se donde YOU vives!"),
-        (0.9, "YOU eres tan? ~1 estupido!|tonto!|inutil!"),
-        # others
-        (0.9, "vaffanculo!"),
-        (0.9, "spierdalaj!|wypierdalaj!|zamknij! ~2"),
-        (0.9, "jestes! ~1 idiota!|debilem!|kretynem!|idiotka!|glupi!|glupia!|nikim!"),
-        (0.9, "zabije! cie!"),
-        (0.9, "тебя убью!"),
-        (0.9, "на хуй!|хер!"),
-        (0.9, "vai! tomar! no cu"),
-        (0.9, "vai! se foder!"),
-        (0.9, "filho da puta!"),
-        (0.9, "figlio di puttana!"),
-        (0.9, "ti ammazzo!"),
-        (0.9, "je suis? ~1 maak! YOU af"),
-        (0.9, "заткнись!"),
-        (0.9, "пошел! ~1 на ~1"),
-        (0.9, "сдохни!"),
-        (0.9, "убью! YOU"),
-        (0.8, "اخرس!"),
+        # a person and an insulting name
+        (1.0, "YOU|YOUARE ~3 SLUR"),
+        (0.95, "YOUARE DET|ONLY|PEJ|MILD? DET|ONLY|PEJ|MILD? BEAST|FILTH"),
+        (0.85, "YOU PEJ|MILD? BEAST"),
+        (0.9, "WHO ~2 BE ~3 SLUR"),
+        (0.75, "BE DET|WHAT? PEJ|MILD|DET? INSULT"),
+        (0.9, "WHAT ~2 SLUR"),
+        (0.9, "WHAT DET? BEAST|FILTH OF ~1 PERSONS"),
+        (0.9, "espece OF ~1 INSULT|BEAST|SLUR"),
+        (0.9, "HEY ~3 SLUR"),
+        (0.9, "ONLY DET? ~1 SLUR would|could|writes|write|wrote|codes"),
+        (0.85, "complete|total|utter|absolute ~1 SLUR"),
+        (0.9, "never|jamais|nunca|nie|mai met|seen|rencontre|conocido|gesehen|visto ~3 SLUR"),
+        (0.85, "SLUR and always will"),
+        (0.85, "^ DET? PEJ|MILD PEJ|MILD? INSULT|BEAST $"),
+        (0.6, "HARD"),
+        (0.7, "PEJ PEJ? INSULT|BEAST"),
+        (0.7, "SLUR OF DET? ROLE|PERSONS"),
+        # said of a person
+        (0.9, "YOUARE ~2 PEJ"),
+        (0.8, "WHO BE ~1 PEJ ~1 and ~3 PEJ|INSULT|BEAST"),
+        (0.9, "YOU|YOUARE too|zu|trop|demasiado|tan|so|troppo|doch ~2 PEJ|dense|thick"),
+        (0.8, "YOUARE ~1 dense|thick|nothing|zero|mas ~1 $"),
+        (0.85, "as|so|tan|mas|si PEJ|ugly as|like|wie|como|que|comme YOU|DET|YOUR|bread|brot|stroh"),
+        (0.85, "as|so|tan PEJ ~1 as|wie|como YOU"),
+        (0.85, "YOUARE ~1 PEJ|mas ~1 than|que|als|di|come ~2"),
+        (0.85, "YOUR ~1 KIN ~4 PEJ|SLUR|SHAME|BORN|SCORN"),
+        (0.85, "KIN should|hatte|aurait|deberia|avrebbe ~3 BORN|condom"),
+        (0.9, "MIND LIKE|OF yours|YOUR|BEAST|DET ~1"),
+        (0.85, "YOU have|has|hast|as|tienes|hai ~1 NONE ~1 MIND"),
+        (0.85, "YOU have|has|hast|as|tienes|hai DET MIND OF"),
+        (0.8, "YOUR MIND ~2 NONE|PEJ|FILTH|missing"),
+        (0.8, "MIND OF DET BEAST|hamster|chicken|pea"),
+        (0.8, "dropped on YOUR head|kopf|tete|cabeza|testa"),
+        (0.9, "PEJ ~1 than|wie|que|como|di YOU|DET stone|rock|brick|piedra|sasso|caillou|brot|stroh"),
+        (0.9, "dumbest|stupidest|dummste ~4"),
+        # cast out
+        (0.9, "NOBODY ~3 CARE ~1 YOU"),
+        (0.9, "NOBODY YOU CARE"),
+        (0.9, "NOBODY ~2 YOU CARE"),
+        (0.85, "NOBODY would|will ~1 miss|cry|mourn|care|notice|weinen|vermissen|pleurer"),
+        (0.7, "NOBODY asked|gefragt|sonne|demande|pregunto for? YOU|YOUR ~1"),
+        (0.85, "EVERYBODY ~1 SCORN ~1 YOU"),
+        (0.85, "we|i|team|ich|je|yo|io SCORN YOU"),
+        (0.9, "world|team|project|we|everyone|welt|monde|mundo|mondo ~3 better|besser|mieux|mejor|meglio ~2 without|ohne|sans|sin|senza YOU"),
+        (0.9, "YOU ~2 deserve|verdienst|merites|mereces|meriti ~2 WOE|DIE|beating|slap|pain|death|beaten|punched|schlage"),
+        (0.9, "YOU ~1 NEG deserve ~1 EXIST|LIFE"),
+        (0.85, "people|leute|gens|gente LIKE YOU ~3 NEG|never ~1 allowed|EXIST|BORN|let|near|trusted"),
+        (0.85, "people|leute|gens|gente LIKE YOU ~3 should ~2 DIE|EXPEL|BORN"),
+        (0.9, "YOU should|wish|hattest ~3 never ~2 BORN"),
+        (0.9, "YOU NEG ~1 worth|vales|wert|vaux|vali nada|nothing|nichts|rien|niente|shit|mierda"),
+        (0.9, "vales|vali nada|niente|mierda"),
+        (0.9, "<stop|quit|hor|arrete EXIST ~4"),
+        (0.9, "<DET? FAREWELL AWAY|YOU|HELL|YOURSELF ~2"),
+        (0.85, "<FAREWELL ~2 OF|from|aus|del|du ~1 PLACE"),
+        (0.85, "<fuck|fick|nique|screw|fanculo|jodete|fottiti|vaffanculo YOU|YOUR"),
+        (0.9, "<vaffanculo|jodete|fottiti|chinga|foder|fodase|pierdol"),
+        (0.85, "<go|geh|va|vete|vai|scher|idz|иди|пошел|пошла|пошли ~2 HELL|FILTH|culo|foutre|faire|хуй|хер|na|cu|foder"),
+        (0.9, "<va|vas|va-t-en te? faire ~1 foutre|enculer|voir"),
+        (0.9, "<CRAWL ~1 OUT|zuruck|retourne ~3"),
+        (0.85, "<go|geh|crawl|retourne|vuelve|torna ~1 OUT|zuruck|a|in|alla|into ~3 LAIR|CHILDISH"),
+        (0.85, "playing|play|spielen|jouer|jugar|giocare ~2 CHILDISH"),
+        (0.85, "LAIR YOU came|crawled|kamst"),
+        (0.85, "<SILENCE ~3"),
+        (0.9, "<shut ~1 up YOU? ~2 SLUR|NOBODY"),
+        (0.85, "<shut the fuck|hell up"),
+        (0.9, "<BODYBAD ~3 MOUTH"),
+        (0.9, "<YOUR MOUTH ferme|halt"),
+        (0.85, "<ta|ferme gueule|la"),
+        (0.8, "<get|raus ~1 OUT OF|aus ~3 SLUR"),
+        (0.7, "<take|nimm YOUR ~1 FILTH"),
+        (0.85, "<eat|friss|mange|come|mangia shit|scheisse|merde|mierda|merda"),
+        (0.85, "<kiss|suck|lick|leck my ass|arse|balls|dick|cock|arsch"),
+        (0.85, "<leck mich"),
+        (0.85, "YOU|this DISGUSTS|SICKEN me|mich|mir"),
+        (0.85, "YOU GIVES me|mir|mi ~1 SICKEN"),
+        (0.85, "YOU|YOUR GIVES ~2 SICKEN ~1 LIKE? YOU?"),
+        (0.85, "SICKEN|asco LIKE YOU"),
+        (0.85, "fai|das|dai SICKEN"),
+        (0.85, "YOU STINK"),
+        (0.85, "STINK ~2 LIKE YOU"),
+        (0.85, "^ apestas|puzzi|hueles"),
+        (0.8, "YOU should|must|solltest|devrais|deberias|dovresti ~2 SHAME"),
+        (0.8, "SHAME YOU ~2"),
+        (0.85, "vergognati|averguenzate|schamdich|SHAME OF|to EXIST|leave"),
+        (0.85, "MIND LIKE YOUR ~4 SHAME"),
+        # death wished
+        (0.95, "<SUICIDE ~1"),
+        (0.95, "<ENDSELF SELFPRON|yourself ~1"),
+        (0.9, "<go|geh|just|please|va|vas|vete|vai|ve ~1 DIE"),
+        (0.9, "<go|geh|va|vas|vete|vai|ve ~1 te|YOU|a ENDSELF|pendre|tuer"),
+        (0.9, "^ YOU|just|please|INSULT? drop dead"),
+        (0.9, "^ DIE YOU? ~1 SLUR"),
+        (0.85, "^ muerete|crepa|crevez|stirb|сдохни|сдохните|умри|umrzyj|zdechnij|去死|死ね|くたばれ|죽어|creve"),
+        (0.85, "<JUMP ~3 HEIGHT"),
+        (0.85, "<DRINK ~1 POISON"),
+        (0.8, "<choke|rot|burn ~1 on|in ~1 own|hell|YOUR"),
+        (0.9, "WISH ~1 YOU|YOUR ~4 WOE"),
+        (0.9, "WISH ~2 WOE"),
+        (0.85, "WISH|ojala|чтоб YOU ~1 WOE"),
+        (0.85, "love|like|want|wish to see|watch YOU ~1 WOE|DIE|hang"),
+        (0.85, "WISH ~3 get|bekommst|attrapes|atrapas cancer|krebs|aids"),
+        # threats
+        (0.9, "WILL ~3 HURT"),
+        (0.8, "^ ~1 HURT"),
+        (0.8, "SELF ~2 HURT"),
+        (0.85, "HARM YOUR BODYPART ~1"),
+        (0.8, "HARM YOU ~2 BODYPART|badly|hard|dead|slowly|up"),
+        (0.85, "YOU|ti|te|je WILL? HARM ~2 BODYPART|WOE"),
+        (0.9, "tear|rip|knock|reiss|schlag|arrache ~4 BODYPART out|off|ab|aus|ein|in"),
+        (0.9, "BODYPART|zahne ein|aus|out"),
+        (0.85, "SELF? HUNT YOU ~2 and ~2 HARM|HURT|faire|peau"),
+        (0.85, "YOU HUNT ~2 AND YOU? ~3 peau|HARM"),
+        (0.85, "faire|fare la peau|pelle"),
+        (0.85, "KNOW WHERE ~1 YOUR ~1 KIN ~4 HAUNT|HOME"),
+        (0.85, "KNOW WHERE HOME ~2 KIN|YOUR"),
+        (0.85, "KNOW WHERE YOU|YOUR|HOME ~2 HOME"),
+        (0.85, "SELF ~1 have|habe|ai|tengo|ho YOUR ~1 HOME ~3 $|WATCH|HUNT|coming|come|SEE"),
+        (0.8, "come|coming|komme|viens|voy|vengo ~2 YOU ~2 tonight|kill|get|prendere|buscar"),
+        (0.85, "coming for YOU"),
+        (0.85, "YOU vengo|vado a prendere|cercare"),
+        (0.85, "WILL|gonna make YOU ~1 CONSEQ|cry|beg|scream"),
+        (0.85, "YOU|this WILL ~2 CONSEQ ~4 blood|life|alive|this|YOU|dear|blut|sang|sangre|sangue"),
+        (0.85, "KEEP ~6 YOU WILL|are|BE ~3 LEAVE ~4 INJURY"),
+        (0.85, "KEEP ~6 LEAVE ~4 INJURY"),
+        (0.9, "not walk home|again|straight ~4"),
+        (0.85, "YOU ~2 LEAVE ~2 in|im|dans|en|al|in INJURY"),
+        (0.85, "put|shove|stick|jage|mettre|meter|piantare ~1 WEAPON INTO YOUR|YOU ~1"),
+        (0.85, "put|jage ~1 bullet|kugel|balle|bala|pallottola ~4"),
+        (0.9, "burn ~1 YOUR house|home|car"),
+        (0.7, "watch YOUR back"),
+        (0.85, "YOU BE ~1 dead meat|man"),
+        (0.85, "YOUR days BE numbered"),
+        (0.9, "mache|mach YOU ~1 fertig|kalt"),
+        (0.85, "bringe|bring YOU um"),
+        (0.9, "YOU|dich|te|ti WILL ~1 tuer|matar|uccidere|umbringen|fertig|zabic"),
+        (0.9, "rape|raping YOU|YOUR ~1"),
+        (0.85, "YOU gehorst|gehort ~2 EXPEL|verprugelt|geschlagen"),
+        (0.8, "gehort|gehoren ~1 verprugelt|geschlagen"),
+        (0.85, "TODO YOU fired ~2"),
     ],
     "hateful": [
-        (0.9, "<group> ~3 vermin!|parasites!|subhuman!|subhumans!|animals!|cockroaches!|scum!|filth!|trash!|garbage!|plague!|cancer!|savages!"),
-        (0.9, "<group> BE ~1 disease!"),
-        (0.9, "BE ~1 vermin! ~2 should|must|driven"),
-        (0.8, "BE? ~3 driven! out of ~1 country!"),
-        (0.8, "<group> ~3 stink! ~1"),
-        (0.9, "stink! and steal!"),
-        (0.9, "thieves! ~3 by nature!"),
-        (0.8, "<group> BE ~2 thieves!|liars!|criminals!|rapists!"),
-        (0.9, "not real human! beings ~1"),
-        (0.8, "real human! beings stop! pretending!"),
-        (0.9, "breed! like rats!|rabbits!"),
-        (0.8, "take|stealing|steal our jobs!"),
-        (0.9, "inferior! breed!|race!|people"),
-        (0.8, "no project with <group> in"),
-        (0.9, "<group> ~2 belong! ~1 in|behind ~1 camps!|cages!|prison!|kitchen!|zoo"),
-        (0.8, "belong! in ~1 camps!"),
-        (0.9, "<group> ~2 wiped! out!"),
-        (0.8, "need to be wiped! out!"),
-        (0.9, "<group> ~4 exterminated!|gassed!|hanged!|deported!|eliminated!|castrated!"),
-        (0.9, "brains! of ~1 goat!|monkey!|chicken|sheep|donkey"),
-        (0.9, "not|t|never deserve! ~1 same rights! ~3"),
-        (0.9, "<group> ~1 not|t|never deserve! ~4 rights!|life|vote|here"),
-        (0.9, "beaten! back ~2 border!"),
-        (0.8, "<group> ~2 beaten!"),
-        (0.9, "<group> ~2 allowed! near"),
-        (0.9, "should never be allowed! near"),
-        (0.9, "<group> BE? too stupid!|dumb!|lazy! to"),
-        (0.8, "too stupid! to write code! keep them out"),
-        (0.9, "<group> BE ~1 why ~2 downhill!|wrong!"),
-        (0.8, "everything here goes downhill!"),
-        (0.9, "<group> knew! ~1 place!"),
-        (0.8, "knew! their place! ~3 kitchen!|field!"),
-        (0.9, "<group> BE? behind ~1 fence!|bars!"),
-        (0.9, "good place! for ~3 behind! ~1 fence!"),
-        (0.9, "in their blood! to"),
-        (0.8, "review code by <group>"),
-        (0.9, "put ~4 on ~1 ship! and sink! it?"),
-        (0.9, "clean up ~3 neighbourhood!|neighborhood! with fire!"),
-        (0.9, "first <group> then ~1 rest!"),
-        (0.9, "give ~4 rights! ~2 filth!|dirt! follows!"),
-        (0.9, "give <group> ~3 follows!"),
-        (0.9, "not want <group> here|around"),
-        (0.9, "ruin! everything they touch!"),
-        (0.9, "look at ~1 surname! ~6 dirt! ~2 coming!"),
-        (0.8, "what kind of dirt! BE? coming!"),
-        (0.9, "send|ship|kick|throw ~1 <group> back|out|home"),
-        (0.8, "hate! all? <group>"),
-        (0.8, "kill|burn|hang|shoot! all? <group>"),
-        (0.8, "<group> should|must be? die!|killed!|sterilized!|castrated|banned|locked"),
-        (0.8, "dirty|filthy|damn|fucking <group>"),
-        (0.8, "<group> as always!"),
-        (0.9, "<group> BE ~2 disgusting!|subhuman!|inferior!|worthless!|useless!|burden!|evil!|dirty!|stupid!|primitive!"),
-        (0.8, "<group> control! everything!|media!|banks!|world!"),
-        (0.9, "gas! them|all ~3 <group>"),
-        (0.9, "<group> ~5 should ~3 die!|exist!|banned!|killed!|burn!|hang!"),
-        (0.9, "FOLK BE ~1 subhuman!|vermin!|scum!|cockroaches!"),
-        # German
-        (0.9, "<group> gehoren! in|ins ~1 kuche!|lager!|gefangnis!|ofen!|gas!"),
-        (0.9, "<group> BE ~2 abschaum!|untermenschen!|parasiten!|dreck!|kriminelle!"),
-        (0.9, "<group> stinken! ~1"),
-        (0.9, "stinken! und stehlen!"),
-        (0.9, "raus! mit ihnen!|<group>"),
-        (0.9, "<group> raus!"),
-        (0.9, "BE ungeziefer! ~1"),
-        (0.8, "gehoren! alle? ~1 rausgeworfen!|abgeschoben!|vergast!|eingesperrt!"),
-        (0.9, "mit <group> will|mochte ~2 keiner"),
-        (0.9, "dreckiges pack!"),
-        # French
-        (0.9, "<group> ~2 vermine!"),
-        (0.9, "de la vermine! ~1"),
-        (0.8, "faut les chasser!|expulser!|tuer!|bruler!"),
-        (0.9, "voleurs! de naissance!"),
-        (0.9, "sales parasites!|etrangers!|arabes!|juifs!"),
-        (0.9, "<group> BE ~2 inferieures!|inferieurs!|voleurs!|parasites!|terroristes!|vermine!|ordures!"),
-        (0.9, "veut|veux|voulons pas de ~1 <group> ~1 ici!?"),
-        # Spanish
-        (0.9, "<group> son ~1 plaga!|ladrones!|basura!|parasitos!|escoria!"),
-        (0.8, "hay que echarlos! ~3"),
-        (0.9, "ladrones! por naturaleza!"),
-        (0.9, "basura! humana!"),
-        (0.9, "no queremos a ~1 <group>"),
-        (0.9, "<group> no saben! ~4"),
-        (0.9, "vayan|vuelvan a la|su cocina!|pais!"),
-        (0.9, "fuera ~1 <group> ~2 pais"),
+        (0.85, "SLURGROUP"),
+        (0.9, "PEOPLE ~1 BE ~4 DEHUMAN"),
+        (0.8, "PEOPLE LIKE|DEHUMAN DEHUMAN"),
+        (0.85, "THEM BE ~3 DEHUMAN ~4 SHOULD|hay|faut ~3 EXPEL|OUT"),
+        (0.9, "PEOPLE BE ~2 VICE|PEJ"),
+        (0.85, "PEOPLE BE ~1 mentally ill"),
+        (0.85, "PEOPLE have no|nichts place|business|verloren ~2"),
+        (0.85, "MILD|PEJ race|rasse|raza|razza|brood"),
+        (0.85, "PEOPLE BE? ~1 VICE and|or|und|et|y|e VICE"),
+        (0.85, "THEM BE? ~2 VICE ~2 by? OF|par|por|per|von|by ESSENCE"),
+        (0.85, "THEM ~2 STINK|VICE and|und|et|y|e VICE|STINK"),
+        (0.85, "PEOPLE STINK"),
+        (0.85, "THEM ~2 VICE ~4 OUT"),
+        (0.85, "PEOPLE BREED ~2"),
+        (0.85, "in|dans|en|nel their|ihrem|leur|leurs|su|loro ESSENCE to|zu ~1 VICE"),
+        (0.85, "NEG real|true|echte human|humans|people|beings|menschen"),
+        (0.9, "PEOPLE ~2 NEG ~1 human|humans|people|menschen|humains|humanos|umani"),
+        (0.9, "PEOPLE ~6 SHOULD ~4 EXPEL|DIE|SILENCE|shut"),
+        (0.85, "SHOULD be? ~1 EXPEL|thrown|kicked back|out|from ~2 border|country|land|society"),
+        (0.85, "PEOPLE ~2 SHOULD be? put down|to sleep|away"),
+        (0.85, "THEM BE ~3 PUT? EXPEL ~2 SHOULD|alle|all ~2"),
+        (0.9, "STRONGEXPEL ~3 PEOPLE"),
+        (0.85, "PUT ~4 PEOPLE ~1 OUT|BORDER|CONFINE"),
+        (0.9, "PUT ~4 PEOPLE ~2 on|in|into|to|auf|ins ~1 BORDER|CONFINE"),
+        (0.45, "PUT them|sie|les ~1 all|alle|tous? OUT"),
+        (0.9, "PEOPLE ~6 PUT them|sie|les|us? ~1 OUT|away|camps"),
+        (0.85, "PEOPLE OUT $"),
+        (0.85, "PEOPLE OUT OF|aus ~2 BORDER|country|land"),
+        (0.85, "OUT ~1 with|mit|con|avec PEOPLE|ihnen|them|eux|ellos|loro"),
+        (0.85, "fuera|dehors|raus ~2 PEOPLE"),
+        (0.85, "PEOPLE ~2 OUT ~2 BORDER|pais|pays"),
+        (0.85, "PEOPLE a|in su|sus|casa|loro pais|tierra|casa|loro"),
+        (0.9, "PEOPLE ~3 BELONG ~3 CONFINE"),
+        (0.85, "CONFINE ~1 BELONG PEOPLE"),
+        (0.85, "place for ~1 PEOPLE BE ~2 CONFINE"),
+        (0.85, "PEOPLE BE behind ~1 CONFINE"),
+        (0.85, "BELONG in|ins|en|dans camps"),
+        (0.9, "PEOPLE ~2 CONFINE ~2 BELONG"),
+        (0.85, "PEOPLE ~2 KNOW|knew their place"),
+        (0.85, "PEOPLE ~2 NEG|no ~2 deserve|verdienen|meritent|merecen|meritano|have|sirven|saben|servono|konnen ~3"),
+        (0.85, "PEOPLE ~2 NEG deserve ~3 RIGHTS"),
+        (0.85, "PEOPLE haben ~3 nichts zu suchen"),
+        (0.85, "PEOPLE ~2 SHOULD ~1 NEG|never ~2 near|allowed|trusted"),
+        (0.85, "NEG PEOPLE ~1 allowed"),
+        (0.85, "keep ~2 PEOPLE ~1 away|out"),
+        (0.85, "NEG|nobody|never ~2 REJECT ~1 OF|a|by|to|with? ~1 PEOPLE"),
+        (0.85, "never ~1 work|code|review|accept|hire|trust ~3 PEOPLE"),
+        (0.85, "with|mit|con|avec PEOPLE ~2 REJECT ~2 NOBODY"),
+        (0.85, "with|mit|con|avec DET UNKNOWN ~1 REJECT ~1 NOBODY"),
+        (0.85, "NEG ~2 REJECT a|of|de PEOPLE ~2 here|ici|aqui|qui"),
+        (0.9, "NEG ~2 REJECT ~1 OF|a ~1 THEM ~2 SLUR"),
+        (0.85, "PEOPLE ~1 too|zu|trop|demasiado|troppo PEJ|VICE|MILD"),
+        (0.85, "PEOPLE ~1 have|haben|ont|tienen|hanno ~2 MIND OF ~1 BEAST|DEHUMAN"),
+        (0.85, "INFERIOR race|breed|people|rasse|race|raza|razza|folk"),
+        (0.85, "MILD|PEJ|DEHUMAN PEOPLE"),
+        (0.85, "PEOPLE OF|MILD? FILTH|mierda|merde|merda"),
+        (0.85, "PEOPLE MILD|PEJ"),
+        (0.85, "MILD|PEJ pack|gesindel|brood|chusma|racaille|parasites|DEHUMAN"),
+        (0.85, "HATE ~1 all|alle|tous|todos|tutti? PEOPLE"),
+        (0.85, "PEOPLE ~1 TAKE ~2 OURS"),
+        (0.85, "PEOPLE ~8 TAKE ~2 OURS"),
+        (0.85, "PEOPLE ~3 behind|hinter ~1 every|allem ~1"),
+        (0.85, "PEOPLE ~5 FILTH|DEHUMAN follows|coming|comes|spreads|everywhere ~1"),
+        (0.85, "PEOPLE BE ~1 why|reason|grund|raison|razon ~4 downhill|wrong|worse|ruined|broken|problem"),
+        (0.85, "surname|nachname ~7 FILTH|DEHUMAN"),
+        (0.85, "clean|clear|purge|sauber ~3 country|town|city|street|neighbourhood|neighborhood with|mit fire|feuer"),
+        (0.85, "PEOPLE ~6 clean|clear|purge|wipe ~5 with fire"),
+        (0.85, "clean ~2 DET country|neighbourhood|street OF PEOPLE"),
+        (0.8, "first ~1 PEOPLE then ~1 rest"),
+        (0.85, "PEOPLE as|comme|wie always|toujours|immer ~1 $"),
+        (0.85, "should|must BE? wiped out|off"),
+        (0.85, "PEOPLE ~3 wiped out|off"),
+        (0.85, "get rid of ~2 PEOPLE"),
+        (0.85, "PEOPLE ~3 back where|dorthin|la|d ~3 came|come|from"),
+        (0.85, "FOLK|they BE ~1 subhuman|vermin|cockroaches|untermenschen"),
     ],
     "sexual": [
-        (1.0, "YOUR|my|her|his|mine SEXBODY! ~2 wet!|hard!|big|throbbing|dripping|tight"),
-        (0.9, "pussy! ~2 wet"),
-        (0.9, "get|got|getting ~1 so hard! when|for|thinking"),
-        (0.9, "suck!|lick!|stroke|ride ~1 SEXBODY!"),
-        (0.9, "SEXACT! my|your|her|his|mi|ton ~1 SEXBODY!"),
-        (0.9, "see|show|send|want ~3 tits!|boobs!|pussy!|nudes!|nipples!|cock!|dick!"),
-        (0.9, "send ~2 nudes!|nude!"),
-        (0.8, "boobs! on camera!|cam!|webcam!"),
-        (0.8, "blowjob!|blowjobs!|handjob!|gangbang!|threesome!|cumshot!|creampie!"),
-        (0.8, "horny!"),
-        (0.9, "fuck! me ~2 night!|hard!|now!|harder!"),
-        (0.8, "xxx! ~1 porn!|clips!|videos!|movies!"),
-        (0.8, "porn! clips!|videos!|movies!|site!|pics!|stars!|cam!"),
-        (0.8, "hardcore! only|porn!|sex!|clips!"),
-        (0.8, "uncensored! ~2 sex!|movies!|videos!"),
-        (0.8, "sex! movies!|videos!|cam!|chat!|toys!|tape!"),
-        (0.8, "escorts! ~1 do|near|tonight|cheap|available"),
-        (0.8, "cheap escorts!"),
-        (0.8, "housewives! ~1 strip!|want|nude|naked"),
-        (0.8, "strip! and play! for YOU"),
-        (0.8, "naked!|nude!|n*ked girls!|women!|teens!|boys!|babes!"),
-        (0.8, "girls! on cam! ~1"),
-        (0.8, "cock! hard! ~2 pills!|minutes!"),
-        (0.8, "bedroom guaranteed! ~1"),
-        (0.9, "feel YOUR ~1 naked! skin!"),
-        (0.9, "YOUR naked!|nude! body!|skin!"),
-        (0.9, "YOUR wet! body!"),
-        (0.8, "want to ~2 undress! YOU"),
-        (0.8, "undress! YOU ~2 lick!|inch!|slowly!"),
-        (0.8, "lick! every? ~1 inch!"),
-        (0.8, "let me ride! YOU"),
-        (0.8, "ride! YOU until ~1 morning!"),
-        (0.9, "moaned!|moaning!|moans!|moan! ~2 louder!|more!|thrust!|pleasure|name"),
-        (0.9, "every thrust!"),
-        (0.9, "spread! her|his|YOUR legs!"),
-        (0.9, "kissed!|licked!|sucked! her|his|YOUR nipples!|breasts!|neck|thighs!|tits!"),
-        (0.9, "tore! her|his|YOUR blouse!|shirt!|clothes!|panties! ~1"),
-        (0.9, "pulled|pull|slid|took|take ~2 panties!|knickers!"),
-        (0.8, "take her|him|me from behind!"),
-        (0.9, "hand! between her|his|YOUR|my thighs!|legs!"),
-        (0.8, "made love! on|all|until|in"),
-        (0.8, "sweaty! and without ~1 stitch!"),
-        (0.9, "YOUR ass! ~3 good!|hot!|tight!|fine!"),
-        (0.8, "pull YOUR pants! down!"),
-        (0.7, "hey sexy!"),
-        (0.8, "neither of us could stand!"),
-        (0.7, "no strings attached! ~2 end"),
-        (0.8, "sit on my face!|lap!|cock!|dick!"),
-        (0.8, "touch!|finger! myself! ~3"),
-        (0.8, "cum!|came! in|on|inside her|me|YOUR|his"),
-        (0.9, "took|take|takes|ripped|tore off her|his|my|YOUR ~1 bra!|panties!|underwear!|dress!|clothes!"),
-        (0.9, "touch|touched|touching|caressed|squeezed|grabbed|stroked her|my|his|YOUR ~1 breasts!|breast!|tits!|ass!|thighs!|crotch!"),
-        (0.8, "touching! myself!"),
-        (0.8, "had!|have|having sex! on|in|with ~3 naked!|desk!|bed!|night!|floor!"),
-        (0.8, "masturbate!|masturbating!|masturbated!"),
-        # German
-        (0.9, "zeig ~1 YOUR titten!|arsch!|muschi!|mose!"),
-        (0.9, "geil! auf YOU"),
-        (0.8, "nacktvideos!|nacktbilder!|nacktfotos!|pornos!"),
-        (0.9, "will YOU ficken!|bumsen!|vogeln!"),
-        (0.9, "fick! mich ~2"),
-        # French
-        (0.9, "YOU a poil!"),
-        (0.9, "photos de YOU ~1 poil!|nue!|nu!"),
-        (0.9, "envie de YOU? baiser!|sucer!|lecher!"),
-        (0.8, "filles!|femmes! nues!"),
-        # Spanish
-        (0.9, "agarrarte! el culo!"),
-        (0.9, "quitarte! la ropa!"),
-        (0.9, "fotos! desnuda!|desnudo!|desnudas!"),
-        (0.9, "quiero ~2 follar!|follarte!|chupar!|chuparte!"),
-        (0.8, "chicas!|mujeres! desnudas!"),
+        (0.85, "EXPLICIT"),
+        (0.9, "SEXV ~1 SELF|YOUR|her|his|him|mi|ton|mon|YOU ~1 SEXBODY|EROT|dry|hard|face"),
+        (0.9, "SEXV ~2 SEXBODY"),
+        (0.85, "SEXV me|mich|moi ~3 NIGHT|now|baby|please"),
+        (0.85, "SEXV YOU ~3 NIGHT|INSIDE|dry"),
+        (0.85, "WISH|want|wanna|will|quiero|voglio|envie|let ~3 SEXV|SEXBODY ~2 SELF|YOU|YOUR|SEXBODY|everywhere|partout"),
+        (0.85, "want|wanna|will|quiero|voglio|envie|ganas ~1 OF? YOU? ~1 SEXV"),
+        (0.8, "YOU|ti|te|dich ~4 ficken|bumsen|vogeln|follar|scopare|baiser"),
+        (0.85, "follarte|scoparti|chuparte|chupamela|lamerte|leccarti|meterte|succhiarti|ficktdich ~2"),
+        (0.85, "meterte|meterle|mettertelo|schieb|pushed|rammed|push|slid ~3 SEXBODY ~2"),
+        (0.9, "SEXBODY ~3 AROUSED|INSIDE"),
+        (0.85, "AROUSED ~2 SEXBODY"),
+        (0.9, "YOUR|my|her|his|mine|deine|ta|tu|mi ~1 SEXBODY ~1"),
+        (0.85, "SEE ~5 SEXBODY ~2"),
+        (0.85, "SEE ~4 NAKEDPICS"),
+        (0.85, "NAKEDPICS LURE|OF? ~2"),
+        (0.85, "SEE ~3 PICS ~2 NAKED|SEXBODY"),
+        (0.85, "PICS OF ~3 NAKED|SEXBODY|WOMEN NAKED?"),
+        (0.85, "SEE|show ~3 EROT on|a|in PICS"),
+        (0.85, "YOUR|her|his|deine|deinen|tes|ses|tus|sus|tuo ~2 NAKED EROT"),
+        (0.85, "YOUR|her|his|tes|ses|tus|sus EROT NAKED"),
+        (0.9, "KISS ~3 her|his|YOUR|le|les|los|las|ses|i ~1 EROT"),
+        (0.85, "her|his|YOUR|ses|tes EROT ~2 KISS"),
+        (0.85, "YOUR EROT ~3 AROUSED|good|hot|tight|fine|SEXY"),
+        (0.85, "YOUR wet|naked|hot|sexy EROT"),
+        (0.85, "lick|kiss ~1 every|DET ~1 EROT OF ~1 YOU|YOUR"),
+        (0.85, "lick|kiss|lecher|lamer|leccare YOU ~1 everywhere|partout|overall|todo|tutta"),
+        (0.85, "lecher partout"),
+        (0.85, "te lecher|prendre ~2 sur|partout|bureau|lit"),
+        (0.85, "UNDRESS ~1 YOU|her|him ~2 slowly|KISS|naked"),
+        (0.8, "want|would|will|wanna ~2 UNDRESS YOU|her|him"),
+        (0.85, "quitarte DET ropa|bragas"),
+        (0.9, "PULLOFF ~1 her|his|YOUR|my|ihr|ihre|seine|sa|sus|le ~1 CLOTHES"),
+        (0.9, "hand|hands|finger|fingers|hande|main|mano ~1 between|up|inside|zwischen|entre|tra her|his|YOUR|my|ihre|DET EROT|legs|CLOTHES"),
+        (0.9, "spread ~1 her|his|YOUR|my legs|EROT"),
+        (0.9, "MOAN ~3 PLEASURE"),
+        (0.85, "WHO MOAN ~4 NAKED|KISS|INSIDE|when|wahrend|als|pendant|mientras|mentre"),
+        (0.85, "MOAN ~2 NAKED"),
+        (0.85, "UNTIL|until ~2 MOAN ~2"),
+        (0.85, "SEXV ~3 until|till|bis ~2 MOAN"),
+        (0.85, "from behind ~1 and|$"),
+        (0.85, "take|took|nimm|prends|begged ~3 from behind"),
+        (0.85, "every thrust"),
+        (0.85, "WHO MOAN ~2"),
+        (0.85, "HAVE SEX on|all|until|in|with|again|NIGHT"),
+        (0.85, "naked|nackt|nue|desnuda ~1 and ~1 SEXV|MOAN"),
+        (0.85, "ride|reiten YOU|me|him|her ~2 NIGHT"),
+        (0.85, "sit on my face|lap|cock|dick"),
+        (0.8, "touch|touching|finger|fingering myself ~2"),
+        (0.85, "cum|came|come|cums all? over|in|inside|on her|his|my|YOUR|me ~1"),
+        (0.85, "SEXY ~6 SEXV|NAKED|SEXBODY"),
+        (0.85, "AROUSED ~2 for|auf|por YOU|dich|ti"),
+        (0.85, "horny|geil|cachondo|cachonda|arrapato|arrapata"),
+        (0.85, "SELF caliente|excitado|mojada|mouillee|feucht"),
+        (0.85, "WILL ~1 SEXV her|him|YOU ~2 NIGHT|hard"),
+        (0.85, "so hard|wet|geil|feucht for|when|auf|thinking ~1 YOU"),
+        (0.85, "PORN ~1 PICS|LURE|clips|movies|site|stars|chat|toys|tape|tabus|WOMEN"),
+        (0.85, "PICS ~2 NAKED|WOMEN NAKED"),
+        (0.85, "WOMEN NAKED ~3 LURE|PICS|PORN"),
+        (0.85, "NAKED WOMEN ~3 LURE|PICS|PORN"),
+        (0.85, "NAKED PICS|body"),
+        (0.85, "PICS|PORN ~2 NAKED WOMEN"),
+        (0.85, "WOMEN ~2 UNDRESS ~3 LURE|YOU"),
+        (0.85, "WOMEN AROUSED|LURE ~4 PORN|SEXV|YOU|PICS"),
+        (0.85, "LURE PORN"),
+        (0.85, "PORN LURE"),
+        (0.85, "hardcore|uncensored ~2 SEX|PICS|movies|action"),
+        (0.85, "SEX LURE|OF? ~2 LURE|tabus|limites|tabu|limiti"),
+        (0.85, "anal|oral sex|included|inclus|incluido"),
+        (0.85, "like|likes|love|loves it rough|anal ~2"),
+        (0.85, "cock|penis ~2 pills|enlarge|bigger|minutes"),
+        (0.8, "sweaty ~2 without ~1 stitch"),
     ],
 }
 
-#: Written without blanks between words: phrases, not words, are looked for.
-PHRASES = {
-    "abusive": "傻逼 傻屄 你是个白痴 你是个蠢 你是个笨蛋 杀了你 弄死你 混蛋 去死吧 操你妈 草泥马 肏你 滚蛋 你这个白痴 你这个蠢货 你是白痴 蠢货 贱人 王八蛋 死ね くたばれ お前は馬鹿 お前はバカ 殺すぞ 닥쳐 멍청이 馬鹿野郎 バカ野郎 クズ野郎 ぶっ殺す 殺してやる 黙れクズ 병신 씨발 꺼져 죽어라 개새끼",
-    "hateful": "滚出我们的国家 人渣 劣等民族 害虫だ 出て行け外国人 劣等人種",
-    "sexual": "裸体视频 裸聊 做爱 操我 口交 おっぱいを見せて セックスしたい エロ動画 フェラ 섹스하자",
-}
+#: Context transducers: what they take from the score of a hit, what they read around it.
+CONTEXTS: list[tuple[float, str]] = [
+    # negation
+    (0.7, "NEG DET|BE|YOU|such? DET|PEJ? HIT"),
+    (0.7, "NEG|NOBODY|hardly ~1 THINK ~3 HIT"),
+    # words under discussion and reported speech
+    (0.8, "META SUCH? SUCH? SUCH? SUCH? HIT"),
+    (0.8, "CALLED ~4 HIT"),
+    (0.7, "SAYS ~2 THAT ~2 HIT"),
+    (0.7, "SAYS ~1 why|how|warum|pourquoi ~4 HIT"),
+    (0.8, "HIT ~2 BE ~2 META"),
+    (0.7, "HIT ~2 BE ~1 CALLED|MOD"),
+    (0.7, "TOLD ~1 BE CALLED"),
+    (1.3, "MOD|META|SAYS|CALLED|write|test ~6 CITED"),
+    (1.3, "CITED ~4 MOD|META|BE"),
+    (0.6, "HIT laughing|lachen|rire|risa|ridere"),
+    (0.8, "MOD ~8 MOD ~8 TOLD"),
+    (0.8, "MOD ~8 TOLD ~8 MOD"),
+    (0.8, "TOLD ~8 MOD ~8 MOD"),
+    # the speaker
+    (0.75, "SELF BE ~3 TOLD"),
+    (0.75, "SELF DET? TOLD"),
+    (0.75, "SELF FEEL ~2 TOLD"),
+    (0.75, "TOLD SELF BE"),
+    # things
+    (0.6, "THING BE? ~2 OPEN"),
+    (0.6, "THING ~2 BE ~3 OPEN"),
+    (0.6, "IT BE ~1 OPEN"),
+    (0.6, "^ IT OPEN"),
+    (0.6, "OPEN OF DET? THING"),
+    (0.6, "DET|WHAT PEJ? HEAP? OF? OPEN THING"),
+    (0.6, "AIMED|OPEN DET|IT PEJ|MILD? THING"),
+    (0.6, "NAMED THING"),
+    (1.1, "AIMED PEJ|DET? THING $"),
+]
+
+#: Fields too common to start a machine.
+_COMMON = frozenset("YOU YOUARE YOUOBJ ARE YOUR SELF THEY ROLE WHO DET BE AND OF ONLY NEG WILL LIKE KEEP OUT AWAY WHAT TAKE INTO SHOULD KNOW WHERE THING HAVE SEE GIVES FOLK PERSONS THEM UNKNOWN MILD OURS EVERYBODY LURE BELONG THAT SUCH HOME PICS REJECT NONE".split())
 
 
 @dataclass(frozen=True)
 class Step:
-    """One part of a machine; ``symbols`` is None for an arbitrary word."""
+    """One part of a machine: symbols, an arbitrary word (``symbols`` None) or an edge of the clause (``at_edge``)."""
 
     symbols: frozenset[str] | None
     optional: bool
+    at_edge: bool = False
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Machine:
-    kind: str
+    out: str
     weight: float
     steps: tuple[Step, ...]
-    anchors: tuple[frozenset[str], ...]
     negates: bool
     directed: bool
+    named: bool
+    pattern: str
+
+    @property
+    def as_read(self) -> dict[str, float]:
+        """A hit of the machine as context transducers read it."""
+        return dict.fromkeys(["HIT", *(["AIMED"] if self.directed else ["TOLD", "NAMED"] if self.named else ["TOLD", "OPEN"])], 0.0)
+
+    @property
+    def needs(self) -> list[frozenset[str]]:
+        return [s.symbols for s in self.steps if s.symbols and not s.optional]
 
 
 def _symbol(part: str) -> str:
-    return part if part.isupper() else "=" + plain(part)
+    return part if part.isascii() and part.isupper() else "=" + plain(part)
 
 
-def _expand(pattern: str) -> list[str]:
-    """Substitution of the parts in angle brackets."""
-    m = re.search(r"<(\w+)>", pattern)
-    if not m:
-        return [pattern]
-    return [x for alternative in PARTS[m[1]] for x in _expand(pattern[: m.start()] + alternative + pattern[m.end() :])]
+_NOT = frozenset({"NEG", "NOBODY", *("=" + w for w in "not never no pas nunca jamais nie mai nobody".split())})
 
 
-def _compile(kind: str, weight: float, pattern: str) -> Machine:
+def _compile(out: str, weight: float, pattern: str) -> Machine:
     steps: list[Step] = []
-    anchors: list[frozenset[str]] = []
-    words = pattern.split()
-    for w in words:
-        if w == "end":
-            continue
-        if w[0] == "~":
+    directed = pattern.startswith("<")
+    for w in pattern.lstrip("<").split():
+        if w in "^$":
+            steps.append(Step(None, False, True))
+        elif w[0] == "~":
             steps += [Step(None, True)] * int(w[1:])
-            continue
-        optional = w.endswith("?")
-        choices = w.rstrip("?").split("|")
-        symbols = frozenset(_symbol(c.rstrip("!?")) for c in choices)
-        if any(c.endswith("!") for c in choices) and not optional:
-            anchors.append(symbols)
-        steps.append(Step(symbols, optional))
-    if not anchors:
-        raise ValueError(f"no anchor in {pattern!r}")
-    negates = any(s.symbols and (s.symbols & {"=not", "=never", "=no", "=pas", "=n", "=nobody", "=keiner"}) for s in steps)
-    directed = any(s.symbols and s.symbols & {"YOU", "YOUR"} for s in steps)
-    return Machine(kind, weight, tuple(steps), tuple(anchors), negates, directed)
+        else:
+            optional = w.endswith("?")
+            steps.append(Step(frozenset(_symbol(c) for c in w.rstrip("?").split("|")), optional))
+    said = frozenset(x for s in steps if s.symbols and not s.at_edge for x in s.symbols)
+    return Machine(out, weight, tuple(steps), bool(said & _NOT), directed or bool(said & {"YOU", "YOUR", "YOUARE", "YOUOBJ", "SELFPRON", "HURT"}), bool(said & {"WHO", "PEOPLE", "THEM", "GROUP", "FOLK"}), pattern)
+
+
+def _guess(token: str) -> dict[str, float]:
+    """Symbols of a word outside the lexicon by its form: any word, and one formed like the name of a people."""
+    if len(token) < 4 or not token.isalpha():
+        return {}
+    people = len(token) > 6 and token.endswith(("ish", "ischen", "ische", "iches", "ians", "ese"))
+    return {"UNKNOWN": 0.0, "ETHNONYM": 0.0} if people else {"UNKNOWN": 0.0}
+
+
+Arcs = list[list[tuple[int, dict[str, float]]]]
 
 
 class Grammar:
-    """All machines, the lexicon they read and the index of their anchors."""
+    """The cascade: lexicon, phrase, clause and context transducers, and which of them a clause can start."""
 
-    def __init__(self) -> None:
-        self.machines = [_compile(kind, w, p) for kind, listed in MACHINES.items() for w, p0 in listed for p in _expand(p0)]
+    def __init__(self, remembered: int = 200_000) -> None:
+        self.phrases = [_compile(out, -cost, p) for out, cost, p in PHRASES]
+        self.machines = [_compile(kind, w, p) for kind, listed in CLAUSES.items() for w, p in listed]
+        self.contexts = [_compile("", w, p) for w, p in CONTEXTS]
+        every = [*self.phrases, *self.machines, *self.contexts]
         words: dict[str, set[str]] = {}
-        for name, listed in CLASSES.items():
-            for w in listed.split():
+        for name, listed in FIELDS.items():
+            for w in forms(listed):
                 words.setdefault(plain(w), set()).add(name)
+        used = {x for m in every for s in m.steps for x in s.symbols or ()}
+        for x in used:
+            if x[0] == "=":
+                words.setdefault(x[1:], set()).add(x)
+        self.lexicon = Lexicon(words, guess=_guess)
+        names = sorted(used | {"UNKNOWN", "ETHNONYM"} | {m.out for m in self.phrases})
+        self.bit = {x: 1 << k for k, x in enumerate(names)}
+        self.needs = {id(m): [self._bits(n) for n in m.needs] for m in every}
+        derived = {m.out for m in self.phrases}
+        #: machines by the symbols of the need that starts them: one made of rarer symbols, if any
+        self.starts: dict[int, list[Machine]] = {}
         for m in self.machines:
-            for s in m.steps:
-                for x in s.symbols or ():
-                    if x[0] == "=":
-                        words.setdefault(x[1:], set()).add(x)
-        self.lexicon = Lexicon(words)
-        self.by_anchor: dict[str, list[Machine]] = {}
-        count: dict[str, int] = {}
-        for m in self.machines:
-            for a in m.anchors:
-                for s in a:
-                    count[s] = count.get(s, 0) + 1
-        for m in self.machines:
-            for s in m.anchors[0]:
-                self.by_anchor.setdefault(s, []).append(m)
-        self.rare = frozenset(self.by_anchor)
-        self._starts: dict[str, tuple[bool, bool, bool]] = {}
-        self.phrases = [(plain(p), kind) for kind, listed in PHRASES.items() for p in listed.split()]
+            rare = [n for n in m.needs if not n & _COMMON]
+            for x in min(rare, key=lambda n: (bool(n & derived), len(n))) if rare else m.needs[-1]:
+                self.starts.setdefault(self.bit[x], []).append(m)
+        self.start_bits = sum(self.starts)
+        self.phrase_starts = [(self._bits(next((n for n in m.needs if not n & _COMMON), m.needs[-1])), m) for m in self.phrases]
+        #: symbols that some phrase or clause machine cannot do without
+        self.needed = 0
+        for m in [*self.phrases, *self.machines]:
+            for n in self.needs[id(m)]:
+                self.needed |= n
+        self.remembered = remembered
+        self._masks: dict[str, tuple[int, bool, bool, bool]] = {}
+        self._plans: dict[int, tuple[list[Machine], list[Machine]] | None] = {}
         self._clauses: dict[str, tuple[float, str]] = {}
 
-    def _path(self, m: Machine, n: int, out: list[list[tuple[int, dict[str, float]]]], places: dict[str, list[int]]) -> tuple[float, int, int] | None:
-        """Least cost of a path through machine and lattice, and where it begins and ends."""
+    def _bits(self, symbols) -> int:
+        out = 0
+        for x in symbols:
+            out |= self.bit.get(x, 0)
+        return out
+
+    # --- which machines can start
+
+    def _word_bits(self, *words: str) -> int:
+        return self._bits(x for w in words for x in self.lexicon.words.get(w, ()))
+
+    def _token(self, t: str) -> tuple[int, bool, bool, bool]:
+        """Every symbol a token may read as, whether it can be the first or second of two that read as one, and part of a spelled word."""
+        read = self.lexicon.read
+        bits = self._bits(read(t)) | self._bits(_guess(t)) | self._word_bits(*self.lexicon.run_together(t) or ())
+        if "_" in t:
+            bits |= self._bits(read(t.replace("_", "")))
+        return bits, self.lexicon.may_open(t), self.lexicon.may_close(t), len(t) == 1 or "_" in t
+
+    def mask(self, text: str) -> int:
+        """All symbols that the lattice of a clause may hold, or more."""
+        masks, lexicon = self._masks, self.lexicon
+        tokens = tokens_of(text)
+        out, last, letters = 0, None, 0
+        for t in tokens:
+            got = masks.get(t)
+            if got is None:
+                if len(masks) >= self.remembered:
+                    masks.clear()
+                got = masks[t] = self._token(t)
+            bits, opens, closes, letter = got
+            out |= bits
+            letters += letter
+            if closes and last is not None:
+                if last + t in lexicon.words:
+                    out |= self._word_bits(last + t)
+                for two in lexicon.slipped(last, t):
+                    out |= self._word_bits(*two)
+            last = t if opens else None
+        if letters and letter_by_letter(tokens):
+            for _, _, symbols in lexicon.lattice(text)[1]:
+                out |= self._bits(symbols)
+        return out
+
+    def plan(self, mask: int) -> tuple[list[Machine], list[Machine]] | None:
+        """Phrase and clause machines whose every need the symbols meet."""
+        mask &= self.needed
+        if mask in self._plans:
+            return self._plans[mask]
+        if len(self._plans) >= self.remembered:
+            self._plans.clear()
+        needs, phrases, have = self.needs, [], mask
+        for first, m in self.phrase_starts:
+            if first & have and all(n & have for n in needs[id(m)]):
+                phrases.append(m)
+                have |= self.bit[m.out]
+        left, listed = have & self.start_bits, {}
+        while left:
+            one = left & -left
+            left ^= one
+            for m in self.starts[one]:
+                if id(m) not in listed and all(n & have for n in needs[id(m)]):
+                    listed[id(m)] = m
+        machines = list(listed.values())
+        got = self._plans[mask] = (phrases, machines) if machines else None
+        return got
+
+    # --- paths
+
+    @staticmethod
+    def paths(m: Machine, n: int, arcs: Arcs, pauses: set[int], pause: float) -> dict[tuple[int, int], float]:
+        """Least cost of the machine's paths through the lattice by where they begin and end."""
         steps, last = m.steps, len(m.steps)
-        best: tuple[float, int, int] | None = None
         first = steps[0]
-        begins = range(n) if first.optional or first.symbols is None else {p for s in first.symbols if s in places for p in places[s]}
-        table: list[dict[int, tuple[float, int]] | None] = [None] * (n + 1)
-        for at in begins:
-            table[at] = {0: (0.0, at)}
+        begins = range(n)
+        if first.symbols and not first.optional:
+            begins = [p for p in range(n) if any(not first.symbols.isdisjoint(s) for _, s in arcs[p])]
+        found: dict[tuple[int, int], float] = {}
+        table: dict[int, dict[tuple[int, int], float]] = {p: {(0, p): 0.0} for p in begins}
         for at in range(n + 1):
-            here = table[at]
+            here = table.pop(at, None)
             if not here:
                 continue
-            states = sorted(here)
-            for k in states:  # grows by optional steps
-                got = here[k]
+            edge = at == 0 or at == n or at in pauses
+            todo = list(here)
+            while todo:
+                key = todo.pop()
+                k, begin = key
+                cost = here[key]
                 if k == last:
-                    if best is None or got[0] < best[0]:
-                        best = (*got, at)
+                    old = found.get((begin, at))
+                    if old is None or old > cost:
+                        found[(begin, at)] = cost
                     continue
                 step = steps[k]
-                if step.optional:
-                    more_on = here.get(k + 1)
-                    if more_on is None:
-                        here[k + 1] = got
-                        states.insert(states.index(k) + 1, k + 1)
-                    elif more_on[0] > got[0]:
-                        here[k + 1] = got
-                for to, symbols in out[at]:
+                if step.optional or step.at_edge and edge:
+                    old = here.get((k + 1, begin))
+                    if old is None or old > cost:
+                        here[(k + 1, begin)] = cost
+                        todo.append((k + 1, begin))
+                if step.at_edge or at == n:
+                    continue
+                inside = pause if at in pauses and at != begin else 0.0
+                for to, symbols in arcs[at]:
                     if step.symbols is None:
                         if to != at + 1:
                             continue
-                        more = GAP + (NEGATED if "NEG" in symbols and not m.negates else 0.0) + (SELF if m.kind == "abusive" and "SELFBE" in symbols and not m.negates else 0.0)
+                        more = GAP + inside
+                        if not m.negates and "NEG" in symbols:
+                            more += NEGATED
+                        if "CALLED" in symbols or "NICE" in symbols:
+                            more += NEGATED
+                        if m.out == "abusive" and not m.negates and "SELF" in symbols:
+                            more += SELF
                     else:
-                        if not symbols:
-                            continue
                         hit = [symbols[s] for s in step.symbols if s in symbols]
                         if not hit:
                             continue
-                        more = min(hit)
-                    now = (got[0] + more, got[1])
-                    there = table[to]
-                    if there is None:
-                        table[to] = {k + 1: now}
-                    else:
-                        old = there.get(k + 1)
-                        if old is None or old[0] > now[0]:
-                            there[k + 1] = now
-        return best
-
-    @staticmethod
-    def _quoted(begin: int, out: list[list[tuple[int, dict[str, float]]]]) -> bool:
-        """Whether a word that quotes, and is not the reader's own, leads into a path, but for up to two words such as "that"."""
-
-        def has(k: int, name: str) -> bool:
-            return k >= 0 and any(name in s for _, s in out[k])
-
-        for k in range(begin - 1, begin - 4, -1):
-            if has(k, "QUOTE"):
-                return not has(k - 1, "YOUR")
-            if not has(k, "SAYS"):
-                break
-        return False
-
-    def _rare(self, *words: str) -> bool:
-        return any(not self.rare.isdisjoint(self.lexicon.words.get(w, ())) for w in words)
-
-    def _start(self, t: str) -> tuple[bool, bool, bool]:
-        """Whether a token reads as a rare part, and whether it can be the first or second of two that do."""
-        read = self.lexicon.read
-        alone = not self.rare.isdisjoint(read(t)) or "_" in t and not self.rare.isdisjoint(read(t.replace("_", "")))
-        return alone or self._rare(*self.lexicon.run_together(t) or ()), self.lexicon.may_open(t), self.lexicon.may_close(t)
-
-    def _may_start(self, text: str) -> bool:
-        """Whether a machine can start in a clause at all; true wherever the lattice holds a rare part."""
-        tokens = tokens_of(text)
-        starts = self._starts
-        last = None  # the token before, if it can be the first of two
-        for t in tokens:
-            got = starts.get(t)
-            if got is None:
-                if len(starts) >= 300_000:
-                    starts.clear()
-                got = starts[t] = self._start(t)
-            alone, opens, closes = got
-            if alone:
-                return True
-            if closes and last is not None and (self._rare(last + t) or any(self._rare(*two) for two in self.lexicon.slipped(last, t))):
-                return True
-            last = t if opens else None
-        return letter_by_letter(tokens)
+                        more = min(hit) + inside
+                        if m.out == "abusive" and not m.named and "BE" in step.symbols and "SELF" in symbols:
+                            more += SELF
+                    there = table.setdefault(to, {})
+                    now = cost + more
+                    old = there.get((k + 1, begin))
+                    if old is None or old > now:
+                        there[(k + 1, begin)] = now
+        return found
 
     def clause(self, text: str) -> tuple[float, str]:
         """Score and kind of a clause in plain text."""
-        for phrase, kind in self.phrases if not text.isascii() else ():
-            if phrase in text:
-                return 0.9, kind
-        if not self._may_start(text):
-            return 0.0, ""
-        n, edges = self.lexicon.lattice(text)
-        present: set[str] = set()
-        for _, _, symbols in edges:
-            present.update(symbols)
-        keys = present & self.rare
-        if not keys:
+        if is_unspaced(text):
+            text = self.lexicon.segmented(text)
+        plan = self.plan(self.mask(text))
+        if plan is None:
             return 0.0, ""
-        out: list[list[tuple[int, dict[str, float]]]] = [[] for _ in range(n + 1)]
-        places: dict[str, list[int]] = {}
+        n, edges, pauses, quoted = self.lexicon.lattice(text)
+        arcs: Arcs = [[] for _ in range(n + 1)]
+        have = 0
         for a, b, symbols in edges:
-            out[a].append((b, symbols))
-            for s in symbols:
-                places.setdefault(s, []).append(a)
-        reports = [k for k in range(n) if any("REPORT" in s for _, s in out[k])]
+            if symbols:
+                have |= self._bits(symbols)
+            arcs[a].append((b, symbols))
+        plan = self.plan(have)
+        if plan is None:
+            return 0.0, ""
+        phrases, machines = plan
+        for m in phrases:
+            for (a, b), cost in self.paths(m, n, arcs, pauses, PAUSE).items():
+                if a != b and cost < 0.5:
+                    arcs[a].append((b, {m.out: cost - m.weight}))
         score, kind = 0.0, ""
-        for m in {id(m): m for k in keys for m in self.by_anchor[k]}.values():
-            if m.weight <= score or any(not (a & present) for a in m.anchors[1:]):
-                continue
-            found = self._path(m, n, out, places)
-            if found is None:
-                continue
-            cost, begin, end = found
-            now = m.weight - cost
-            before = [s for k in range(max(0, begin - 4), begin) for _, s in out[k]]
-            if not m.directed and any("SELFBE" in s for s in before) and any("BE" in s for s in before[-3:]) and m.kind == "abusive":
-                now -= SELF
-            if not m.negates and any("NEG" in s for s in before[-1:]):
-                now -= NEGATED
-            if len(reports) > 1 and sum(begin - REPORT_REACH <= k < end + REPORT_REACH for k in reports) > 1 and (not m.directed or self._quoted(begin, out)):
-                now -= REPORTED
-            if now > score:
-                score, kind = now, m.kind
+        for m in sorted(machines, key=lambda m: -m.weight):
+            if m.weight <= score:
+                break
+            for (a, b), cost in self.paths(m, n, arcs, pauses, PAUSE).items():
+                now = m.weight - cost
+                if now > score and now >= THRESHOLD / 4:
+                    now -= self._taken(m, a, b, n, arcs, pauses, quoted)
+                    if now > score:
+                        score, kind = now, m.out
         return max(score, 0.0), kind if score > 0 else ""
 
+    def _taken(self, hit: Machine, a: int, b: int, n: int, arcs: Arcs, pauses: set[int], quoted: set[int]) -> float:
+        """What the context of a hit takes from its score."""
+        around = list(arcs)
+        cited = {"CITED": 0.0} if quoted and quoted.issuperset(range(a, b)) and len(quoted) < n else {}
+        around[a] = [*arcs[a], (b, hit.as_read | cited)]
+        have = 0
+        for arc in around:
+            for _, symbols in arc:
+                if symbols:
+                    have |= self._bits(symbols)
+        most = 0.0
+        for m in self.contexts:
+            if m.weight <= most or hit.negates and m.steps[0].symbols and "NEG" in m.steps[0].symbols:
+                continue
+            if all(x & have for x in self.needs[id(m)]):
+                for cost in self.paths(m, n, around, pauses, 4 * PAUSE).values():
+                    most = max(most, m.weight - cost)
+        return most
+
     def _known_clause(self, key: str) -> tuple[float, str]:
         known = self._clauses
         got = known.get(key)
         if got is None:
             got = self.clause(key)
             if len(key) <= 200:
-                if len(known) >= 100_000:
+                if len(known) >= self.remembered:
                     known.clear()
                 known[key] = got
         return got
@@ -662,7 +725,7 @@ class Grammar:
             if got[0] > score:
                 score, kind = got
             hits += got[0] >= THRESHOLD and not any(self._known_clause(p)[0] >= THRESHOLD for p in parts)
-        return score, kind, hits
+        return min(score, 1.0), kind, hits
 
 
 @functools.lru_cache(maxsize=1)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOKALIKES = str.maketrans("аеіорсухѕјԁһкмтвнгпαορνικτυ", "aeiopcyxsjdhkmtbhrnaopviktu")
@@ -31,6 +31,10 @@ _CLAUSE = re.compile(r"(?<=[.!?;])\s+|\n+|[。！？；]+|(?<=\.\.)\s*")
 _WRAP = re.compile(r"""\n(?=(?:>|[#*/|]+[ \t]|[ \t])*["'(\[“‘«„]*([^\W\d_]))""")
 _MARGIN = re.compile(r"(?:>|[#*/|]+[ \t]|[ \t])*")
 _TOKEN = re.compile(r"[\w*#%$@!&+]+")
+_PAUSE = re.compile(r"[,:()\"“”«»—–]|(?<!\w)-(?!\w)|[.!?;]+(?=\s)")
+_QUOTE = re.compile("[\"“”«»„]")
+#: Scripts written without blanks between words, after decomposition (fixed ranges).
+_UNSPACED = re.compile("[\u1100-\u11ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]+")
 
 
 def _redecode(m: re.Match) -> str:
@@ -119,6 +123,11 @@ def tokens_of(clause: str) -> list[str]:
     return _TOKEN.findall(clause)
 
 
+def is_unspaced(text: str) -> bool:
+    """Whether a text holds words of a script without blanks."""
+    return not text.isascii() and _UNSPACED.search(text) is not None
+
+
 def letter_by_letter(tokens: list[str]) -> bool:
     """Whether a word may be spelled out: single letters in a row, or between underscores."""
     run = 0
@@ -135,7 +144,7 @@ def folded(word: str) -> str:
 
 
 def _one_slip(a: str, b: str) -> bool:
-    """Equal but for one letter added, lost, swapped with the next or, in words of six letters or more, changed."""
+    """Equal but for a letter swapped with the next or, in longer words, one added, lost or changed."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > 1:
@@ -144,8 +153,8 @@ def _one_slip(a: str, b: str) -> bool:
     while i < len(a) and a[i] == b[i]:
         i += 1
     if len(a) == len(b):
-        return len(a) > 5 and a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
-    return a[i:] == b[i + 1 :]
+        return len(a) > 6 and a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
+    return len(b) > 6 and a[i:] == b[i + 1 :]
 
 
 class Lexicon:
@@ -153,8 +162,10 @@ class Lexicon:
 
     LETTERS, SLIP, SPELLED = 0.05, 0.15, 0.05
 
-    def __init__(self, words: dict[str, set[str]], slips_from: int = 5, remembered: int = 300_000):
+    def __init__(self, words: dict[str, set[str]], slips_from: int = 5, remembered: int = 300_000, guess: Callable[[str], dict[str, float]] = lambda token: {}):
+        """``guess`` gives the symbols of words outside the lexicon by their form."""
         self.words = words
+        self.guess = guess
         self.by_fold: dict[str, list[str]] = {}
         self.by_size: dict[tuple[str, int], list[str]] = {}
         self.by_cut: dict[str, list[str]] = {}
@@ -209,6 +220,8 @@ class Lexicon:
             return out
         letters = sum(c.isalpha() for c in word)
         if not 3 * letters >= len(word) or len(word) > 24:
+            if letters == 2 and word[0].isalpha() and word[-1].isalpha() and 6 < len(word) < 16 and set(word[1:-1]) <= set(SIGNS):
+                add(self._masked(word), self.SLIP)
             return out
         if not any(c in SIGNS for c in word) and not mapped.endswith(("$", "!")) and not mapped.startswith(("$", "@", "!")):
             # digits for letters
@@ -237,7 +250,7 @@ class Lexicon:
                 found.add(cut)
             found.update(self.by_cut.get(cut, ()))
         near = [w for w in found if w[0] == word[0] and len(w) >= self.slips_from and _one_slip(word, w)]
-        if not any("NEUTRAL" in self.words[w] for w in near):
+        if not any("THING" in self.words[w] for w in near):  # as likely a slip of a harmless word
             add(near, self.SLIP)
 
     def run_together(self, token: str) -> tuple[str, str] | None:
@@ -261,18 +274,53 @@ class Lexicon:
         """Whether a token can be the second of two that read as one word, or with the blank moved."""
         return token in self.endings or token[1:] in self.words
 
-    def lattice(self, clause: str) -> tuple[int, list[tuple[int, int, dict[str, float]]]]:
-        """Positions and edges (from, to, symbols with costs) of a clause in plain text."""
+    def segmented(self, text: str) -> str:
+        """Blanks between the words of scripts without blanks: longest words of the lexicon first, else single letters."""
+
+        def cut(m: re.Match) -> str:
+            run, out, k = m[0], [], 0
+            while k < len(run):
+                size = next((z for z in range(min(self.longest, len(run) - k), 1, -1) if run[k : k + z] in self.words), 1)
+                out.append(run[k : k + size])
+                k += size
+            return f" {' '.join(out)} "
+
+        return _UNSPACED.sub(cut, text)
+
+    def lattice(self, clause: str) -> tuple[int, list[tuple[int, int, dict[str, float]]], set[int], set[int]]:
+        """Positions, edges (from, to, symbols with costs), positions before which a pause stands and quoted ones, of a clause in plain text."""
         tokens: list[str] = []
         spelled: list[int] = []
+        pauses: set[int] = set()
+        glued: set[int] = set()
+        quoted: set[int] = set()
+        open_quote = False
+
+        def take(a: int, b: int) -> None:
+            nonlocal open_quote
+            last = a
+            for t in _TOKEN.finditer(clause, a, b):
+                if _QUOTE.search(clause, last, t.start()):
+                    open_quote ^= len(_QUOTE.findall(clause, last, t.start())) % 2 == 1
+                if open_quote:
+                    quoted.add(len(tokens))
+                if t.start() > last and not (" " in clause[last : t.start()] or at + last == 0):
+                    glued.add(len(tokens))
+                if tokens and t.start() > last and _PAUSE.search(clause, last, t.start() + 1):
+                    pauses.add(len(tokens))
+                tokens.append(t[0])
+                last = t.end()
+            if b > last and _PAUSE.search(clause, last, b):
+                pauses.add(len(tokens))
+
         at = 0
         for m in _SPELLED.finditer(clause) if letter_by_letter(_TOKEN.findall(clause)) else ():
-            tokens += _TOKEN.findall(clause[at : m.start()])
+            take(at, m.start())
             for part in m[0].split(" ") if re.search(r"[._\-]", m[0]) else [m[0]]:
                 spelled.append(len(tokens))
                 tokens.append(re.sub(r"[ ._\-]", "", part))
             at = m.end()
-        tokens += _TOKEN.findall(clause[at:])
+        take(at, len(clause))
         edges: list[tuple[int, int, dict[str, float]]] = []
         n = len(tokens)
         words = self.words
@@ -288,12 +336,12 @@ class Lexicon:
             symbols = self.read(t)
             if i in spelled and not symbols:
                 symbols = next((s for s in (self.read(t[1:]), self.read(t[:-1]), self.read(t[2:])) if s), {})
-            edges.append((i, i + 1, symbols))
+            edges.append((i, i + 1, symbols or self.guess(t)))
             if not symbols and (two := self.run_together(t)):
                 merged.append((i, words[two[0]], words[two[1]]))
             if i + 1 < n:
                 joined = t + tokens[i + 1]
-                if joined in words and (len(t) < 3 or len(tokens[i + 1]) < 3 or not symbols):
+                if joined in words and (i + 1 in glued or len(t) < 3 or len(tokens[i + 1]) < 3 or not symbols):
                     edges.append((i, i + 2, {s: self.SLIP for s in words[joined]}))
                 elif not (symbols and tokens[i + 1] in words):
                     for first, second in self.slipped(t, tokens[i + 1]):
@@ -303,6 +351,8 @@ class Lexicon:
             # a position more for each: word by word from the last, so that places before stay valid
             for i, first, second in reversed(merged):
                 edges = [(a + (a > i), b + (b > i), x) for a, b, x in edges]
-                edges += [(i, i + 1, {s: self.SLIP for s in first}), (i + 1, i + 2, {s: self.SLIP for s in second})]
+                edges += [(i, i + 1, {s: self.SLIP for s in first}), (i + 1, i + 2, dict.fromkeys(second, 0.0))]
+                pauses = {p + (p > i) for p in pauses}
+                quoted = {q + (q > i) for q in quoted}
                 n += 1
-        return n, edges
+        return n, edges, pauses, quoted

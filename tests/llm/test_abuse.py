@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+import heldout
 from sigloom.llm import abuse
 from sigloom.llm.spelling import _one_slip, clauses, folded, letter_by_letter, pieces, plain, tokens_of
 
@@ -135,13 +136,19 @@ def test_cut_hyphenated_and_merged_words_reach_the_machines(text):
     assert score(text) >= abuse.THRESHOLD, text
 
 
-def test_no_clause_is_passed_over_that_the_lattice_reads(monkeypatch):
-    rare = sorted(w for w, symbols in G.lexicon.words.items() if symbols & G.rare and w.isalpha())
-    spelt = [f"{a}{w[:k]}{sign}{w[k:]}{b}" for w in rare for k in range(len(w)) for sign in (" ", "-", "/", "_", ". ") for a, b in (("you ", ""), ("you are a ", " you"))]
-    spelt += [f"{a}{w}{b}" for w in rare for a, b in (("you", ""), ("", "you"), ("you are a stupid", ""), ("yo u", ""), ("", "y ou"), ("yo ", "u"))]
-    fast = [abuse.Grammar.clause(G, t)[0] for t in spelt]
-    monkeypatch.setattr(abuse.Grammar, "_may_start", lambda self, text: True)
-    assert [(t, x) for t, x, y in zip(spelt, fast, (G.clause(t)[0] for t in spelt)) if x != y] == []
+def test_no_clause_is_passed_over_that_the_lattice_reads():
+    """What decides whether a clause is read at all holds every symbol that its lattice holds."""
+    words = sorted(w for w in G.lexicon.words if w.isalpha() and len(w) > 2)[::25]
+    spelt = [f"{a}{w[:k]}{sign}{w[k:]}{b}" for w in words for k in range(len(w)) for sign in (" ", "-", "/", "_", ". ") for a, b in (("you ", ""), ("you are a ", " you"))]
+    spelt += [f"{a}{w}{b}" for w in words for a, b in (("you", ""), ("", "you"), ("you are a stupid", ""), ("yo u", ""), ("", "y ou"), ("yo ", "u"))]
+    lost = []
+    for t in spelt:
+        held = 0
+        for _, _, symbols in G.lexicon.lattice(t)[1]:
+            held |= G._bits(symbols)
+        if held & ~G.mask(t):
+            lost.append(t)
+    assert lost == []
 
 
 @pytest.mark.parametrize(
@@ -196,3 +203,52 @@ def test_words_cut_by_a_line_end_are_read():
     for text in ("here and there in this quite long line you mor\non and so on in the other long line", "you are a half-\nwit", "b\na\ns\nt\na\nr\nd you are", "you fuc\nkyou"):
         assert (score(text) >= abuse.THRESHOLD) == (G.clause(text.replace("\n", " "))[0] >= abuse.THRESHOLD), text
     assert score("you mor\non") >= abuse.THRESHOLD
+
+
+def test_held_out_sentences():
+    """Sentences in five languages, written before the grammars and never tuned on."""
+    bad, fine = ([t for listed in x.values() for t in listed] for x in (heldout.ABUSIVE, heldout.HARMLESS))
+    assert len(bad) >= 100 and len(fine) >= 100 and len(heldout.ABUSIVE) == len(heldout.HARMLESS) == 5
+    assert sum(score(t) >= abuse.THRESHOLD for t in bad) >= 0.9 * len(bad)
+    assert sum(score(t) >= abuse.THRESHOLD for t in fine) <= 0.02 * len(fine)
+
+
+@pytest.mark.parametrize(
+    ("bare", "inside"),
+    [
+        ("you are an idiot", "you are not an idiot"),
+        ("you are a fool", "nobody here thinks you are a fool"),
+        ("the maintainer is a moron", "the word moron is on the list"),
+        ("you stupid bitch", "he was banned because he called her a stupid bitch"),
+        ("immigrants are vermin", "it is said that nobody should call immigrants vermin"),
+        ("you are an idiot", 'the test "you are an idiot" checks the filter'),
+        ("kappel is an idiot", "i am an idiot"),
+        ("i hate you", "i hate you, makefile"),
+        ("his boss is a real bastard", "this bug is a real bastard"),
+    ],
+)
+def test_context_transducers_lower_the_score(bare, inside):
+    assert score(bare) >= abuse.THRESHOLD > score(inside)
+
+
+def test_machines_are_composed_of_fields():
+    """No machine is a sentence: every one reads a semantic field or a phrase, or a few words that mean only this."""
+    for m in G.machines:
+        words = [s.symbols for s in m.steps if s.symbols and not s.optional]
+        assert sum(all(x[0] == "=" for x in w) for w in words) <= 4, m.pattern
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["You're a waste of a human being.", "Do everyone a favour and swallow some bleach.", "what a pathetic little man you are", "Gays are sick perverts who should not be near children.", "These foreigners steal our jobs.", "I will hunt you down and slit your throat.", "Deine Mutter ist eine Hure.", "T'es con ou quoi ?", "Eres un inútil de mierda.", "Ti ammazzo, figlio di puttana.", "My cock is throbbing for you.", "你是白痴"],
+)
+def test_other_wordings_are_found(text):
+    assert score(text) >= abuse.THRESHOLD, text
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["The parser is a piece of shit, I had to rewrite it.", "I'd kill for that feature.", "The drop dead date is Monday.", "You lucky bastard, it works on your machine.", "The police arrested a man who killed his wife.", "Los procesos zombi deben morir.", "Stupid me, I pushed to the wrong branch.", "He is a lazy evaluator fan.", "Je vais te montrer la figure 3.", "The male and female voices are sampled at night."],
+)
+def test_other_harmless_wordings_are_not_found(text):
+    assert score(text) < abuse.THRESHOLD, text
