@@ -1,12 +1,12 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from sigloom.llm.seen import SeenStore, first_or_repeat
-from sigloom.plans.session import fresh_dir
+from sigloom.llm.seen import first_or_repeat, store_for
 
 def keys():
     return [F.col("a"), F.col("b")]
@@ -57,18 +57,39 @@ def test_one_key_with_a_third_of_all_rows(spark):
     assert run(spark, history, incoming) == brute(history, incoming)
 
 
-def test_state_outlives_a_run_and_never_expires(spark):
-    store = SeenStore(spark, fresh_dir(spark, "t"), 1)
+def flags(df):
+    return {r["id"]: r["seen"] for r in df.collect()}
+
+
+def test_state_outlives_a_turn_and_never_expires(spark):
+    """Later turns read their own rows only: what went in before is gone from the folder, and still known."""
+    rows = lambda *r: spark.createDataFrame(list(r), "id bigint, k string")
+    store = store_for(rows((1, "a")), [F.col("k")], ["id"])
     store.load(spark.createDataFrame([("a",), ("b",), ("a",)], "k string"), [F.col("k")])
-    first = store.firsts(spark.createDataFrame([(1, "a"), (2, "c"), (3, "c")], "id bigint, k string"), [F.col("k")], "id", ["id"])
-    assert [r["tag"] for r in first.collect()] == [2]
+    assert not os.path.exists(f"{store.path}/input/turn=0".removeprefix("file:"))
+    one = store.mark(rows((1, "a"), (2, "c"), (3, "c")), [F.col("k")], "id", ["id"], "seen")
+    assert flags(one) == {1: True, 2: False, 3: True}
+    two = store.mark(rows((0, "c"), (5, "d"), (4, "d"), (6, "b")), [F.col("k")], "id", ["id"], "seen")
+    assert flags(two) == {0: True, 5: True, 4: False, 6: True}
+    assert flags(one) == {1: True, 2: False, 3: True}
+    store.forget()
+    assert flags(two) == {0: True, 5: True, 4: False, 6: True}
 
 
 def test_many_small_batches_give_the_same(spark):
-    store = SeenStore(spark, fresh_dir(spark, "t"), 1, batch_bytes=1)
+    rows = spark.range(400).select("id", (F.col("id") % 100).alias("k")).repartition(5)
+    store = store_for(rows, [F.col("k")], ["id"], partitions=3, batch_bytes=1)
     store.load(spark.range(200).select((F.col("id") % 60).alias("k")).repartition(6), [F.col("k")])
-    rows = spark.range(400).select("id", (F.col("id") % 100).alias("k"))
-    assert sorted(r["tag"] for r in store.firsts(rows, [F.col("k")], "id", ["id"]).collect()) == list(range(60, 100))
+    got = flags(store.mark(rows, [F.col("k")], "id", ["id"], "seen"))
+    assert sorted(i for i, seen in got.items() if not seen) == list(range(60, 100)) and len(got) == 400
+
+
+def test_folders_are_removed_on_an_error(spark):
+    bad = spark.createDataFrame([(1, "x")], "id bigint, k string").select("id", F.expr("raise_error('no')").cast("string").alias("k"))
+    store = store_for(bad, [F.col("k")], ["id"])
+    with pytest.raises(Exception, match="no"):
+        store.load(bad, [F.col("k")])
+    assert not os.path.exists(f"{store.path}/input/turn=0".removeprefix("file:"))
 
 
 def test_streaming_settings_are_put_back(spark):
@@ -78,7 +99,7 @@ def test_streaming_settings_are_put_back(spark):
 
 
 def test_clashing_columns(spark):
-    incoming = spark.createDataFrame([(1, "t", "x", 1, "k", 5, True)], INCOMING + ", k0 string, tag int, o boolean")
+    incoming = spark.createDataFrame([(1, "t", "x", 1, "k", 5, True)], INCOMING + ", k0 string, tag int, own boolean")
     got = first_or_repeat(spark.createDataFrame([("x", 1)], "a string, b bigint"), keys(), incoming, keys(), "incoming_id", ["at"])
     assert got.first()["seen_before"] is True and got.first()["tag"] == 5
     again = first_or_repeat(incoming, keys(), incoming.withColumn("seen_before", F.lit("old")), keys(), "incoming_id", ["at"])
