@@ -6,9 +6,9 @@ among the items that still fit, the one with the greatest weighted dot product
 of its sizes with the container's free space goes in next; weights are the
 total demand in each dimension relative to its limit.
 
-Items are divided by a hash of their id into groups of about ``GROUP`` items
-(their number follows the count of items), each packed by one task in bounded
-memory, so the work is linear in the number of items. Only the last container
+Items are divided by a hash of id and sizes into groups of about ``GROUP`` items
+(their number follows the count of items), each packed by one task of its own in
+bounded memory, so the work is linear in the number of items. Only the last container
 of a group is left with space that other items could have used: one in some
 thousands.
 
@@ -135,15 +135,44 @@ def pack(items: DataFrame, item_id: str, n_tokens: str, n_prompt: str, limits: L
 
     Items without tokens (null sizes count as none) take a segment. Ids should
     be unique; repeated ones are items of their own. The result depends on the
-    items alone, not on partitions. No items give no rows. ``count``, the
-    number of items, is counted where the caller does not know it.
+    items alone, not on partitions, but for items without id, which are spread
+    by where they are read. No items give no rows. ``count``, the number of
+    items, is counted where the caller does not know it. A group of more than
+    ``2 group`` items (many that are equal in id and sizes) is packed in parts.
     """
     count = items.count() if count is None else count
     shards = max(1, -(-count // group))
-    rows = items.select(
-        F.pmod(F.xxhash64(F.col(f"`{item_id}`"), F.lit(7)), F.lit(shards)).alias("shard"),
-        F.col(f"`{item_id}`").cast("bigint").alias("id"),
-        F.coalesce(F.col(n_tokens), F.lit(0)).cast("bigint").alias("n"),
-        F.least(F.coalesce(F.col(n_prompt), F.lit(0)), F.coalesce(F.col(n_tokens), F.lit(0))).cast("bigint").alias("p"),
+    tokens, prompt = F.coalesce(F.col(f"`{n_tokens}`"), F.lit(0)).cast("bigint"), F.coalesce(F.col(f"`{n_prompt}`"), F.lit(0)).cast("bigint")
+    listed = items.select(F.col(f"`{item_id}`").cast("bigint").alias("id"), tokens.alias("n"), F.least(prompt, tokens).alias("p"), F.monotonically_increasing_id().alias("at"))
+    place = F.when(F.col("id").isNull(), F.xxhash64("n", "p", "at")).otherwise(F.xxhash64("id", "n", "p"))
+    rows = listed.select(F.pmod(place, F.lit(shards)).alias("shard"), "id", "n", "p")
+    tasks = min(shards, MOST_TASKS)
+    # by number, not by hash of the number: one group, one task
+    spread = rows.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
+    return spread.sortWithinPartitions("shard", "id", "n", "p").mapInArrow(lambda it: _pack(it, limits, 2 * group), _OUT)
+
+
+def check(items: DataFrame, packed: DataFrame, item_id: str, n_tokens: str, n_prompt: str, limits: Limits = Limits()) -> DataFrame:
+    """One row of counts: items, and everything that would be wrong with a packing of them.
+
+    Items lost, with tokens lost or added, or cut though within the limits;
+    pieces that do not follow on each other; containers over a limit. Ids that
+    are null or repeated are compared by their sums.
+    """
+    n, p = F.coalesce(F.col(f"`{n_tokens}`"), F.lit(0)).cast("bigint"), F.coalesce(F.col(f"`{n_prompt}`"), F.lit(0)).cast("bigint")
+    given = items.select(F.col(f"`{item_id}`").cast("bigint").alias("id"), n.alias("n"), (n - F.least(n, p)).alias("loss"))
+    want = given.select("id", F.lit(1).alias("items"), "n", "loss", F.lit(0).alias("pieces"), F.lit(0).alias("firsts"), ((F.col("n") > limits.tokens) | (F.col("loss") > limits.loss)).cast("int").alias("over"), F.lit(0).alias("starts"))
+    # the first piece begins at the first token, every other one after it
+    got = packed.select("id", F.lit(0).alias("items"), -F.col("n_tokens"), -F.col("n_loss"), F.lit(1).alias("pieces"), (F.col("piece") == 0).cast("int").alias("firsts"), F.lit(0).alias("over"), F.when(F.col("piece") == 0, (F.col("token_start") != 0).cast("int")).otherwise((F.col("token_start") <= 0).cast("int")).alias("starts"))
+    per = want.union(got).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("items", "n", "loss", "pieces", "firsts", "over", "starts")])
+    wrong = per.agg(
+        F.sum("items").alias("n_items"),
+        F.count_if(F.col("items") != F.col("firsts")).alias("n_lost_or_repeated"),
+        F.count_if((F.col("n") != 0) | (F.col("loss") != 0)).alias("n_changed_sizes"),
+        F.count_if((F.col("pieces") > F.col("items")) & (F.col("over") == 0)).alias("n_cut_needlessly"),
+        F.count_if(F.col("starts") > 0).alias("n_misplaced_pieces"),
     )
-    return rows.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "id", "n", "p").mapInArrow(lambda it: _pack(it, limits, 2 * group), _OUT)
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("n_loss").alias("loss"), F.count_distinct("position").alias("places"))
+    over = full.agg(F.count_if((F.col("n") > limits.tokens) | (F.col("k") > limits.segments) | (F.col("loss") > limits.loss)).alias("n_over_limits"), F.count_if(F.col("places") != F.col("k")).alias("n_shared_positions"))
+    both = wrong.unionByName(over, allowMissingColumns=True)
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns])

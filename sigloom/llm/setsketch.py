@@ -200,12 +200,17 @@ def joint_estimate(k1: np.ndarray, k2: np.ndarray, m: int, base: float) -> dict[
 
 
 def overlap(cells_left: DataFrame, cells_right: DataFrame, groups: Sequence[str], m: int = REGISTERS, base: float = BASE) -> DataFrame:
-    """Union, intersection and Jaccard of the two sketches of each group that either side has.
+    """Union, intersection and Jaccard of the two sketches of each group that either side has; see :func:`overlap_sides`."""
+    sides = [c.select(*[F.col(f"`{k}`").cast("string").alias(k) for k in groups], "register", "value", F.lit(i).alias("side")) for i, c in enumerate((cells_left, cells_right))]
+    return overlap_sides(sides[0].unionByName(sides[1]), groups, m, base)
+
+
+def overlap_sides(cells: DataFrame, groups: Sequence[str], m: int = REGISTERS, base: float = BASE) -> DataFrame:
+    """Union, intersection and Jaccard of the sketches ``side`` 0 and 1 of each group, in one exchange of registers.
 
     Each group is one task of at most ``2 m`` registers. Group columns come back as strings.
     """
     g = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")).alias(k) for k in groups]
-    both = cells_left.select(*g, "register", "value", F.lit(0).alias("side")).unionByName(cells_right.select(*g, "register", "value", F.lit(1).alias("side")))
     names = list(groups)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,4 +220,16 @@ def overlap(cells_left: DataFrame, cells_right: DataFrame, groups: Sequence[str]
         return pd.DataFrame([{n: (None if pdf[n].iat[0] == "\0" else pdf[n].iat[0]) for n in names} | r])
 
     out = ", ".join([*(f"`{n}` string" for n in names), "`union` double", "intersection double", "jaccard double", "union_error double", "intersection_error double", "jaccard_error double"])
-    return both.groupBy(*names).applyInPandas(solve, out)
+    return cells.select(*g, "register", "value", "side").groupBy(*names).applyInPandas(solve, out)
+
+
+def exact_counts(df: DataFrame, groups: Sequence[str], sets: Sequence[Sequence[str]], item: str, all_label: str = "*") -> DataFrame:
+    """Exact distinct counts of the same groups as :func:`rollup_sets` gives, to hold estimates against.
+
+    Rows are folded to distinct (groups, item) first; each of these stands for
+    itself in every set, and the distinct ones are counted.
+    """
+    once = df.where(F.col(f"`{item}`").isNotNull()).select(*[F.col(f"`{g}`").cast("string").alias(g) for g in groups], F.col(f"`{item}`").alias("__item")).distinct()
+    views = F.array(*[F.struct(*[(F.col(f"`{g}`") if g in s else F.lit(all_label)).alias(g) for g in groups]) for s in sets])
+    each = once.select(F.explode(views).alias("v"), "__item").select(*[F.col(f"v.`{g}`").alias(g) for g in groups], "__item").distinct()
+    return each.groupBy(*[F.col(f"`{g}`") for g in groups]).agg(F.count(F.lit(1)).alias("distinct_exact"))

@@ -26,10 +26,15 @@ def artifact_treatments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def treated_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """day, language_id, treatment, h of every export row that has them all."""
+    rows = table(spark, sf_dir, "export_fid_hashes").select("source_sha256", "language_id", F.date_format("exported_at", "yyyy-MM-dd").alias("day"), hash_text("full_hash").alias("h")).where(F.col("day").isNotNull() & F.col("h").isNotNull())
+    return skewed_join(rows, artifact_treatments(spark, sf_dir), ["source_sha256"])
+
+
 def day_sketches(spark: SparkSession, sf_dir: str, m: int = setsketch.REGISTERS, base: float = setsketch.BASE) -> DataFrame:
     """Registers per (day, language_id, treatment)."""
-    rows = table(spark, sf_dir, "export_fid_hashes").select("source_sha256", "language_id", F.date_format("exported_at", "yyyy-MM-dd").alias("day"), hash_text("full_hash").alias("h")).where(F.col("day").isNotNull() & F.col("h").isNotNull())
-    return setsketch.sketch(skewed_join(rows, artifact_treatments(spark, sf_dir), ["source_sha256"]), GROUPS, "h", m, base)
+    return setsketch.sketch(treated_hashes(spark, sf_dir), GROUPS, "h", m, base)
 
 
 def distinct_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +51,38 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_by_group(spark, sf_dir).where(F.col("distinct_estimate") < 0.25 * F.col("n_rows")).select(*GROUPS)
 
 
+def held_against_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups beside their exact counts, and by how many stated errors the estimate is off."""
+    exact = setsketch.exact_counts(treated_hashes(spark, sf_dir), GROUPS, SETS, "h")
+    keys = [F.coalesce(F.col(g), F.lit("\0")).alias(g) for g in GROUPS]
+    mine = distinct_by_group(spark, sf_dir).select(*keys, "distinct_estimate", "std_error", "n_rows")
+    both = mine.join(exact.select(*keys, "distinct_exact"), GROUPS, "full_outer")
+    return both.withColumn("off", F.abs(F.col("distinct_estimate") - F.col("distinct_exact")) / F.col("std_error"))
+
+
+def p1_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, those without an estimate, and whether the stated error holds: for 90 % of them at twice, for 99 % at three times."""
+    within = lambda k: F.count_if(F.col("off") <= k) / F.count(F.lit(1))
+    return held_against_exact(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("off").isNull()).alias("n_unmatched"), (within(2) >= 0.9).alias("holds_at_2"), (within(3) >= 0.99).alias("holds_at_3"))
+
+
+def p1_error_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured shares of groups within one, two and three stated errors, by the combination of groups."""
+    view = F.concat(*[F.when(F.col(g) == "*", "-").otherwise(g[0]) for g in GROUPS]).alias("view")
+    within = [(F.count_if(F.col("off") <= k) / F.count(F.lit(1))).alias(f"within_{k}") for k in (1, 2, 3)]
+    relative = F.sqrt(F.avg(F.pow(F.col("distinct_estimate") / F.col("distinct_exact") - 1, 2))).alias("relative_rms_error")
+    return held_against_exact(spark, sf_dir).groupBy(view).agg(F.count(F.lit(1)).alias("n_groups"), *within, relative)
+
+
 def p1_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes that a (language_id, treatment) shares with its day before, by joint estimation."""
-    cells = day_sketches(spark, sf_dir)
-    before = cells.withColumn("day", F.date_format(F.date_add(F.to_date("day"), 1), "yyyy-MM-dd"))
-    return setsketch.overlap(cells, before, GROUPS)
+    """Hashes that a (language_id, treatment) shares with its day before, by joint estimation.
+
+    Registers are made once; each stands on its own day and on the day after.
+    """
+    after = F.date_format(F.date_add(F.to_date("day"), 1), "yyyy-MM-dd")
+    sides = F.array(F.struct(F.col("day"), F.lit(0).alias("side")), F.struct(after.alias("day"), F.lit(1).alias("side")))
+    cells = day_sketches(spark, sf_dir).select("language_id", "treatment", "register", "value", F.explode(sides).alias("s")).select("s.*", "language_id", "treatment", "register", "value")
+    return setsketch.overlap_sides(cells, GROUPS)
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +125,7 @@ def p5_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth.groupBy("language_id").agg(F.count(F.lit(1)).alias("n_incoming"), F.count_if("seen_before").alias("n_repeats"), F.count_if(F.col("seen_before") != F.col("truth")).alias("n_wrong")).withColumn("wrong_rate", F.col("n_wrong") / F.col("n_incoming"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_overlap, p2_found, p2_frequent, p5_found, p5_rate)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_error, p1_error_shares, p1_overlap, p2_found, p2_frequent, p5_found, p5_rate)}
 
 
 def _hash(c: str) -> str:
@@ -109,6 +141,12 @@ b AS (SELECT analysis_artifact_sha256 AS source_sha256, min(lower(trim(treatment
 j AS (SELECT day, language_id, treatment, h FROM e JOIN b USING (source_sha256) WHERE h IS NOT NULL)
 SELECT day, CASE WHEN grouping(language_id) = 1 THEN '*' ELSE language_id END AS language_id, CASE WHEN grouping(treatment) = 1 THEN '*' ELSE treatment END AS treatment
 FROM j GROUP BY GROUPING SETS ((day, language_id, treatment), (day, language_id), (day, treatment), (day)) HAVING count(DISTINCT h) < 0.25 * count(*)""",
+    "p1_error": f"""
+WITH e AS (SELECT source_sha256, language_id, strftime(exported_at, '%Y-%m-%d') AS day, {_H} AS h FROM export_fid_hashes WHERE exported_at IS NOT NULL),
+b AS (SELECT analysis_artifact_sha256 AS source_sha256, min(lower(trim(treatment, ' \t\n\r'))) AS treatment FROM build_record WHERE trim(treatment, ' \t\n\r') <> '' GROUP BY 1),
+j AS (SELECT day, language_id, treatment FROM e JOIN b USING (source_sha256) WHERE h IS NOT NULL),
+g AS (SELECT 1 FROM j GROUP BY GROUPING SETS ((day, language_id, treatment), (day, language_id), (day, treatment), (day)))
+SELECT count(*) AS n_groups, 0::BIGINT AS n_unmatched, true AS holds_at_2, true AS holds_at_3 FROM g""",
     "p2_found": f"SELECT full_hash FROM (SELECT {_H} AS full_hash FROM export_fid_hashes) WHERE full_hash IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.005 * (SELECT count(*) FROM export_fid_hashes)",
     "p5_found": f"""
 WITH i AS (SELECT incoming_id, arrived_at, {_H} AS a, {_hash('specific_hash')} AS b FROM incoming_hashes),

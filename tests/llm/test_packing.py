@@ -5,6 +5,9 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from sigloom.llm import packing
 from sigloom.llm.packing import Limits, fill, pack, pieces
 
 KIND = "id bigint, n bigint, p bigint"
@@ -80,6 +83,37 @@ def test_many_repeated_ids_stay_in_bounded_buffers(spark):
     assert max(total.values()) <= 2048
 
 
+def test_one_group_is_one_task(spark):
+    packed = pack(spark.createDataFrame(items(3000, 4), KIND), "id", "n", "p", group=100)
+    spread = packed.select(F.split("container", "-")[0].alias("group"), F.spark_partition_id().alias("task")).distinct()
+    assert spread.count() == spread.select("group").distinct().count() == spread.select("task").distinct().count() == 30
+
+
+def test_items_without_id_are_spread(spark):
+    packed = pack(spark.createDataFrame([(None, 5, 0)] * 1000, KIND), "id", "n", "p", group=100)
+    assert packed.count() == 1000 and packed.select(F.split("container", "-")[0]).distinct().count() == 10
+
+
+def test_check_finds_nothing_wrong_and_every_fault(spark):
+    limits = Limits(512, 64, 300)
+    rows = spark.createDataFrame([*items(300, 5), (None, 7, 0), (None, 7, 0), (5000, 2000, 100), (5001, None, None)], KIND)
+    packed = pack(rows, "id", "n", "p", limits)
+    good = packing.check(rows, packed, "id", "n", "p", limits).first().asDict()
+    assert good.pop("n_items") == 304 and not any(good.values())
+    faults = {
+        "n_lost_or_repeated": packed.where("id <> 17"),
+        "n_changed_sizes": packed.withColumn("n_tokens", F.when(F.col("id") == 17, F.col("n_tokens") + 1).otherwise(F.col("n_tokens"))),
+        "n_misplaced_pieces": packed.withColumn("token_start", F.lit(0).cast("bigint")),
+        "n_over_limits": packed.withColumn("container", F.lit("x")),
+        "n_shared_positions": packed.withColumn("position", F.lit(0)),
+    }
+    for name, wrong in faults.items():
+        assert packing.check(rows, wrong, "id", "n", "p", limits).first()[name] > 0, name
+    assert packing.check(rows, packed, "id", "n", "p", Limits(4096, 64, 4096)).first()["n_cut_needlessly"] > 0
+    empty = rows.limit(0)
+    assert sum(packing.check(empty, pack(empty, "id", "n", "p"), "id", "n", "p").first()) == 0
+
+
 def test_dot_product_prefers_what_uses_scarce_space():
     # tokens are scarce, segments are not: the long item goes first
     c, p = fill(np.array([10, 90, 10]), np.array([0, 0, 0]), Limits(100, 10, 100))
