@@ -3,7 +3,8 @@
 Both copies go through one range exchange, so the split points are shared;
 rows are sorted within each partition by key and copy, and a two-pointer merge
 streams over the sorted rows with the last key as its only memory. A key that
-holds a large share of the rows is folded to its latest row before the exchange.
+holds a large part of a range is folded to its latest row before the exchange;
+the number of ranges follows the size of the input, and that part follows it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.operators.skew import heavy_digests, split_heavy
+from sigloom.operators.skew import MOST_HEAVY, heavy_keys, split_heavy
+from sigloom.plans.session import input_bytes
+
+#: Bytes of input in a range, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 200_000
 
 MISSING_RIGHT = "missing_in_copy"
 MISSING_LEFT = "missing_in_main"
@@ -114,7 +119,8 @@ def diff_copies(
     order: str,
     fields: Sequence[str],
     normalise: Mapping[str, Callable[[str], Column]] | None = None,
-    heavy_share: float = 0.002,
+    heavy_share: float | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per key on one side only and one per unequal field of a key on both.
 
@@ -124,6 +130,10 @@ def diff_copies(
     exchange. Columns: the keys, ``difference`` (``missing_in_copy``,
     ``missing_in_main`` or the field), ``left_value``, ``right_value``.
 
+    ``ranges`` is the number of partitions of the exchange: by default one for
+    each ``RANGE_BYTES`` of input, at least those of the session. A key with
+    ``heavy_share`` of the rows, by default half a range, is folded first.
+
     Null keys are keys like any other; two nulls are equal; empty inputs give
     the other side's keys as missing; columns not named are ignored, whatever
     they are called.
@@ -135,9 +145,12 @@ def diff_copies(
 
     ks = [f"__k{i}" for i in range(len(names))]
     both = side(left, 0).unionByName(side(right, 1))
-    hot, rest = split_heavy(both, ks, heavy_digests(both, ks, heavy_share))
-    folded = rest.unionByName(latest_rows(hot, [*ks, "__side"], "__order").select(*rest.columns))
-    ordered = folded.repartitionByRange(*ks).sortWithinPartitions(*ks, "__side", "__order")
+    ranges = ranges or max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-(input_bytes(left) + input_bytes(right)) // RANGE_BYTES)))
+    heavy = heavy_keys(both, ks, heavy_share or max(0.5 / ranges, 2 / MOST_HEAVY))
+    hot, folded = split_heavy(both, ks, heavy)
+    if heavy:
+        folded = folded.unionByName(latest_rows(hot, [*ks, "__side"], "__order").select(*folded.columns))
+    ordered = folded.repartitionByRange(ranges, *ks).sortWithinPartitions(*ks, "__side", "__order")
     change = normalise or {}
     ready = ordered.select(*ks, "__side", *[(change[f](f"__f{i}") if f in change else F.col(f"__f{i}")).alias(f) for i, f in enumerate(fields)])
     out = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("difference", T.StringType()), T.StructField("left_value", T.StringType()), T.StructField("right_value", T.StringType())])

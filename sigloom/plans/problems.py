@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.hexes import address_text, hash_text, trimmed
 from sigloom.operators.copydiff import diff_copies
-from sigloom.operators.skew import least, rows, skewed_aggregate, skewed_join
+from sigloom.operators.skew import aggregate_beside_rows, least, rows, skewed_aggregate
 from sigloom.plans.session import table
 
 FIELDS = ["source_sha256", "program", "language_id", "compiler_spec", "function_name", "code_unit_size", "specific_hash_additional_size", "full_hash", "specific_hash"]
@@ -64,11 +64,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each exported function beside its hash's earliest row (a join on the skewed key)."""
-    facts = keyed_rows(spark, sf_dir).where("key_field = 'full_hash'").select("row_id", "exported_at", F.col("key_value").alias("full_hash"))
+    """Each exported function beside its hash's earliest row: heavy hashes meet it by broadcast, all others by shuffle."""
+    facts = table(spark, sf_dir, "export_fid_hashes").select("row_id", "exported_at", hash_text("full_hash").alias("full_hash")).where(F.col("full_hash").isNotNull())
     earliest = F.when(F.col("exported_at").isNotNull(), F.struct("exported_at", "row_id"))
-    first = skewed_aggregate(facts, ["full_hash"], [rows("n"), least("first", earliest)]).select("full_hash", "n", F.col("first.row_id").alias("first_row_id"))
-    return skewed_join(facts, first, ["full_hash"]).select("row_id", "full_hash", "n", "first_row_id")
+    return aggregate_beside_rows(facts, ["full_hash"], [rows("n"), least("first", earliest)]).select("row_id", "full_hash", "n", F.col("first.row_id").alias("first_row_id"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_values, p3_summary, p4_found, p4_keys, p4_rows)}

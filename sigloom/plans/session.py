@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tempfile
 import uuid
+import warnings
 import zipfile
 from pathlib import Path
 
@@ -15,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that a plan reads by the optimizer's estimates of its sources; sources of unknown size count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
@@ -61,7 +69,7 @@ def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package, once per application.
 
     The archive goes through the shared folder. On a cluster without one the
-    package has to be installed on the executors.
+    package has to be installed on the executors; a warning says so.
     """
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
@@ -69,7 +77,8 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
     try:
         path = f"{fresh_dir(spark, 'code')}/sigloom.zip"
-    except RuntimeError:
+    except RuntimeError as error:
+        warnings.warn(f"{error}, or install sigloom on the executors: the package is not sent to them", stacklevel=2)
         return
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -109,3 +109,15 @@ def test_one_range_exchange_for_both_copies(spark):
     left = spark.createDataFrame([("a", "1", 1, "x", 1)], SCHEMA)
     plan = diff_copies(left, left, {"k": F.col("k"), "e": F.col("e")}, "id", FIELDS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("rangepartitioning") == 1 and "SortMergeJoin" not in plan and "Cartesian" not in plan
+
+
+def test_ranges_follow_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    from sigloom.plans.session import input_bytes
+
+    spark.range(50_000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit("e").alias("e"), "id", F.sha2(F.col("id").cast("string"), 256).alias("a"), F.col("id").alias("b")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert 1_000_000 < input_bytes(df) < 20_000_000 and input_bytes(spark.createDataFrame([("a",)], "k string")) < 1_000_000
+    monkeypatch.setattr(copydiff, "RANGE_BYTES", 100_000)
+    out = diff_copies(df, df.where("id % 1000 <> 7"), {"k": F.col("k"), "e": F.col("e")}, "id", FIELDS)
+    assert out.count() == 50 and out.select("difference").distinct().count() == 1
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sigloom.operators.skew import heavy_digests, key_digest, least, rows, salted_aggregate, skewed_aggregate, skewed_join, split_heavy, total
+from sigloom.operators.skew import aggregate_beside_rows, heavy_digests, heavy_keys, key_digest, least, rows, salted_aggregate, skewed_aggregate, skewed_join, split_heavy, total
 
 
 def skewed(spark, n=4000):
@@ -37,7 +37,7 @@ def test_heavy_keys_are_found_null_among_them(spark):
 
 def test_rows_take_one_road_each(spark):
     df, data = skewed(spark)
-    hot, rest = split_heavy(df, ["key"], heavy_digests(df, ["key"], 0.1))
+    hot, rest = split_heavy(df, ["key"], heavy_keys(df, ["key"], 0.1))
     assert hot.count() + rest.count() == len(data)
     assert {r["key"] for r in hot.select("key").distinct().collect()} == {"hot", None}
 
@@ -70,7 +70,33 @@ def test_clashing_columns_of_a_join(spark):
     assert out.columns == ["key", "id", "v", "v_right"] and {r["v_right"] for r in out.collect()} == {7}
 
 
-def test_plan_broadcasts_only_the_bounded_side(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_heavy_keys_are_constants_of_the_plan(spark):
     df, _ = skewed(spark)
-    plan = skewed_aggregate(df, ["key"], [rows("n")])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and "Cartesian" not in plan
+    plan = plan_of(skewed_aggregate(df, ["key"], [rows("n")]))
+    assert "Join" not in plan and "Cartesian" not in plan
+    even = spark.range(5000).select(F.col("id").cast("string").alias("key"))
+    assert heavy_keys(even, ["key"], 0.1) == [] and plan_of(skewed_aggregate(even, ["key"], [rows("n")], 0.1)).count("Exchange") == 1
+
+
+def test_many_heavy_keys_come_as_a_table(spark, monkeypatch):
+    from sigloom.operators import skew
+
+    df, data = skewed(spark)
+    monkeypatch.setattr(skew, "IN_FILTER", 1)
+    hot, rest = split_heavy(df, ["key"], heavy_keys(df, ["key"], 0.1))
+    assert plan_of(hot).count("BroadcastHashJoin") == 1
+    assert hot.count() + rest.count() == len(data) and {r["key"] for r in hot.select("key").distinct().collect()} == {"hot", None}
+
+
+def test_aggregates_beside_rows(spark):
+    df, data = skewed(spark)
+    got = sorted((r["key"], r["id"], r["n"], r["first"]) for r in aggregate_beside_rows(df, ["key"], [rows("n"), least("first", F.col("id"))]).collect())
+    per: dict = {}
+    for k, i, _ in data:
+        per.setdefault(k, []).append(i)
+    assert got == sorted((k, i, len(per[k]), min(per[k])) for k, i, _ in data if k is not None)
+    assert aggregate_beside_rows(df.limit(0), ["key"], [rows("n")]).count() == 0
