@@ -1,4 +1,4 @@
-"""python -m sigloom plan|probe|queue ...: whole runs from the command line. Exit 0, 1 on an error, 2 on wrong use."""
+"""python -m sigloom plan|probe|manifest|doctor ...: whole runs from the command line. Exit 0, 1 on an error, 2 on wrong use."""
 
 from __future__ import annotations
 
@@ -16,10 +16,16 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--treatment", action="append")
     p.add_argument("--profile", default="default")
     p.add_argument("--queue", help="file that takes unknown libraries")
-    p.add_argument("--priority", type=int, default=1)
+    p.add_argument("--priority", type=int, choices=(0, 1, 2), default=0)
     p = sub.add_parser("probe", help="compare exported functions of labelled cases")
     p.add_argument("--case", action="append", required=True, metavar="LABEL=JSONL")
     p.add_argument("--output", required=True)
+    p = sub.add_parser("manifest", help="write the records of a run (a Parquet table) as a manifest and report what is incomplete")
+    p.add_argument("--records", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--order", action="append", help="columns that order the rows")
+    p = sub.add_parser("doctor", help="say whether what a run needs is there")
+    p.add_argument("--config")
     return top
 
 
@@ -37,6 +43,12 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "plan":
             config = flows.select(flows.load(spark, args.config, args.library), args.route, args.treatment, args.profile)
             print("\n".join(flows.plan(config)))
+        elif args.command == "manifest":
+            print(flows.finish(spark.read.parquet(args.records), args.output, args.order or ["library", "route", "treatment"]))
+        elif args.command == "doctor":
+            report = flows.health(spark, args.config)
+            print("\n".join(f"{'ok' if ok else 'FAIL':4} {name}: {text}" for name, ok, text in report))
+            return 0 if all(ok for _, ok, _ in report) else 1
         else:
             cases = dict(c.split("=", 1) for c in args.case if "=" in c)
             for name, path in flows.probe(spark, cases, args.output).items():

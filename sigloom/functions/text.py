@@ -39,6 +39,11 @@ def cell_id(*parts: Column | str) -> Column:
     return F.concat_ws("-", *[_col(p) for p in parts])
 
 
+def probe_id(path: Column | str, digest: Column | str) -> Column:
+    """Stem of a file and the first twelve digits of its digest."""
+    return F.concat(stem(path), F.lit("-"), F.left(_col(digest), F.lit(12)))
+
+
 def project_name(group: Column | str, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.replace(_col(group), F.lit("-"), F.lit("_")))
 

@@ -20,6 +20,11 @@ def suffix_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LANGUAGE_SUFFIXES, "suffix string, language string")
 
 
+def programs(listing: DataFrame, path: str, kind: str, wanted: str) -> DataFrame:
+    """Files of one content type in order of path."""
+    return listing.where(F.col(kind) == wanted).orderBy(path)
+
+
 def detected_systems(listing: DataFrame, project: str, path: str) -> DataFrame:
     """Build systems whose marker lies at the top of a project, letter case exact: project, build_system, evidence."""
     hits = listing.select(project, F.col(path).alias("marker")).join(F.broadcast(marker_table(listing.sparkSession)), "marker")

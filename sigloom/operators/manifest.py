@@ -14,6 +14,13 @@ from sigloom.operators.planning import applies_to, flags_for
 #: What a failed group loses; identity columns stay (fixed values).
 RESET = ("fidb_path", "fidb_sha256", "fidb_bytes", "fid_programs", "fid_attempted", "fid_added", "fid_excluded")
 
+#: What is known only after a build or later: blank in a record that is made anew (fixed values).
+BUILT = (
+    "compiler_path", "compiler_sha256", "compiler_version", "archiver_path", "archiver_sha256", "archiver_version", "ranlib_path", "ranlib_sha256", "ranlib_version",
+    "static_archive_path", "static_archive_sha256", "analysis_artifact_kind", "analysis_artifact_path", "analysis_artifact_sha256", "object_count",
+    "ghidra_version", "ghidra_release", "ghidra_build", "ghidra_application_properties_sha256", "ghidra_headless_path", "pyghidra_version", "pyghidra_launcher_path", "java_path", "java_version", *RESET,
+)
+
 #: Error text of an unsupported cell (fixed value).
 UNSUPPORTED = "treatment is not valid for this route"
 
@@ -44,12 +51,31 @@ def base_records(cells: DataFrame) -> DataFrame:
         F.col("url").alias("source_url"), F.lower("sha256").alias("source_sha256"),
         words("compiler").alias("compiler_command"), words(flags_for(F.col("compiler_flags"), F.col("remove_flags"), F.col("append_flags"))).alias("compiler_flags"),
         words("archiver").alias("archiver_command"), words(F.coalesce("ranlib", "archiver")).alias("ranlib_command"),
-        "analysis_language", F.coalesce("compiler_spec", F.lit("default")).alias("compiler_spec"),
+        "ghidra_language", F.coalesce("ghidra_compiler_spec", F.lit("default")).alias("ghidra_compiler_spec"),
         F.when(applies_to(F.col("supported_routes"), F.col("route")), "requested").otherwise("unsupported").alias("status"),
         F.when(applies_to(F.col("supported_routes"), F.col("route")), "").otherwise(UNSUPPORTED).alias("error"),
     )
 
 
+def fail_builds(df: DataFrame, failed: Column, message: Column) -> DataFrame:
+    """Rows whose build failed, as if made anew: base columns stay, all others are blank, status and error say so.
+
+    Columns that no record has (ids and the like) stay too.
+    """
+    hit = F.coalesce(failed, F.lit(False)) & F.col("status").isin("requested", "built")
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.name == "status":
+            c = F.when(hit, "build_failed").otherwise(c)
+        elif f.name == "error":
+            c = F.when(hit, message).otherwise(c)
+        elif f.name in BUILT:
+            c = F.when(hit, F.lit("" if isinstance(f.dataType, T.StringType) else 0).cast(f.dataType)).otherwise(c)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
 def fail_groups(df: DataFrame, group: Sequence[str], failed: Column, message: Column) -> DataFrame:
     """All-or-nothing groups: where ``failed`` holds for one built or complete member, every such member becomes ``fid_failed``.
 
@@ -75,9 +101,13 @@ def fail_groups(df: DataFrame, group: Sequence[str], failed: Column, message: Co
 
 
 def complete(df: DataFrame, populations: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Built records with their population counts become ``complete``."""
+    """Built records with their population counts become ``complete``.
+
+    A key that the report names more than once completes nothing and multiplies no record.
+    """
     counts = {"fid_programs": "program_count", "fid_attempted": "attempted", "fid_added": "added", "fid_excluded": "excluded"}
-    found = populations.select(*keys, *counts.values(), F.lit(True).alias("__found"))
+    once = populations.groupBy(*keys).agg(*[F.min(c).alias(c) for c in counts.values()], F.count(F.lit(1)).alias("__n"))
+    found = once.where("__n = 1").select(*keys, *counts.values(), F.lit(True).alias("__found"))
     joined = df.join(found, list(keys), "left")
     hit = (F.col("status") == "built") & F.coalesce("__found", F.lit(False))
     return joined.select(*[(F.when(hit, F.col(counts[c])).otherwise(F.col(c)) if c in counts else F.when(hit, "complete").otherwise(F.col(c)) if c == "status" else F.col(c)).alias(c) for c in df.columns])

@@ -49,7 +49,7 @@ def compat_matrix(df: DataFrame, case: str, entry: str, full: str, specific: str
     sizes = counts.where(F.col("reference_case") == F.col("comparison_case")).select(F.col("reference_case").alias("case_"), F.col("shared_entrypoints").alias("n"))
     left = sizes.select(F.col("case_").alias("reference_case"), F.col("n").alias("reference_hashable"))
     right = sizes.select(F.col("case_").alias("comparison_case"), F.col("n").alias("comparison_hashable"))
-    grid = left.crossJoin(right)  # cases, not rows: as many as there are labels
+    grid = left.crossJoin(F.broadcast(right))  # cases, not rows: as many as there are labels, whose square is the result
     numbers = ["shared_entrypoints", "full_hash_equal", "specific_hash_equal", "dual_hash_equal"]
     return (
         grid.join(counts, ["reference_case", "comparison_case"], "left")

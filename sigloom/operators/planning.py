@@ -72,9 +72,10 @@ def plan_cells(libraries: DataFrame, routes: DataFrame, treatments: DataFrame) -
 
     The three are catalogues (documents people write), so their product is the
     plan itself and stays small. Libraries need ``identifier``, routes
-    ``route``, treatments ``id`` and ``supported_routes``.
+    ``route``, treatments ``id`` and ``supported_routes``. Routes and treatments
+    go to the libraries: partitions do not multiply.
     """
-    cells = libraries.select("identifier").crossJoin(routes.select("route")).crossJoin(treatments.select(F.col("id").alias("treatment"), "supported_routes"))
+    cells = libraries.select("identifier").crossJoin(F.broadcast(routes.select("route"))).crossJoin(F.broadcast(treatments.select(F.col("id").alias("treatment"), "supported_routes")))
     return cells.select("identifier", "route", "treatment", F.when(applies_to(F.col("supported_routes"), F.col("route")), "runnable").otherwise("unsupported").alias("plan_status"))
 
 
@@ -88,6 +89,9 @@ def plan_lines(cells: DataFrame) -> DataFrame:
     return cells.select(F.concat(F.lit("- "), F.concat_ws(" | ", "identifier", "route", "treatment", "plan_status")).alias("line"))
 
 
+#: Texts of build and link commands below are fixed values.
+
+
 def build_steps(system: Column, jobs: int, compiler: Column, archiver: Column, ranlib: Column, flags: Column, archive: Column) -> Column:
     """Command lines of the two implemented build systems (words joined by blanks); null for others."""
     make = [F.concat(F.lit("make -j"), F.lit(jobs).cast("string")), archive]

@@ -10,7 +10,7 @@ from sigloom.functions.hexes import address_text, hash_text, trimmed, unsigned_h
 from sigloom.operators import detect, manifest, matrix, planning, reconcile, requests, rules
 from sigloom.plans.problems import empty_is_null, sql_address, sql_hash
 from sigloom.plans.session import fresh_dir, table
-from sigloom.sources import readers
+from sigloom.sources import publish, readers
 from sigloom.streaming.queue import current_queue, merge_stream
 
 Q: dict = {}
@@ -48,10 +48,10 @@ def compat_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exported(spark: SparkSession, sf_dir: str, name: str = "export_fid_hashes") -> DataFrame:
-    return table(spark, sf_dir, name).select("row_id", trimmed("case").alias("case_label"), address_text("entry_point").alias("entry_point"), "language_id", "program", empty_is_null("function_name").alias("function_name"), hash_text("full_hash").alias("full_hash"), hash_text("specific_hash").alias("specific_hash"))
+    return table(spark, sf_dir, name).select("row_id", trimmed("case").alias("case_label"), address_text("entry_point").alias("entry_point"), "language_id", "compiler_spec", "program", empty_is_null("function_name").alias("function_name"), hash_text("full_hash").alias("full_hash"), hash_text("specific_hash").alias("specific_hash"))
 
 
-_EXPORTED = f"""SELECT row_id, trim("case", ' \t\n\r') AS case_label, {sql_address('entry_point')} AS entry_point, language_id, program, nullif(function_name, '') AS function_name, {sql_hash('full_hash')} AS full_hash, {sql_hash('specific_hash')} AS specific_hash FROM """
+_EXPORTED = f"""SELECT row_id, trim("case", ' \t\n\r') AS case_label, {sql_address('entry_point')} AS entry_point, language_id, compiler_spec, program, nullif(function_name, '') AS function_name, {sql_hash('full_hash')} AS full_hash, {sql_hash('specific_hash')} AS specific_hash FROM """
 
 
 @query(matrix_sql(f"SELECT language_id AS c, entry_point AS e, full_hash AS f, specific_hash AS s, row_id AS o FROM ({_EXPORTED} export_fid_hashes)"))
@@ -76,15 +76,24 @@ def last_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.last_rows(rows, ["case_label", "entry_point"], ["row_id"])
 
 
-_TWO = "'Orba:LE:64:default'", "'Orba:LE:32:default'"
+_CASES = "qcc", "default"
+_TWO = tuple(f"'{c}'" for c in _CASES)
 
 
-@query(f"WITH x AS ({_EXPORTED} export_fid_hashes) SELECT entry_point FROM x WHERE language_id = {_TWO[0]} INTERSECT SELECT entry_point FROM x WHERE language_id = {_TWO[1]}")
+@query(f"WITH x AS ({_EXPORTED} export_fid_hashes) SELECT full_hash FROM x WHERE compiler_spec = {_TWO[0]} INTERSECT SELECT full_hash FROM x WHERE compiler_spec = {_TWO[1]}")
+def shared_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes that functions of two compilers have in common (null is a value of a set)."""
+    return matrix.shared_entries(exported(spark, sf_dir), "compiler_spec", "full_hash", *_CASES)
+
+
+@query(f"SELECT entry_point FROM ({_EXPORTED} export_fid_hashes) INTERSECT SELECT entry_point FROM ({_EXPORTED} export_fid_hashes_copy)")
 def shared_entrypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.shared_entries(exported(spark, sf_dir), "language_id", "entry_point", "Orba:LE:64:default", "Orba:LE:32:default")
+    """Entry points that both copies have."""
+    both = exported(spark, sf_dir).withColumn("copy", F.lit("main")).unionByName(exported(spark, sf_dir, "export_fid_hashes_copy").withColumn("copy", F.lit("copy")))
+    return matrix.shared_entries(both, "copy", "entry_point", "main", "copy")
 
 
-@query(f"WITH x AS ({_EXPORTED} export_fid_hashes) SELECT DISTINCT entry_point FROM x WHERE language_id = {_TWO[0]} AND entry_point NOT IN (SELECT entry_point FROM x WHERE language_id = {_TWO[1]})")
+@query(f"WITH x AS ({_EXPORTED} export_fid_hashes) SELECT DISTINCT entry_point FROM x WHERE language_id = 'Orba:LE:64:default' AND entry_point NOT IN (SELECT entry_point FROM x WHERE language_id = 'Orba:LE:32:default')")
 def missing_entrypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.missing_entries(exported(spark, sf_dir), "language_id", "entry_point", "Orba:LE:64:default", "Orba:LE:32:default")
 
@@ -208,12 +217,33 @@ def build_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("record_id", X.pack(steps, "\n").alias("commands"))
 
 
-@query("""SELECT record_id, CASE WHEN target_os = 'linux' THEN '' ELSE 'none' END AS linker, CASE WHEN detected_build_system = 'autoconf' THEN coalesce(compiler_command, '') || '|' || coalesce(archiver_command, '') END AS environment FROM build_record""")
+@query("""SELECT record_id, CASE WHEN target_os = 'nixish' THEN coalesce(compiler_command, '') || ' ' || coalesce(compiler_flags, '') || ' -shared -nostdlib -Wl,--whole-archive ' || coalesce(static_archive_path, '') || ' -Wl,--no-whole-archive' || CASE WHEN sensitivity_factor = 'linker_transformation' THEN ' -Wl,--gc-sections' ELSE '' END || ' -o out.so' END AS linker,
+CASE WHEN detected_build_system = 'autoconf' THEN 'AR=' || coalesce(archiver_command, '') || chr(10) || 'CC=' || coalesce(compiler_command, '') || chr(10) || 'CFLAGS=' || coalesce(compiler_flags, '') || chr(10) || 'RANLIB=' || coalesce(ranlib_command, '') ELSE '' END AS environment FROM build_record""")
 def build_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "build_record")
     env = planning.build_environment(F.col("detected_build_system"), F.coalesce("compiler_command", F.lit("")), F.coalesce("archiver_command", F.lit("")), F.coalesce("ranlib_command", F.lit("")), F.coalesce("compiler_flags", F.lit("")))
-    link = planning.link_command(F.col("target_os"), F.array("compiler_command"), F.array("compiler_flags"), F.array("static_archive_path"), F.col("sensitivity_factor"), F.lit("out.so"))
-    return b.select("record_id", F.when(link.isNull(), "none").otherwise("").alias("linker"), F.concat(env["CC"], F.lit("|"), env["AR"]).alias("environment"))
+    word = lambda c: F.array(F.coalesce(c, F.lit("")))
+    link = planning.link_command(F.when(F.col("target_os") == "nixish", "linux"), word("compiler_command"), word("compiler_flags"), word("static_archive_path"), F.col("sensitivity_factor"), F.lit("out.so"))
+    return b.select("record_id", X.pack(link, " ").alias("linker"), _listed(env).alias("environment"))
+
+
+def _listed(env):
+    """A map as sorted NAME=VALUE lines."""
+    return X.pack(F.array_sort(F.transform(F.map_entries(env), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\n")
+
+
+_ALLOWED, _FIXED = ["PATH", "HOME", "CC"], {"LC_ALL": "C", "HOME": "/work"}
+
+
+@query("""SELECT record_id, CASE WHEN ranlib_command IS NULL THEN '' ELSE 'CC=' || coalesce(compiler_command, '') || chr(10) END || 'HOME=/work' || chr(10) || 'LC_ALL=' || CASE WHEN ranlib_command IS NULL THEN 'extra' ELSE 'C' END || CASE WHEN ranlib_command IS NULL THEN '' ELSE chr(10) || 'PATH=' || coalesce(compiler_path, '') END AS environment FROM build_record""")
+def environment_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed names, then fixed values, then extra ones; later ones win."""
+    b = table(spark, sf_dir, "build_record")
+    none = F.create_map().cast("map<string,string>")
+    env = F.create_map(F.lit("PATH"), F.coalesce("compiler_path", F.lit("")), F.lit("HOME"), F.lit("/root"), F.lit("CC"), F.coalesce("compiler_command", F.lit("")), F.lit("SECRET"), F.col("source_sha256"))
+    there = F.col("ranlib_command").isNotNull()
+    env, extra = F.when(there, env).otherwise(none), F.when(there, none).otherwise(F.create_map(F.lit("LC_ALL"), F.lit("extra")))
+    return b.select("record_id", _listed(planning.allowed_environment(env, _ALLOWED, _FIXED, extra)).alias("environment"))
 
 
 _FOLD = """
@@ -221,7 +251,7 @@ WITH r AS (SELECT request_seq AS seq, trim(library_request, ' \t\n\r') AS librar
 list_filter(string_split(coalesce(requested_routes, ''), ';'), lambda x: x <> '') AS routes, last_requested_utc AS said FROM request_queue),
 f AS (SELECT request_key, arg_min({'x': library}, seq).x AS library_request, min(priority) AS priority, 'pending' AS status, 'source_discovery' AS resolution_lane,
 array_to_string(list_sort(list_distinct(flatten(list(routes)))), ';') AS requested_routes, arg_min({'x': said}, seq).x AS first_requested_utc, arg_max({'x': said}, seq).x AS last_requested_utc,
-count(*) AS request_count, '' AS candidate_version, '' AS candidate_source_url, '' AS candidate_sha256, '' AS notes FROM r WHERE request_key <> '' AND seq > CUT GROUP BY 1)
+count(*) AS request_count, '' AS candidate_version, '' AS candidate_source_url, '' AS candidate_sha256, '' AS notes, min(seq) AS first_seq FROM r WHERE request_key <> '' AND seq > CUT GROUP BY 1)
 """
 
 
@@ -238,8 +268,8 @@ _OLD = """, o AS (SELECT *, regexp_replace(lower(trim(library_request, ' \t\n\r'
 SELECT o.request_key, o.library_request, CASE WHEN h THEN least(try_cast(trim(o.priority) AS INTEGER), f.priority)::VARCHAR ELSE o.priority END AS priority, o.status, o.resolution_lane,
 CASE WHEN h THEN array_to_string(list_sort(list_distinct(list_filter(string_split(coalesce(o.requested_routes, ''), ';') || string_split(f.requested_routes, ';'), lambda x: x <> ''))), ';') ELSE o.requested_routes END AS requested_routes,
 o.first_requested_utc, CASE WHEN h THEN f.last_requested_utc ELSE o.last_requested_utc END AS last_requested_utc, CASE WHEN h THEN (coalesce(try_cast(trim(o.request_count) AS BIGINT), 0) + f.request_count)::VARCHAR ELSE o.request_count END AS request_count,
-o.candidate_version, o.candidate_source_url, o.candidate_sha256, o.notes FROM (SELECT *, k = 1 AND request_key IN (SELECT request_key FROM f) AS h FROM o) o LEFT JOIN f ON o.h AND f.request_key = o.request_key
-UNION ALL SELECT f.request_key, f.library_request, f.priority::VARCHAR, f.status, f.resolution_lane, f.requested_routes, f.first_requested_utc, f.last_requested_utc, f.request_count::VARCHAR, '', '', '', '' FROM f WHERE f.request_key NOT IN (SELECT request_key FROM o WHERE request_key IS NOT NULL)"""
+o.candidate_version, o.candidate_source_url, o.candidate_sha256, o.notes, o.request_seq AS place, NULL::BIGINT AS first_seq FROM (SELECT *, k = 1 AND request_key IN (SELECT request_key FROM f) AS h FROM o) o LEFT JOIN f ON o.h AND f.request_key = o.request_key
+UNION ALL SELECT f.request_key, f.library_request, f.priority::VARCHAR, f.status, f.resolution_lane, f.requested_routes, f.first_requested_utc, f.last_requested_utc, f.request_count::VARCHAR, '', '', '', '', NULL, f.first_seq FROM f WHERE f.request_key NOT IN (SELECT request_key FROM o WHERE request_key IS NOT NULL)"""
 
 
 @query(_FOLD.replace("CUT", "100") + _OLD)
@@ -260,7 +290,7 @@ def token_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "request_queue").select("request_seq", X.token_violation("library_request").alias("violation"))
 
 
-@query("SELECT request_seq, CASE WHEN coalesce(trim(library_request) <> '', false) = false THEN 'empty_name' WHEN coalesce(trim(priority) IN ('0', '1', '2'), false) = false THEN 'priority' END AS violation FROM request_queue")
+@query("SELECT request_seq, CASE WHEN coalesce(trim(library_request, ' \t\n\r') <> '', false) = false THEN 'empty_name' WHEN coalesce(trim(priority, ' \t\n\r') IN ('0', '1', '2'), false) = false THEN 'priority' END AS violation FROM request_queue")
 def queue_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.first_violation(table(spark, sf_dir, "request_queue"), rules.queue_rules()).select("request_seq", "violation")
 
@@ -303,7 +333,7 @@ def first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAFE = "regexp_full_match({}, '[A-Za-z0-9][A-Za-z0-9._+-]*')"
 
 
-@query(f"""SELECT name, version, CASE WHEN NOT coalesce(regexp_replace(schema_version, '^.*-', '') = 'recipe/v2', false) THEN 'schema_version' WHEN name IS NULL THEN 'missing_name' WHEN version IS NULL THEN 'missing_version' WHEN url IS NULL THEN 'missing_url' WHEN sha256 IS NULL THEN 'missing_sha256'
+@query(f"""SELECT name, version, CASE WHEN NOT coalesce(schema_version = 'fidb-recipe/v2', false) THEN 'schema_version' WHEN name IS NULL THEN 'missing_name' WHEN version IS NULL THEN 'missing_version' WHEN url IS NULL THEN 'missing_url' WHEN sha256 IS NULL THEN 'missing_sha256'
 WHEN source_directory IS NULL THEN 'missing_source_directory' WHEN project_markers IS NULL THEN 'missing_project_markers' WHEN allowed_build_systems IS NULL THEN 'missing_allowed_build_systems' WHEN preferred_build_system IS NULL THEN 'missing_preferred_build_system' WHEN static_archives IS NULL THEN 'missing_static_archives'
 WHEN NOT {_SAFE.format('name')} THEN 'unsafe_name' WHEN NOT {_SAFE.format('version')} THEN 'unsafe_version' WHEN NOT {_SAFE.format('source_directory')} THEN 'unsafe_source_directory' WHEN len(list_filter(static_archives, lambda x: NOT {_SAFE.format('x')})) > 0 THEN 'unsafe_static_archive'
 WHEN length(sha256) <> 64 THEN 'sha256_length' WHEN len(project_markers) = 0 OR len(static_archives) = 0 THEN 'incomplete_detection' WHEN NOT list_contains(allowed_build_systems, preferred_build_system) THEN 'preferred_not_allowed' END AS violation FROM recipe""")
@@ -399,21 +429,26 @@ def provenance_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.with_defaults(table(spark, sf_dir, "build_record")).drop("recorded_at")
 
 
-@query("""SELECT library, b.version, route, id AS treatment, factor AS sensitivity_factor, array_to_string(list_concat(list_filter(string_split(coalesce(compiler_flags, ''), ' '), lambda f: NOT list_contains(coalesce(remove_flags, []::VARCHAR[]), f)), coalesce(append_flags, []::VARCHAR[])), ' ') AS compiler_flags,
-lower(r.sha256) AS source_sha256, CASE WHEN coalesce(len(supported_routes), 0) = 0 OR list_contains(supported_routes, route) THEN 'requested' ELSE 'unsupported' END AS status
-FROM (SELECT DISTINCT library, version, route, compiler_flags FROM build_record WHERE library IS NOT NULL AND version IS NOT NULL AND route IS NOT NULL) b JOIN recipe r ON r.name = b.library AND r.version = b.version CROSS JOIN treatment""")
+_WORDS = "array_to_string(list_concat(list_filter(string_split(coalesce({0}, ''), ' '), lambda f: NOT list_contains(coalesce(remove_flags, []::VARCHAR[]), f)), coalesce(append_flags, []::VARCHAR[])), ' ')"
+_ROUTE = ["target_os", "architecture", "binary_format", "detected_languages", "detection_evidence", "compiler_command", "archiver_command", "ranlib_command", "ghidra_language", "ghidra_compiler_spec"]
+
+
+@query(f"""SELECT library, b.version, route, id AS treatment, factor AS sensitivity_factor, description AS treatment_description, target_os, architecture, binary_format,
+array_to_string(list_filter(string_split(coalesce(detected_languages, ''), ';'), lambda x: x <> ''), ';') AS detected_languages, preferred_build_system AS detected_build_system, array_to_string(list_filter(string_split(coalesce(detection_evidence, ''), ';'), lambda x: x <> ''), ';') AS detection_evidence,
+url AS source_url, lower(r.sha256) AS source_sha256, coalesce(compiler_command, '') AS compiler_command, {_WORDS.format('compiler_flags')} AS compiler_flags, coalesce(archiver_command, '') AS archiver_command, coalesce(ranlib_command, archiver_command, '') AS ranlib_command,
+ghidra_language, coalesce(ghidra_compiler_spec, 'default') AS ghidra_compiler_spec, CASE WHEN coalesce(len(supported_routes), 0) = 0 OR list_contains(supported_routes, route) THEN 'requested' ELSE 'unsupported' END AS status,
+CASE WHEN coalesce(len(supported_routes), 0) = 0 OR list_contains(supported_routes, route) THEN '' ELSE 'treatment is not valid for this route' END AS error
+FROM (SELECT DISTINCT library, version, route, compiler_flags, {', '.join(_ROUTE)} FROM build_record WHERE library IS NOT NULL AND version IS NOT NULL AND route IS NOT NULL) b JOIN recipe r ON r.name = b.library AND r.version = b.version CROSS JOIN treatment""")
 def base_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records before a build, for every recorded library and route under every treatment."""
-    b = table(spark, sf_dir, "build_record").dropna(subset=["library", "version", "route"]).select("library", "version", "route", "compiler_flags").distinct()
+    """Records before a build, for every recorded library and route under every treatment (a catalogue that does not grow)."""
+    b = table(spark, sf_dir, "build_record").dropna(subset=["library", "version", "route"]).select("library", "version", "route", "compiler_flags", *_ROUTE).distinct()
     r = table(spark, sf_dir, "recipe").select(F.col("name").alias("library"), "version", "url", "sha256", F.col("preferred_build_system").alias("build_system"))
     t = table(spark, sf_dir, "treatment").withColumnRenamed("id", "treatment")
-    none = F.array().cast("array<string>")
     wide = b.join(r, ["library", "version"]).crossJoin(F.broadcast(t)).withColumn("compiler_flags", F.split(F.coalesce("compiler_flags", F.lit("")), " "))
-    for c in ("compiler", "archiver", "ranlib", "languages", "evidence"):
-        wide = wide.withColumn(c, none)
-    for c in ("target_os", "architecture", "binary_format", "analysis_language", "compiler_spec"):
-        wide = wide.withColumn(c, F.lit(""))
-    return manifest.base_records(wide).select("library", "version", "route", "treatment", "sensitivity_factor", "compiler_flags", "source_sha256", "status")
+    words = {c: F.when(F.col(f"{c}_command").isNotNull(), F.split(f"{c}_command", " ")) for c in ("compiler", "archiver", "ranlib")}
+    words["ranlib"] = F.coalesce(words["ranlib"], words["archiver"])
+    wide = wide.withColumns({c: F.coalesce(w, F.array().cast("array<string>")) for c, w in words.items()} | {"languages": X.unpack("detected_languages"), "evidence": X.unpack("detection_evidence")})
+    return manifest.base_records(wide)
 
 
 _PACKED = """WITH p AS (SELECT library, route, string_agg(analysis_artifact_path, ';' ORDER BY record_id) AS analysis_artifact_path, string_agg(analysis_artifact_sha256, ';' ORDER BY record_id) AS analysis_artifact_sha256, count(*) AS n
@@ -502,9 +537,9 @@ _COUNTS = ["fid_programs", "fid_attempted", "fid_added", "fid_excluded"]
 
 @query("SELECT library, version, " + ", ".join(_COUNTS) + ", CASE WHEN fid_attempted = fid_added + fid_excluded THEN 'reconciled' ELSE 'open' END AS state FROM build_record")
 def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Population rows as JSON lines, read back with strict types."""
-    b = table(spark, sf_dir, "build_record").select("library", "version", *_COUNTS)
-    path = _written(spark, b.select(F.to_json(F.struct("*")).alias("value")), "jsonl")
+    """Population rows written as one file of JSON lines, read back with strict types."""
+    b = table(spark, sf_dir, "build_record").select("record_id", "library", "version", *_COUNTS)
+    path = publish.write_json_lines(b, f"{fresh_dir(spark, 'jsonl')}/population.jsonl", ["record_id"])
     rows = readers.json_rows(spark, path, {"library": "string", "version": "string"} | dict.fromkeys(_COUNTS, "bigint"))
     done = F.coalesce(F.col("fid_attempted") == F.col("fid_added") + F.col("fid_excluded"), F.lit(False))
     return rows.where("problem is null").select("library", "version", *_COUNTS, F.when(done, "reconciled").otherwise("open").alias("state"))
@@ -513,8 +548,30 @@ def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT record_id::VARCHAR AS record_id, coalesce(library, '') AS library, coalesce(error, '') AS error, coalesce(compiler_flags, '') AS compiler_flags FROM build_record")
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest written with quotes only where needed and read back, empty texts kept."""
-    b = table(spark, sf_dir, "build_record").select(F.col("record_id").cast("string"), "library", "error", "compiler_flags").na.fill("")
-    return readers.csv_rows(spark, _written(spark, b, "csv", header="true", emptyValue="", escape='"'))
+    b = table(spark, sf_dir, "build_record").select("record_id", "library", "error", "compiler_flags")
+    return readers.csv_rows(spark, publish.write_csv(b, f"{fresh_dir(spark, 'csv')}/manifest.csv", ["record_id"]))
+
+
+_TEXTS = ", ".join(f"coalesce({c}, '') AS {c}" for c in requests.COLUMNS)
+
+
+@query(f"SELECT row_number() OVER (ORDER BY request_seq) - 1 AS row_no, {_TEXTS} FROM request_queue")
+def queue_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request queue written as its file and read back by its exact header, order kept."""
+    path = publish.write_csv(table(spark, sf_dir, "request_queue"), f"{fresh_dir(spark, 'queue')}/pending.csv", ["request_seq"], requests.COLUMNS)
+    return readers.request_queue(spark, path)
+
+
+@query("""SELECT line_no, CASE WHEN kind < 4 THEN kind END AS kind, CASE WHEN kind = 0 THEN fid_added END AS added, CASE WHEN kind = 4 THEN 'invalid_json' WHEN kind = 5 THEN 'not_an_object' END AS problem
+FROM (SELECT row_number() OVER (ORDER BY record_id) AS line_no, record_id % 6 AS kind, fid_added FROM build_record)""")
+def strict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that hold a whole number, a decimal, a truth value or a text in its place, no JSON, and no object."""
+    kind = F.col("record_id") % 6
+    n = F.coalesce(F.col("fid_added").cast("string"), F.lit("null"))
+    value = F.when(kind == 0, n).when(kind == 1, "15.0").when(kind == 2, "true").otherwise('"15"')
+    text = F.when(kind == 4, "{not json").when(kind == 5, "[1]").otherwise(F.concat(F.lit('{"kind": '), kind.cast("string"), F.lit(', "added": '), value, F.lit("}")))
+    path = publish.write_lines(table(spark, sf_dir, "build_record").select("record_id", text.alias("value")), f"{fresh_dir(spark, 'strict')}/rows.jsonl", ["record_id"])
+    return readers.json_rows(spark, path, {"kind": "bigint", "added": "bigint"}).select("line_no", "kind", "added", "problem")
 
 
 @query("SELECT library, version, route, folder, path FROM (SELECT library, version, route, '/' || treatment AS folder, analysis_artifact_path AS path FROM build_record) WHERE library <> '' AND version <> '' AND route <> '' AND folder <> '' AND path <> '' AND folder = trim(folder)")
@@ -522,7 +579,7 @@ def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of exactly five tab-separated fields."""
     b = table(spark, sf_dir, "build_record").select("library", "version", "route", F.concat(F.lit("/"), "treatment").alias("folder"), F.col("analysis_artifact_path").alias("path"))
     b = b.where("library <> '' and version <> '' and route <> '' and folder <> '' and path <> '' and folder = trim(folder)")
-    rows = readers.tsv_rows(spark, _written(spark, b, "tsv", sep="\t"), ["library", "version", "route", "folder", "path"])
+    rows = readers.tsv_rows(spark, publish.write_tsv(b, f"{fresh_dir(spark, 'tsv')}/listing.tsv", ["library", "version", "route", "folder", "path"]), ["library", "version", "route", "folder", "path"])
     return rows.where("problem is null").drop("line_no", "problem")
 
 

@@ -7,6 +7,7 @@ rules, unknown names) is fetched to the driver, function rows and records never
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from sigloom.errors import RequestsUnknown, RuleBroken, RunIncomplete
 from sigloom.functions import text as X
 from sigloom.operators import manifest, matrix, planning, requests, rules
+from sigloom.plans.session import shared_dir
 from sigloom.sources import publish, readers
 
 #: Fields of an exported function, and columns of the matrix in file order (fixed values).
@@ -47,15 +49,15 @@ def _unique(df: DataFrame, column: str, what: str) -> None:
         raise RuleBroken(f"{what} {twice[0]}", "not_unique")
 
 
-def load(spark: SparkSession, path: str, requested: Sequence[str] | None = None, schema: str = "worker/v2", recipe_schema: str = "recipe/v2") -> Configuration:
+def load(spark: SparkSession, path: str, requested: Sequence[str] | None = None, schema: str = rules.WORKER_SCHEMA, recipe_schema: str = rules.RECIPE_SCHEMA) -> Configuration:
     """Reads and checks a worker document and its recipes; the first broken rule stops it.
 
-    Schema texts are compared after their first hyphen. All unknown requests
-    are reported together, before requests that resolve to one recipe twice.
+    All unknown requests are reported together, before requests that resolve to
+    one recipe twice.
     """
     doc = readers.worker_configuration(spark, path)
     head = doc["document"].first()
-    if head is None or (head["schema_version"] or "").split("-", 1)[-1] != schema:
+    if head is None or head["schema_version"] != schema:
         raise RuleBroken("configuration", "schema_version")
     recipes = readers.recipes(spark, os.path.join(os.path.dirname(path), head["recipe_directory"])).drop("path").cache()
     _stop_at_first(recipes, "recipe", "name", rules.recipe_rules(recipe_schema))
@@ -103,8 +105,8 @@ def plan(config: Configuration) -> list[str]:
     """Headline and one line per cell: libraries, then routes, then treatments in their order."""
     cells = (
         config.libraries.select("identifier", F.col("pos").alias("p1"))
-        .crossJoin(config.routes.select(F.col("id").alias("route"), F.col("pos").alias("p2")))
-        .crossJoin(config.treatments.select(F.col("id").alias("treatment"), "supported_routes", F.col("pos").alias("p3")))
+        .crossJoin(F.broadcast(config.routes.select(F.col("id").alias("route"), F.col("pos").alias("p2"))))
+        .crossJoin(F.broadcast(config.treatments.select(F.col("id").alias("treatment"), "supported_routes", F.col("pos").alias("p3"))))
         .withColumn("plan_status", F.when(planning.applies_to(F.col("supported_routes"), F.col("route")), "runnable").otherwise("unsupported"))
         .orderBy("p1", "p2", "p3")
     )
@@ -118,13 +120,17 @@ def probe(spark: SparkSession, cases: Mapping[str, str], out_dir: str) -> dict[s
     """Function rows of labelled cases (label -> JSON-lines path) -> functions.csv, matrix.csv and manifest.json.
 
     A line that is no object stops the run with its place; so do fewer than two
-    cases, odd labels and a case without functions.
+    cases, odd labels, a case without functions, an output folder that is the
+    folder of an input or lies around or inside it, and inputs that are not the
+    same after the run as before.
     """
     labels = planning.positions(spark, list(cases), "label")
     broken = rules.case_set_violation(labels).first()["violation"]
     if broken:
         raise RuleBroken("cases", broken)
     _stop_at_first(labels, "case", "label", [("label_characters", F.col("label").rlike(X.CASE_LABEL))])
+    _apart(spark, list(cases.values()), out_dir)
+    before = readers.fingerprints(spark, list(cases.values()))
     parts = []
     for pos, (label, path) in enumerate(cases.items()):
         rows = readers.json_rows(spark, path, FUNCTION_FIELDS)
@@ -141,9 +147,13 @@ def probe(spark: SparkSession, cases: Mapping[str, str], out_dir: str) -> dict[s
     order = planning.positions(spark, list(cases), "case")
     pairs = pairs.join(order.select(F.col("case").alias("reference_case"), F.col("pos").alias("p")), "reference_case").join(order.select(F.col("case").alias("comparison_case"), F.col("pos").alias("q")), "comparison_case")
     out = {"functions": os.path.join(out_dir, "functions.csv"), "matrix": os.path.join(out_dir, "matrix.csv"), "manifest": os.path.join(out_dir, "manifest.json")}
-    publish.write_csv(every.orderBy("__pos", "line_no").select(*FUNCTION_FIELDS), out["functions"])
-    publish.write_csv(pairs.orderBy("p", "q").select(*MATRIX_COLUMNS), out["matrix"])
-    digests = {os.path.basename(r["path"]): r["sha256"] for r in readers.digests(spark, out_dir, "*.csv").collect()}
+    publish.write_csv(every, out["functions"], ["__pos", "line_no"], list(FUNCTION_FIELDS))
+    publish.write_csv(pairs, out["matrix"], ["p", "q"], MATRIX_COLUMNS)
+    digests = {os.path.basename(p): publish.file_digest(spark, p) for p in (out["functions"], out["matrix"])}
+    after = readers.fingerprints(spark, list(cases.values()))
+    changed = sorted(p for p in before.keys() | after.keys() if before.get(p) != after.get(p))
+    if changed:
+        raise RuleBroken(", ".join(changed), "changed_during_the_run")
     counted = {r["case"]: r["n"] for r in every.groupBy("case").agg(F.count(F.lit(1)).alias("n")).collect()}
     listed = [(c, cases[c], counted[c]) for c in cases]
     document = spark.createDataFrame([(listed, digests)], "cases array<struct<label:string,source:string,hashable_functions:bigint>>, outputs map<string,string>")
@@ -151,6 +161,15 @@ def probe(spark: SparkSession, cases: Mapping[str, str], out_dir: str) -> dict[s
     return out
 
 
+def _apart(spark: SparkSession, inputs: Sequence[str], out_dir: str) -> None:
+    """The output folder is no input and holds none; it is no link."""
+    places = [("output", os.path.abspath(out_dir), os.path.islink(out_dir)), *[(f"input {i}", os.path.abspath(p), False) for i, p in enumerate(dict.fromkeys(inputs))]]
+    roots = spark.createDataFrame(places, "name string, path string, is_symlink boolean")
+    broken = rules.directory_violations(roots, "/").where("name = 'output' and violation is not null").first()
+    if broken:
+        raise RuleBroken(f"output {out_dir}", broken["violation"])
+
+
 def record_missing(spark: SparkSession, path: str, names: Sequence[str], priority: int, routes: Sequence[str] = (), now: str | None = None) -> str:
     """Adds requests nobody could answer to the queue file and rewrites it in one step."""
     if priority not in (0, 1, 2):
@@ -165,15 +184,31 @@ def record_missing(spark: SparkSession, path: str, names: Sequence[str], priorit
     incoming = spark.createDataFrame([(i, n, str(priority), ";".join(routes), now) for i, n in enumerate(names)], "seq bigint, library string, priority string, routes string, at string")
     old = readers.request_queue(spark, path)
     merged = requests.upsert_requests(old, "row_no", requests.fold_requests(incoming, "seq", "library", "priority", "routes", "at"))
-    place = old.groupBy(X.normalise_request("library_request").alias("request_key")).agg(F.min("row_no").alias("__place"))
-    ordered = merged.join(place, "request_key", "left").orderBy(F.col("__place").asc_nulls_last(), "request_key").select(*requests.COLUMNS)
-    return publish.write_csv(ordered, path)
+    # rows that are there stay in their order, new ones follow as they were asked for
+    return publish.write_csv(merged.withColumn("is_new", F.col("place").isNull()), path, ["is_new", "place", "first_seq"], requests.COLUMNS)
 
 
 def finish(records: DataFrame, path: str, order: Sequence[str]) -> str:
     """Writes the manifest, then reports: the roll-up line, or an error naming every incomplete cell."""
-    publish.write_csv(manifest.with_defaults(records).orderBy(*order), path)
+    publish.write_csv(manifest.with_defaults(records), path, order)
     left = manifest.incomplete(records).select("library", "route", "treatment", "status").orderBy("library", "route", "treatment").collect()
     if left:
         raise RunIncomplete(tuple(f"{r['library']}/{r['route']}/{r['treatment']}={r['status']}" for r in left), path)
     return manifest.rollup_text(records).first()["line"]
+
+
+def health(spark: SparkSession, config: str | None = None) -> list[tuple[str, bool, str]]:
+    """What a run needs, whether it is there, and what was found: (name, ok, text)."""
+    java = spark.sparkContext._jvm.System.getProperty("java.version")
+    found = [("spark", int(spark.version.split(".")[0]) >= 4, spark.version), ("java", int(java.split(".")[0]) >= 17, java), ("python", True, ".".join(map(str, sys.version_info[:3])))]
+    try:
+        found.append(("shared folder", True, shared_dir(spark)))
+    except RuntimeError as error:
+        found.append(("shared folder", False, str(error)))
+    if config:
+        try:
+            c = load(spark, config)
+            found.append(("configuration", True, f"{c.libraries.count()} libraries; {c.routes.count()} routes; {c.treatments.count()} treatments"))
+        except Exception as error:  # whatever is wrong with it is the report
+            found.append(("configuration", False, str(error).splitlines()[0]))
+    return found

@@ -255,7 +255,7 @@ def test_population_rules(spark, counts, expected, want):
     assert rules.first_violation(df, rules.population_rules(F.col("e"))).first()["violation"] == want
 
 
-GOOD = {"schema_version": "x-recipe/v2", "name": "z", "version": "1", "url": "u", "sha256": "a" * 64, "source_directory": "z-1", "preferred_build_system": "make", "project_markers": ["m"], "allowed_build_systems": ["make"], "static_archives": ["z.a"]}
+GOOD = {"schema_version": "fidb-recipe/v2", "name": "z", "version": "1", "url": "u", "sha256": "a" * 64, "source_directory": "z-1", "preferred_build_system": "make", "project_markers": ["m"], "allowed_build_systems": ["make"], "static_archives": ["z.a"]}
 
 
 @pytest.mark.parametrize(

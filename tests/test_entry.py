@@ -34,9 +34,9 @@ def test_core_queries_equal_their_sql(spark):
     duck = duckdb.connect()
     for p in Path(SMALL).glob("*.parquet"):
         duck.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
-    from sigloom.plans import core, problems
+    from sigloom.plans import checks, core, problems
 
-    for name, q in {**core.QUERIES, **problems.QUERIES}.items():
+    for name, q in {**core.QUERIES, **checks.QUERIES, **problems.QUERIES}.items():
         df = q(spark, SMALL)
         rel = duck.sql(e.oracle_sql()[name])
         assert sorted(df.columns) == sorted(rel.columns), name
@@ -54,6 +54,21 @@ def test_core_imports_without_the_optional_subpackage(tmp_path):
     assert importlib.util.find_spec("sigloom")
 
 
+@pytest.mark.parametrize("blocked", ["ahocorasick", "sigloom.llm"])
+def test_queries_of_the_core_stay_where_a_dependency_is_missing(blocked):
+    code = f"""
+import sys, warnings
+sys.modules[{blocked!r}] = None
+warnings.simplefilter("ignore")
+import __spark_entry__ as e
+from sigloom.plans import checks, core, problems
+mine = dict(core.QUERIES) | checks.QUERIES | problems.QUERIES
+assert set(mine) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries()), len(e.queries())
+assert len(e.queries()) >= 100
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
 def test_the_package_reaches_python_workers(spark):
     import io
     import zipfile

@@ -3,8 +3,10 @@ from __future__ import annotations
 import csv
 import hashlib
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sigloom.operators.requests import COLUMNS
 from sigloom.sources import publish, readers
@@ -91,11 +93,41 @@ def test_publishing_refuses_empty_tables_and_leaves_no_trace(spark, tmp_path):
 def test_json_tsv_and_document(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, None)], "z int, a string")
     publish.write_json_lines(df, str(tmp_path / "x.jsonl"), ["z"])
-    assert (tmp_path / "x.jsonl").read_text() == '{"a": null, "z": 1}\n{"a": "b", "z": 2}\n'
+    assert (tmp_path / "x.jsonl").read_text() == '{"a":null,"z":1}\n{"a":"b","z":2}\n'
     publish.write_tsv(df, str(tmp_path / "x.tsv"), ["z"])
     assert (tmp_path / "x.tsv").read_text() == "1\t\n2\tb\n"
     publish.write_document(df.where("z = 2"), str(tmp_path / "d.json"))
     assert (tmp_path / "d.json").read_text() == '{\n  "a": "b",\n  "z": 2\n}\n'
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["d.json", "x.jsonl", "x.tsv"]
+
+
+def test_published_files_are_one_sorted_part_whatever_the_partitions(spark, tmp_path):
+    path = str(tmp_path / "deep" / "m.csv")
+    df = spark.range(5000).select((F.col("id") % 7).alias("g"), "id", F.lit('say "x", or\r\nnot').alias("t")).repartition(9)
+    assert publish.write_csv(df, path, ["g", "id"], ["id", "t"]) == path
+    rows = list(csv.reader(open(path, newline="")))
+    assert rows[0] == ["id", "t"] and [int(r[0]) for r in rows[1:]] == sorted(range(5000), key=lambda i: (i % 7, i)) and {r[1] for r in rows[1:]} == {'say "x", or\r\nnot'}
+    publish.write_csv(df.where("id < 2"), path, ["id"], ["id"])
+    assert open(path, newline="").read() == "id\r\n0\r\n1\r\n" and os.stat(path).st_mode & 0o777 == 0o644
+    publish.write_csv(df.limit(0), path, ["id"], allow_empty=True)
+    assert open(path, newline="").read() == "g,id,t\r\n"
+    assert publish.file_digest(spark, path) == hashlib.sha256(b"g,id,t\r\n").hexdigest()
+    assert [p.name for p in (tmp_path / "deep").iterdir()] == ["m.csv"]
+
+
+def test_a_failing_writer_leaves_the_old_file(spark, tmp_path):
+    path = str(tmp_path / "m.csv")
+    publish.write_csv(spark.range(1), path)
+    with pytest.raises(Exception, match="stop"):
+        publish.write_csv(spark.range(3).select(F.expr("if(id = 2, raise_error('stop'), id)").alias("id")), path, ["id"])
+    assert open(path, newline="").read() == "id\r\n0\r\n" and [p.name for p in tmp_path.iterdir()] == ["m.csv"]
+
+
+def test_fingerprints_of_texts(spark, tmp_path):
+    (tmp_path / "a").write_text("x\ny\n")
+    (tmp_path / "b").write_text("y\nx\n")
+    prints = readers.fingerprints(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert len(set(prints.values())) == 2 and prints == readers.fingerprints(spark, [str(tmp_path / "b"), str(tmp_path / "a")])
 
 
 def test_tsv_rows(spark, tmp_path):
@@ -120,3 +152,10 @@ def test_stream_of_requests(spark, tmp_path):
     merge_stream(stream(), state, check).awaitTermination()
     got = {r["library_request"]: (r["priority"], r["requested_routes"], r["request_count"], r["last_requested_utc"]) for r in current_queue(spark, state).collect()}
     assert got == {"LibPNG": ("0", "a;b", "2", "t3"), "zlib": ("1", "", "1", "t2")}
+    # old versions go, places stay
+    for n in (3, 4):
+        spark.createDataFrame([(n + 5, f"new{n}", "1", "", "t")], schema).write.parquet(f"{src}/{n}")
+        merge_stream(stream(), state, check).awaitTermination()
+    assert sorted(p for p in os.listdir(state)) == ["version=2", "version=3"]
+    places = spark.read.parquet(f"{state}/version=3").orderBy("place").select("library_request", "place.batch").collect()
+    assert [tuple(r) for r in places] == [("LibPNG", 0), ("zlib", 0), ("new3", 2), ("new4", 3)]

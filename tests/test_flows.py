@@ -11,9 +11,9 @@ from sigloom.__main__ import main
 from sigloom.errors import RequestsUnknown, RuleBroken, RunIncomplete
 from sigloom.plans import flows
 
-RECIPE = {"schema_version": "x-recipe/v2", "name": "zlib", "version": "1.3", "url": "u", "sha256": "A" * 64, "source_directory": "zlib-1.3", "preferred_build_system": "autoconf", "project_markers": ["zlib.h"], "allowed_build_systems": ["autoconf"], "static_archives": ["libz.a"]}
+RECIPE = {"schema_version": "fidb-recipe/v2", "name": "zlib", "version": "1.3", "url": "u", "sha256": "A" * 64, "source_directory": "zlib-1.3", "preferred_build_system": "autoconf", "project_markers": ["zlib.h"], "allowed_build_systems": ["autoconf"], "static_archives": ["libz.a"]}
 ROUTE = {"id": "r1", "target_os": "linux", "architecture": "a", "binary_format": "ELF", "compiler": ["cc"], "archiver": ["ar"], "linked_suffix": ".so", "linked_file_markers": ["ELF"]}
-DOC = {"schema_version": "x-worker/v2", "requested_libraries": ["zlib"], "routes": [ROUTE, ROUTE | {"id": "r2"}], "treatments": [{"id": "t1"}, {"id": "t2", "supported_routes": ["r2"]}], "profiles": {"default": ["t1"], "all": ["t2", "t1"]}}
+DOC = {"schema_version": "fidb-worker/v2", "requested_libraries": ["zlib"], "routes": [ROUTE, ROUTE | {"id": "r2"}], "treatments": [{"id": "t1"}, {"id": "t2", "supported_routes": ["r2"]}], "profiles": {"default": ["t1"], "all": ["t2", "t1"]}}
 
 
 @pytest.fixture
@@ -44,7 +44,7 @@ def test_all_unknown_requests_together(spark, project):
 
 @pytest.mark.parametrize(
     ("doc", "rule"),
-    [({"schema_version": "v1"}, "schema_version"), ({"requested_libraries": []}, "no_requests"), ({"requested_libraries": ["zlib", "zlib-1.3"]}, "not_unique"), ({"routes": [ROUTE, ROUTE]}, "not_unique"), ({"routes": [ROUTE | {"id": "../../src"}]}, "unsafe_id"), ({"routes": [ROUTE | {"linked_suffix": "so"}]}, "incomplete_linked_output"), ({"routes": [ROUTE | {"compiler": []}]}, "empty_tool_command"), ({"routes": []}, "no_routes"), ({"treatments": [{"id": "t1", "phase": "x"}]}, "unknown_treatments"), ({"treatments": [{"id": "t1", "phase": "x"}], "profiles": {"p": ["t1"]}}, "phase")],
+    [({"schema_version": "v1"}, "schema_version"), ({"schema_version": "x-worker/v2"}, "schema_version"), ({"requested_libraries": []}, "no_requests"), ({"requested_libraries": ["zlib", "zlib-1.3"]}, "not_unique"), ({"routes": [ROUTE, ROUTE]}, "not_unique"), ({"routes": [ROUTE | {"id": "../../src"}]}, "unsafe_id"), ({"routes": [ROUTE | {"linked_suffix": "so"}]}, "incomplete_linked_output"), ({"routes": [ROUTE | {"compiler": []}]}, "empty_tool_command"), ({"routes": []}, "no_routes"), ({"treatments": [{"id": "t1", "phase": "x"}]}, "unknown_treatments"), ({"treatments": [{"id": "t1", "phase": "x"}], "profiles": {"p": ["t1"]}}, "phase")],
 )
 def test_first_broken_rule_stops(spark, project, doc, rule):
     with pytest.raises(RuleBroken) as e:
@@ -103,6 +103,40 @@ def test_missing_requests_are_queued_and_merged(spark, tmp_path):
             flows.record_missing(spark, path, names, priority)
 
 
+def test_new_requests_follow_in_the_order_they_came(spark, tmp_path):
+    path = str(tmp_path / "q.csv")
+    flows.record_missing(spark, path, ["zeta", "alpha"], 1, [], "t1")
+    flows.record_missing(spark, path, ["omega", "Alpha", "beta", "omega"], 0, [], "t2")
+    assert [(r["library_request"], r["request_count"]) for r in csv.DictReader(open(path, newline=""))] == [("zeta", "1"), ("alpha", "2"), ("omega", "2"), ("beta", "1")]
+    text = open(path, newline="").read()
+    open(path, "w", newline="").write(text + text.splitlines()[2].replace("alpha", "ALPHA") + "\r\n")
+    flows.record_missing(spark, path, ["alpha"], 0, [], "t3")
+    assert [(r["library_request"], r["request_count"]) for r in csv.DictReader(open(path, newline=""))] == [("zeta", "1"), ("alpha", "2"), ("omega", "2"), ("beta", "1"), ("ALPHA", "3")]
+
+
+def test_probe_stops_at_changed_inputs_and_overlapping_folders(spark, tmp_path, monkeypatch):
+    for n in "ab":
+        (tmp_path / f"{n}.jsonl").write_text(rows(("1", "x", "y")))
+    cases = {n: str(tmp_path / f"{n}.jsonl") for n in "ab"}
+    with pytest.raises(RuleBroken) as e:
+        flows.probe(spark, cases, str(tmp_path))
+    assert e.value.rule == "overlapping_roots"
+    (tmp_path / "link").symlink_to(tmp_path / "elsewhere")
+    with pytest.raises(RuleBroken) as e:
+        flows.probe(spark, cases, str(tmp_path / "link"))
+    assert e.value.rule == "symbolic_link"
+    write = flows.publish.write_csv
+
+    def meddle(*args, **more):
+        (tmp_path / "b.jsonl").write_text(rows(("1", "x", "z")))
+        return write(*args, **more)
+
+    monkeypatch.setattr(flows.publish, "write_csv", meddle)
+    with pytest.raises(RuleBroken) as e:
+        flows.probe(spark, cases, str(tmp_path / "out"))
+    assert e.value.rule == "changed_during_the_run" and "b.jsonl" in str(e.value)
+
+
 def test_manifest_is_written_before_the_error(spark, tmp_path):
     kind = "library string, route string, treatment string, status string, n bigint"
     path = str(tmp_path / "m.csv")
@@ -129,6 +163,13 @@ def test_command_line(spark, project, tmp_path, capsys):
     queue = str(tmp_path / "queue.csv")
     assert main(["plan", "--config", path, "--route", "r1", "--library", "nope", "--queue", queue]) == 1
     assert "nope" in open(queue).read()
-    with pytest.raises(SystemExit) as e:
-        main(["plan", "--config", path])
-    assert e.value.code == 2
+    for wrong in (["plan", "--config", path], ["plan", "--config", path, "--route", "r1", "--priority", "3"]):
+        with pytest.raises(SystemExit) as e:
+            main(wrong)
+        assert e.value.code == 2
+    assert list(csv.DictReader(open(queue, newline="")))[0]["priority"] == "0"
+    capsys.readouterr()
+    assert main(["doctor", "--config", path]) == 0 and "ok   configuration: 1 libraries; 2 routes; 2 treatments" in capsys.readouterr().out
+    assert main(["doctor", "--config", path + "x"]) == 1 and "FAIL configuration" in capsys.readouterr().out
+    spark.createDataFrame([("z", "r", "t", "complete")], "library string, route string, treatment string, status string").write.parquet(str(tmp_path / "records"))
+    assert main(["manifest", "--records", str(tmp_path / "records"), "--output", str(tmp_path / "m.csv")]) == 0 and capsys.readouterr().out == "complete=1\n"
