@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.text import percent_text
+from sigloom.plans.session import settled
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -35,6 +36,8 @@ def compat_matrix(df: DataFrame, case: str, entry: str, full: str, specific: str
     Hashes are compared null-safe; a null entry point reads ``None``. The rows
     of an entry point (one per case at most) meet in one group and the pairs
     are counted where they arise, so only counters cross the last exchange.
+    The counters, one row per pair that shares something, are computed when
+    this is called; the grid of all pairs is made from them.
     """
     last = last_rows(df.select(F.col(case).alias("c"), F.coalesce(F.col(entry).cast("string"), F.lit("None")).alias("e"), F.col(full).alias("f"), F.col(specific).alias("s"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)]), ["c", "e"], [f"o{i}" for i in range(len(order))])
     at = last.groupBy("e").agg(F.collect_list(F.struct("c", "f", "s")).alias("rows"))
@@ -45,6 +48,7 @@ def compat_matrix(df: DataFrame, case: str, entry: str, full: str, specific: str
         F.count_if(F.col("r.s").eqNullSafe(F.col("k.s"))).alias("specific_hash_equal"),
         F.count_if(F.col("r.f").eqNullSafe(F.col("k.f")) & F.col("r.s").eqNullSafe(F.col("k.s"))).alias("dual_hash_equal"),
     )
+    counts = settled(counts, "pairs")
     # the diagonal counts every function of a case once
     sizes = counts.where(F.col("reference_case") == F.col("comparison_case")).select(F.col("reference_case").alias("case_"), F.col("shared_entrypoints").alias("n"))
     left = sizes.select(F.col("case_").alias("reference_case"), F.col("n").alias("reference_hashable"))
