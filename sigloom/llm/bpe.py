@@ -25,6 +25,7 @@ import base64
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable
 
 import ahocorasick
@@ -44,6 +45,22 @@ ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0
 REMEMBERED = 400_000
 
 
+class _Pieces(dict):
+    """Pieces and their ids as packed integers; a new piece is encoded when it is looked up, long ones are not kept."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = array("i", self.encode(piece.encode("utf-8", "replace"))).tobytes()
+        if len(piece) <= 48:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class Vocabulary:
     """Tokens, their merges and the tables that encoding and decoding need."""
 
@@ -61,7 +78,8 @@ class Vocabulary:
         self.lengths = [len(t) for t in self.tokens]
         self.split = regex.compile(pattern).findall
         self.split_ascii = re.compile(ASCII_PATTERN).findall if pattern == PATTERN else self.split
-        self._pieces: dict[str, tuple[int, ...]] = {}
+        self.sizes = np.diff(self.offsets)
+        self._pieces = _Pieces(self.encode_bytes)
         self._pairs: dict[tuple[int, int], bool] = {}
         self._automaton()
         self._merges()
@@ -145,19 +163,20 @@ class Vocabulary:
                 token = prefix[token]
         return out
 
+    def encode_packed(self, text: str) -> bytes:
+        """Ids of a text as packed 32-bit integers."""
+        return b"".join(map(self._pieces.__getitem__, (self.split_ascii if text.isascii() else self.split)(text)))
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        pieces = self._pieces
-        for piece in (self.split_ascii if text.isascii() else self.split)(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = tuple(self.encode_bytes(piece.encode("utf-8", "replace")))
-                if len(piece) <= 48:
-                    if len(pieces) >= REMEMBERED:
-                        pieces.clear()
-                    pieces[piece] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.encode_packed(text), dtype=np.int32).tolist()
+
+    def prompt_size(self, text: str, ids: np.ndarray) -> int:
+        """How many tokens begin in the first line of a text of several lines."""
+        line = text.find("\n") + 1
+        if not line:
+            return 0
+        ends = np.cumsum(self.sizes[ids])
+        return int(np.searchsorted(ends - self.sizes[ids], len(text[:line].encode("utf-8", "replace")), "left"))
 
     def decode_rows(self, ids: np.ndarray, row_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all rows together, and where each row ends in them."""
@@ -191,11 +210,11 @@ def texts(a: pa.Array) -> Iterable[str | None]:
         return [None if b is None else b.decode("utf-8", "replace") for b in a.cast(pa.binary()).to_pylist()]
 
 
-def lists(rows: list[list[int]]) -> pa.Array:
+def lists(rows: list[bytes]) -> pa.Array:
+    """Packed rows as one array of lists."""
     ends = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) for r in rows], out=ends[1:])
-    flat = np.fromiter((i for r in rows for i in r), dtype=np.int32, count=int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    np.cumsum([len(r) // 4 for r in rows], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
 
 
 def _shared(spark: SparkSession, path: str):
@@ -211,7 +230,7 @@ def encoder(spark: SparkSession, path: str = VOCABULARY, pattern: str = PATTERN)
     @F.arrow_udf("array<int>")
     def ids(a: pa.Array) -> pa.Array:
         v = _worker(lines.value, pattern)
-        return lists([v.encode(t) if t else [] for t in texts(a)])
+        return lists([v.encode_packed(t) if t else b"" for t in texts(a)])
 
     return ids
 
@@ -249,27 +268,18 @@ def sizes(spark: SparkSession, path: str = VOCABULARY, pattern: str = PATTERN):
         v = _worker(lines.value, pattern)
         total, prompt = [], []
         for t in texts(a):
-            ids = v.encode(t) if t else []
-            first = 0
-            if t and "\n" in t:
-                limit = len(t[: t.index("\n") + 1].encode("utf-8", "replace"))
-                at = 0
-                for i in ids:
-                    if at >= limit:
-                        break
-                    at += v.lengths[i]
-                    first += 1
+            ids = np.frombuffer(v.encode_packed(t) if t else b"", dtype=np.int32)
             total.append(len(ids))
-            prompt.append(first)
+            prompt.append(v.prompt_size(t, ids) if t else 0)
         return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(prompt, pa.int64())], ["n_tokens", "n_prompt"])
 
     return count
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores where a small input has fewer splits than there are cores; larger inputs stay as read."""
+def spread(df: DataFrame) -> DataFrame:
+    """Rows in turn over all cores where a small input has fewer splits than there are cores; larger inputs stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def encode_corpus(df: DataFrame, text: str | Column, name: str = "ids", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:

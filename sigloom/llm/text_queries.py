@@ -10,7 +10,7 @@ from sigloom.plans.session import table
 
 
 def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return bpe.spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more), "doc_id")
+    return bpe.spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
