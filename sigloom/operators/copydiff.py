@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.operators.skew import MOST_HEAVY, heavy_keys, split_heavy
+from sigloom.operators.skew import MOST_HEAVY, PARTITION_BYTES, heavy_keys, split_heavy
 from sigloom.plans.session import input_bytes
 
 #: Bytes of input in a range, and the most ranges.
-RANGE_BYTES, MOST_RANGES = 64 << 20, 200_000
+RANGE_BYTES, MOST_RANGES = PARTITION_BYTES, 200_000
 
 MISSING_RIGHT = "missing_in_copy"
 MISSING_LEFT = "missing_in_main"

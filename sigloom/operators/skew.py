@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.plans.session import input_bytes
+
 #: A key with this share of the rows is heavy.
 HEAVY_SHARE = 0.001
 #: Counters of the sketch; its counts are off by at most 3.5 / 16384 of the rows.
@@ -26,6 +28,8 @@ TRACKED = 10_000
 MOST_HEAVY = 100_000
 #: Up to so many are compared in a filter; more come as a broadcast table.
 IN_FILTER = 1_000
+#: Bytes of input for a partition of a shuffle.
+PARTITION_BYTES = 64 << 20
 #: First-level combiners of the partitions' sketches.
 FAN = 512
 #: Ways in which the rows of a heavy key are divided.
@@ -60,6 +64,12 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE) -
     return sorted(r[0] for r in heavy_digests(df, keys, share).collect())
 
 
+def join_share(df: DataFrame) -> float:
+    """The share of the rows that is half a partition of a shuffle of them: the session's partitions, or one for 64 MB of input."""
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // PARTITION_BYTES)
+    return max(0.5 / partitions, 2 / MOST_HEAVY)
+
+
 def split_heavy(df: DataFrame, keys: Sequence[str], heavy: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """Rows with a heavy key, and all others."""
     if not heavy:
@@ -121,27 +131,28 @@ def skewed_aggregate(df: DataFrame, keys: Sequence[str], aggs: Sequence[Agg], sh
     return hot.unionByName(ordinary)
 
 
-def aggregate_beside_rows(df: DataFrame, keys: Sequence[str], aggs: Sequence[Agg], share: float = HEAVY_SHARE, heavy: Sequence[int] | None = None, salts: int = SALTS) -> DataFrame:
+def aggregate_beside_rows(df: DataFrame, keys: Sequence[str], aggs: Sequence[Agg], share: float | None = None, heavy: Sequence[int] | None = None, salts: int = SALTS) -> DataFrame:
     """Every row with the aggregates of its key; rows with a null in their key drop out.
 
-    Heavy keys are looked for once. Their results (at most ``2 / share`` rows)
-    are broadcast to their rows; rows and results of all other keys meet by
-    one shuffle. Aggregates must not be named like columns.
+    Heavy keys (by default those of half a partition, see :func:`join_share`)
+    are looked for once. Their results (at most ``2 / share`` rows) are
+    broadcast to their rows; rows and results of all other keys meet by one
+    shuffle. Aggregates must not be named like columns.
     """
-    (hot, few), (rest, others) = _roads(df, keys, aggs, heavy_keys(df, keys, share) if heavy is None else heavy, salts)
+    (hot, few), (rest, others) = _roads(df, keys, aggs, heavy_keys(df, keys, share or join_share(df)) if heavy is None else heavy, salts)
     return hot.join(F.broadcast(few), list(keys)).unionByName(rest.join(others, list(keys)))
 
 
-def skewed_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], share: float = HEAVY_SHARE, heavy: Sequence[int] | None = None) -> DataFrame:
+def skewed_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], share: float | None = None, heavy: Sequence[int] | None = None) -> DataFrame:
     """Inner join with a dimension that has one row per key.
 
-    The dimension rows of heavy keys (at most ``2 / share``) are broadcast to
-    the rows with these keys; all others are joined by shuffle. Null keys match
+    Heavy keys are by default those of half a partition, see :func:`join_share`.
+    Their dimension rows (at most ``2 / share``) are broadcast to the rows with these keys; all others are joined by shuffle. Null keys match
     nothing. Columns of the dimension that the fact has too get ``_right`` at their end.
     """
     clash = [c for c in dim.columns if c in fact.columns and c not in on]
     dim = dim.withColumnsRenamed({c: f"{c}_right" for c in clash})
-    heavy = heavy_keys(fact, on, share) if heavy is None else heavy
+    heavy = heavy_keys(fact, on, share or join_share(fact)) if heavy is None else heavy
     hot, rest = split_heavy(fact, on, heavy)
     if not heavy:
         return rest.join(dim, list(on))

@@ -26,11 +26,11 @@ def one(spark, expr, value, kind="string"):
 
 
 def test_matrix_fixture(spark):
-    ref = [("ref", "1000", "aa", "11", 1), ("ref", "2000", "bb", "22", 2), ("ref", "3000", "cc", "33", 3)]
-    cmp_ = [("cmp", "1000", "aa", "11", 4), ("cmp", "2000", "changed", "22", 5), ("cmp", "4000", "dd", "44", 6)]
-    m = matrix.compat_matrix(spark.createDataFrame(ref + cmp_, HASH), "case", "entry", "full", "specific", ["n"])
-    row = m.where("reference_case = 'ref' and comparison_case = 'cmp'").first()
-    assert tuple(row)[2:] == (3, 3, 2, 1, 2, 1, "33.333333", "33.333333")
+    old = [("old", f"e{i}", f"f{i}", f"s{i}", i) for i in range(7)]
+    new = [("new", "e0", "f0", "s0", 10), ("new", "e1", "f1", "other", 11), ("new", "e2", "other", "s2", 12), ("new", "e3", "f3", "s3", 13), ("new", "e9", "f9", "s9", 14)]
+    m = matrix.compat_matrix(spark.createDataFrame(old + new, HASH), "case", "entry", "full", "specific", ["n"])
+    row = m.where("reference_case = 'old' and comparison_case = 'new'").first()
+    assert tuple(row)[2:] == (7, 5, 4, 3, 3, 2, "28.571429", "40.000000")
     assert m.where("reference_case = comparison_case and reference_retained_pct = '100.000000'").count() == 2
 
 
@@ -82,7 +82,7 @@ def test_hash_long_is_a_bijection(spark):
     assert [one(spark, unsigned_hex, v, "bigint") for v in got] == texts
 
 
-@pytest.mark.parametrize(("text", "want"), [("  LibPNG \t x ", "libpng x"), ("a\x1c\x1fb", "a b"), (" é ", "é"), ("", ""), (None, None)])
+@pytest.mark.parametrize(("text", "want"), [("  OrnKit \t x ", "ornkit x"), ("a\x1c\x1fb", "a b"), (" é ", "é"), ("", ""), (None, None)])
 def test_normalise_request(spark, text, want):
     assert one(spark, X.normalise_request, text) == want
 
@@ -204,19 +204,19 @@ def sequential(rows):
 @pytest.mark.parametrize("seed", range(3))
 def test_fold_equals_a_sequential_loop(spark, seed):
     rnd = random.Random(seed)
-    rows = [(i, rnd.choice(["LibPNG", " libpng", "zlib", "Z  Lib", "", None]), rnd.choice(["0", "1", "2", "", None, "x"]), rnd.choice(["", "b;a", "c", None, ";a;"]), f"2020-01-{rnd.randrange(1, 28):02d}") for i in range(80)]
+    rows = [(i, rnd.choice(["OrnKit", " ornkit", "zlib", "Z  Lib", "", None]), rnd.choice(["0", "1", "2", "", None, "x"]), rnd.choice(["", "b;a", "c", None, ";a;"]), f"2020-01-{rnd.randrange(1, 28):02d}") for i in range(80)]
     got = requests.fold_requests(spark.createDataFrame(rows, ROWS), "request_seq", "library_request", "priority", "requested_routes", "last_requested_utc")
     assert {r["request_key"]: (r["library_request"], r["priority"], r["requested_routes"], r["first_requested_utc"], r["last_requested_utc"], r["request_count"]) for r in got.collect()} == sequential(rows)
 
 
 def test_upsert_updates_the_last_duplicate_only(spark):
     base = dict.fromkeys(requests.COLUMNS, "")
-    old = [base | {"library_request": "LibPNG", "priority": "2", "request_count": "1", "notes": "first", "o": 1}, base | {"library_request": "libpng ", "priority": "2", "requested_routes": "r2;r1", "request_count": "3", "notes": "second", "o": 2}, base | {"library_request": "other", "o": 3}]
+    old = [base | {"library_request": "OrnKit", "priority": "2", "request_count": "1", "notes": "first", "o": 1}, base | {"library_request": "ornkit ", "priority": "2", "requested_routes": "r2;r1", "request_count": "3", "notes": "second", "o": 2}, base | {"library_request": "other", "o": 3}]
     existing = spark.createDataFrame(old, ", ".join(f"{c} string" for c in requests.COLUMNS) + ", o int")
-    incoming = spark.createDataFrame([(1, "LIBPNG", "0", "r3", "t1"), (2, "new one", "1", "", "t2")], ROWS)
+    incoming = spark.createDataFrame([(1, "ORNKIT", "0", "r3", "t1"), (2, "new one", "1", "", "t2")], ROWS)
     merged = requests.upsert_requests(existing, "o", requests.fold_requests(incoming, "request_seq", "library_request", "priority", "requested_routes", "last_requested_utc"))
     got = {(r["library_request"], r["notes"]): (r["priority"], r["requested_routes"], r["request_count"], r["last_requested_utc"]) for r in merged.collect()}
-    assert got == {("LibPNG", "first"): ("2", "", "1", ""), ("libpng ", "second"): ("0", "r1;r2;r3", "4", "t1"), ("other", ""): ("", "", "", ""), ("new one", ""): ("1", "", "1", "t2")}
+    assert got == {("OrnKit", "first"): ("2", "", "1", ""), ("ornkit ", "second"): ("0", "r1;r2;r3", "4", "t1"), ("other", ""): ("", "", "", ""), ("new one", ""): ("1", "", "1", "t2")}
 
 
 # reconciliation

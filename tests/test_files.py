@@ -145,17 +145,17 @@ def test_listing_and_digests(spark, tmp_path):
 def test_stream_of_requests(spark, tmp_path):
     src, state, check = (str(tmp_path / n) for n in ("in", "queue", "check"))
     schema = "request_seq bigint, library_request string, priority string, requested_routes string, last_requested_utc string"
-    spark.createDataFrame([(1, "LibPNG", "2", "b", "t1"), (2, "zlib", "1", "", "t2")], schema).write.parquet(f"{src}/1")
+    spark.createDataFrame([(1, "OrnKit", "2", "b", "t1"), (2, "zlib", "1", "", "t2")], schema).write.parquet(f"{src}/1")
     stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
     merge_stream(stream(), state, check).awaitTermination()
-    spark.createDataFrame([(3, "libpng", "0", "a", "t3")], schema).write.parquet(f"{src}/2")
+    spark.createDataFrame([(3, "ornkit", "0", "a", "t3")], schema).write.parquet(f"{src}/2")
     merge_stream(stream(), state, check).awaitTermination()
     got = {r["library_request"]: (r["priority"], r["requested_routes"], r["request_count"], r["last_requested_utc"]) for r in current_queue(spark, state).collect()}
-    assert got == {"LibPNG": ("0", "a;b", "2", "t3"), "zlib": ("1", "", "1", "t2")}
+    assert got == {"OrnKit": ("0", "a;b", "2", "t3"), "zlib": ("1", "", "1", "t2")}
     # old versions go, places stay
     for n in (3, 4):
         spark.createDataFrame([(n + 5, f"new{n}", "1", "", "t")], schema).write.parquet(f"{src}/{n}")
         merge_stream(stream(), state, check).awaitTermination()
     assert sorted(p for p in os.listdir(state)) == ["version=2", "version=3"]
     places = spark.read.parquet(f"{state}/version=3").orderBy("place").select("library_request", "place.batch").collect()
-    assert [tuple(r) for r in places] == [("LibPNG", 0), ("zlib", 0), ("new3", 2), ("new4", 3)]
+    assert [tuple(r) for r in places] == [("OrnKit", 0), ("zlib", 0), ("new3", 2), ("new4", 3)]

@@ -69,16 +69,16 @@ def rows(*functions):
 
 
 def test_probe(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text(rows(("1000", "aa", "11"), ("2000", "bb", "22"), ("3000", "cc", "33")))
-    (tmp_path / "b.jsonl").write_text(rows(("1000", "zz", "zz"), ("2000", "changed", "22"), ("4000", "dd", "44"), ("1000", "aa", "11")))
+    (tmp_path / "a.jsonl").write_text(rows(*((f"e{i}", f"f{i}", f"s{i}") for i in range(6))))
+    (tmp_path / "b.jsonl").write_text(rows(("e0", "zz", "zz"), ("e1", "other", "s1"), ("e9", "f9", "s9"), ("e2", "f2", "s2"), ("e0", "f0", "s0")))
     out = flows.probe(spark, {"b": str(tmp_path / "b.jsonl"), "a": str(tmp_path / "a.jsonl")}, str(tmp_path / "out"))
     m = list(csv.DictReader(open(out["matrix"], newline="")))
     assert [(r["reference_case"], r["comparison_case"]) for r in m] == [("b", "b"), ("b", "a"), ("a", "b"), ("a", "a")]
-    assert (m[2]["shared_entrypoints"], m[2]["full_hash_equal"], m[2]["specific_hash_equal"], m[2]["reference_retained_pct"]) == ("2", "1", "2", "33.333333")
+    assert (m[2]["shared_entrypoints"], m[2]["full_hash_equal"], m[2]["specific_hash_equal"], m[2]["reference_retained_pct"]) == ("3", "2", "3", "33.333333")
     doc = json.load(open(out["manifest"]))
-    assert [(c["label"], c["hashable_functions"]) for c in doc["cases"]] == [("b", 4), ("a", 3)]
+    assert [(c["label"], c["hashable_functions"]) for c in doc["cases"]] == [("b", 5), ("a", 6)]
     assert doc["outputs"]["matrix.csv"] == hashlib.sha256(open(out["matrix"], "rb").read()).hexdigest()
-    assert [r["case"] for r in csv.DictReader(open(out["functions"], newline=""))] == ["b"] * 4 + ["a"] * 3
+    assert [r["case"] for r in csv.DictReader(open(out["functions"], newline=""))] == ["b"] * 5 + ["a"] * 6
 
 
 @pytest.mark.parametrize(("text", "rule"), [("not json\n", "invalid_json"), ("[1]\n", "not_an_object"), ("\n", "no_functions")])
@@ -94,10 +94,10 @@ def test_probe_stops_at_bad_rows(spark, tmp_path, text, rule):
 
 def test_missing_requests_are_queued_and_merged(spark, tmp_path):
     path = str(tmp_path / "q" / "pending.csv")
-    flows.record_missing(spark, path, ["LibPNG"], 2, ["r1"], "t1")
-    flows.record_missing(spark, path, ["libpng", "other", "libpng"], 0, [], "t2")
+    flows.record_missing(spark, path, ["OrnKit"], 2, ["r1"], "t1")
+    flows.record_missing(spark, path, ["ornkit", "other", "ornkit"], 0, [], "t2")
     got = list(csv.DictReader(open(path, newline="")))
-    assert [(r["library_request"], r["priority"], r["request_count"], r["requested_routes"], r["first_requested_utc"], r["last_requested_utc"], r["status"]) for r in got] == [("LibPNG", "0", "3", "r1", "t1", "t2", "pending"), ("other", "0", "1", "", "t2", "t2", "pending")]
+    assert [(r["library_request"], r["priority"], r["request_count"], r["requested_routes"], r["first_requested_utc"], r["last_requested_utc"], r["status"]) for r in got] == [("OrnKit", "0", "3", "r1", "t1", "t2", "pending"), ("other", "0", "1", "", "t2", "t2", "pending")]
     for names, priority in ((["x"], 5), ([" "], 1), (["=x"], 1)):
         with pytest.raises(RuleBroken):
             flows.record_missing(spark, path, names, priority)
