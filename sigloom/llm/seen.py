@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigloom.operators.skew import skewed_join
-from sigloom.plans.session import fresh_dir, remove_dir
+from sigloom.plans.session import fresh_dir, input_bytes, remove_dir
 
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -37,6 +37,10 @@ _CONF = {
 }
 
 
+#: Bytes of history for a partition of the state.
+STATE_BYTES = 256 << 20
+
+
 class SeenStore:
     """Keyed state below ``path``, with keys of the given types compared in full.
 
@@ -136,8 +140,12 @@ def first_or_repeat(history: DataFrame, history_keys: Sequence[Column], incoming
     flag's name is replaced. The stream runs when this is called; the returned
     table reads the answers it told. Its state is removed, also on an error; to
     keep it, use a :class:`SeenStore`, whose later turns do not read the history
-    again. ``options`` are those of the store.
+    again. ``options`` are those of the store; the state has by default a
+    partition for every ``STATE_BYTES`` of history, and those of the session at least.
     """
+    spark = incoming.sparkSession
+    fitting = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(history) // STATE_BYTES)
+    options = {"partitions": fitting} | options
     store = store_for(incoming, incoming_keys, order, **options)
     try:
         store.load(history, history_keys)

@@ -88,7 +88,9 @@ def estimate(cells: DataFrame, groups: Sequence[str], m: int = REGISTERS, base:
     """groups, distinct_estimate, std_error, n_rows.
 
     Empty registers enter by the series x + (b-1) sum b^(k-1) x^(b^k), x the
-    empty share, so small sets are as well estimated as large ones.
+    empty share, so small sets are as well estimated as large ones. The stated
+    error is at least half an element: in a few elements one that shares a
+    register with another is missed whole.
     """
     _check(m, base)
     terms = math.ceil(math.log(60.0 * m) / math.log(base)) + 1
@@ -96,7 +98,7 @@ def estimate(cells: DataFrame, groups: Sequence[str], m: int = REGISTERS, base:
     x = (F.lit(m) - F.col("__c")) / F.lit(float(m))
     tail = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), x, lambda acc, k: acc + F.lit(base - 1) * F.pow(F.lit(base), k - 1) * F.pow(x, F.pow(F.lit(base), k)))
     n = F.lit(m * m * (1 - 1 / base) / math.log(base)) / (F.lit(float(m)) * F.when(x > 0, tail).otherwise(0.0) + F.col("__s"))
-    return per.select(*[F.col(f"`{g}`") for g in groups], n.alias("distinct_estimate"), (n * F.lit(relative_error(m, base))).alias("std_error"), "n_rows")
+    return per.select(*[F.col(f"`{g}`") for g in groups], n.alias("distinct_estimate"), F.greatest(n * F.lit(relative_error(m, base)), F.lit(0.5)).alias("std_error"), "n_rows")
 
 
 def _count(k: np.ndarray, m: int, base: float) -> float:
