@@ -8,17 +8,20 @@
 3. Clause transducers read fields and phrases: an insult with its target, a
    threat, a curse, a person driven out, a group demeaned, a sexual act or offer.
    A path through one is a hit; its weight less the costs is the score.
-4. Context transducers read the lattice around a hit, written as ``HIT`` (or
-   ``AIMED`` if it addresses the reader, ``TOLD`` if not, ``NAMED`` if it names a person or group and ``OPEN`` if not, ``CITED`` if in quotation marks), and take away from its
+4. Context transducers read the lattice around a hit and take away from its
    score: negation, reported speech and words under discussion, self-mockery,
-   and things, not persons, as what is spoken of.
+   and things, not persons, as what is spoken of. The hit is written into the
+   lattice as ``HIT``; as ``AIMED`` if it addresses the reader, else ``TOLD``;
+   as ``NAMED`` if it names a person or group, as ``OPEN`` if it may be meant for
+   a thing, as ``INSULTS`` if for the speaker, as ``CITED`` in quotation marks.
 
 All are machines in one notation, matched by one routine; the composition with
 the lattice is made on the fly. In the notation, names in capitals stand for
 symbols, other words for themselves in any spelling, ``a|b`` for a choice, ``?``
 for an optional part, ``~n`` for up to n arbitrary words, ``^`` and ``$`` for the
 beginning and end of a clause or a pause. Arbitrary words cost a little, a
-negation among them (the polarity of the path turns), one that reports, or a pause much more.
+negation among them (the polarity of the path turns), one that reports, or a
+pause much more.
 Isolated words score low; the score of a document is the greatest of its clauses.
 """
 
@@ -220,7 +223,6 @@ CLAUSES: dict[str, list[tuple[float, str]]] = {
         (0.9, "rape|raping YOU|YOUR ~1"),
         (0.85, "YOU gehorst|gehort ~2 EXPEL|verprugelt|geschlagen"),
         (0.8, "gehort|gehoren ~1 verprugelt|geschlagen"),
-        (0.85, "TODO YOU fired ~2"),
     ],
     "hateful": [
         (0.85, "SLURGROUP"),
@@ -292,7 +294,6 @@ CLAUSES: dict[str, list[tuple[float, str]]] = {
         (0.85, "PEOPLE ~6 clean|clear|purge|wipe ~5 with fire"),
         (0.85, "clean ~2 DET country|neighbourhood|street OF PEOPLE"),
         (0.8, "first ~1 PEOPLE then ~1 rest"),
-        (0.85, "PEOPLE as|comme|wie always|toujours|immer ~1 $"),
         (0.85, "should|must BE? wiped out|off"),
         (0.85, "PEOPLE ~3 wiped out|off"),
         (0.85, "get rid of ~2 PEOPLE"),
@@ -371,7 +372,6 @@ CLAUSES: dict[str, list[tuple[float, str]]] = {
         (0.85, "anal|oral sex|included|inclus|incluido"),
         (0.85, "like|likes|love|loves it rough|anal ~2"),
         (0.85, "cock|penis ~2 pills|enlarge|bigger|minutes"),
-        (0.8, "sweaty ~2 without ~1 stitch"),
     ],
 }
 
@@ -395,10 +395,10 @@ CONTEXTS: list[tuple[float, str]] = [
     (0.8, "MOD ~8 TOLD ~8 MOD"),
     (0.8, "TOLD ~8 MOD ~8 MOD"),
     # the speaker
-    (0.75, "SELF BE ~3 TOLD"),
-    (0.75, "SELF DET? TOLD"),
-    (0.75, "SELF FEEL ~2 TOLD"),
-    (0.75, "TOLD SELF BE"),
+    (0.75, "SELF BE ~3 INSULTS"),
+    (0.75, "SELF DET? INSULTS"),
+    (0.75, "SELF FEEL ~2 INSULTS"),
+    (0.75, "INSULTS SELF BE"),
     # things
     (0.6, "THING BE? ~2 OPEN"),
     (0.6, "THING ~2 BE ~3 OPEN"),
@@ -437,7 +437,8 @@ class Machine:
     @property
     def as_read(self) -> dict[str, float]:
         """A hit of the machine as context transducers read it."""
-        return dict.fromkeys(["HIT", *(["AIMED"] if self.directed else ["TOLD", "NAMED"] if self.named else ["TOLD", "OPEN"])], 0.0)
+        insults = ["INSULTS"] if self.out == "abusive" and not self.directed else []
+        return dict.fromkeys(["HIT", *insults, *(["AIMED"] if self.directed else ["TOLD", "NAMED"] if self.named else ["TOLD"] if self.out == "sexual" else ["TOLD", "OPEN"])], 0.0)
 
     @property
     def needs(self) -> list[frozenset[str]]:

@@ -341,7 +341,7 @@ class Lexicon:
                 merged.append((i, words[two[0]], words[two[1]]))
             if i + 1 < n:
                 joined = t + tokens[i + 1]
-                if joined in words and (i + 1 in glued or len(t) < 3 or len(tokens[i + 1]) < 3 or not symbols):
+                if joined in words and (i + 1 in glued or not (t in words and tokens[i + 1] in words) and (len(t) < 3 or len(tokens[i + 1]) < 3 or not symbols)):
                     edges.append((i, i + 2, {s: self.SLIP for s in words[joined]}))
                 elif not (symbols and tokens[i + 1] in words):
                     for first, second in self.slipped(t, tokens[i + 1]):
