@@ -1,7 +1,10 @@
-"""Held-out sentences for the clause grammars: written before the grammars, never tuned on.
+"""Sentences to measure the clause grammars with.
 
-None is taken from the test tables. Change the grammars for other reasons only;
-sentences that they miss stay here as they are.
+ABUSIVE and HARMLESS were written and committed before the grammars, but by the
+same author minutes earlier: words of theirs stand in the fields, so they are no
+independent measure. FRESH_ABUSIVE and FRESH_HARMLESS were written after the
+grammars were finished and measured once, nothing was changed afterwards: 16 of
+30 were found, and 3 of 30 harmless ones. Keep all as they are.
 """
 
 from __future__ import annotations
@@ -271,3 +274,69 @@ HARMLESS = {
         "I file vecchi vanno cacciati da questa cartella.",
     ],
 }
+
+FRESH_ABUSIVE = [
+    "You are dumber than a sack of hammers.",
+    "Nobody on this list can stand your stupid face.",
+    "I will make sure you never walk again.",
+    "Your kind should be put against a wall.",
+    "You pathetic excuse for an engineer.",
+    "Do the world a favour and step in front of a train.",
+    "Only a braindead chimp would ship this.",
+    "One more comment and I break your jaw.",
+    "Foreigners are ruining our neighbourhood, burn their houses.",
+    "Gypsies steal, it is all they know.",
+    "Lesbians just need a real man.",
+    "Old people should just die already.",
+    "I bet your mother regrets having you.",
+    "He is such a creep and a pig.",
+    "Take off your bra on camera for me.",
+    "I dream of licking your thighs.",
+    "Shut it, you clueless bimbo.",
+    "You are the stupidest person alive.",
+    "Du dämliche Kuh hast keine Ahnung.",
+    "Ich trete dir in die Fresse.",
+    "Asylanten sind Schmarotzer und Verbrecher.",
+    "Zieh dich aus, ich will dich nackt sehen.",
+    "Pauvre conne, retourne à l'école.",
+    "Les noirs sont paresseux et dangereux.",
+    "Je vais te faire avaler tes dents.",
+    "Eres la persona más inútil que conozco.",
+    "Te voy a partir la boca, hijo de perra.",
+    "Los negros son inferiores.",
+    "Sei un fallito e un bugiardo.",
+    "Gli ebrei controllano tutto.",
+]
+
+FRESH_HARMLESS = [
+    "The daemon dies when its parent is killed.",
+    "You are right, that was a dumb bug.",
+    "This hash table is brain dead.",
+    "We kicked the old servers out of the rack.",
+    "Women write half of our code.",
+    "The teenager learned to code on a webcam stream.",
+    "He reported that someone called him a pig.",
+    "I am an absolute moron when it comes to CSS.",
+    "Do not drink bleach, says the safety label.",
+    "The train stops in front of the station.",
+    "Burn the houses map layer before printing.",
+    "Your mother tongue setting is wrong.",
+    "The compiler chokes on this header.",
+    "Mein Kopf tut weh, blöder Fehler.",
+    "Die Asylanten bekommen einen Sprachkurs.",
+    "Zieh dich warm an, es wird kalt.",
+    "Retourne à l'école de Git, dit le guide.",
+    "Les noirs de l'image sont trop clairs.",
+    "Los negros de la foto son muy oscuros.",
+    "La persona encargada no está.",
+    "Gli ebrei festeggiano oggi.",
+    "Sei il secondo nella lista.",
+    "The word bimbo is Italian for child.",
+    "Nobody should be told to go to hell.",
+    "A pig and a cow are in the sample data.",
+    "Strip the thread and undress the cable.",
+    "I will break the jaw of the clamp model.",
+    "Hit the table with your fist if it hangs.",
+    "The dead man switch fires at night.",
+    "Please stop shouting at people.",
+]
